@@ -77,10 +77,10 @@ def _optional(c: Column) -> Column:
 
 
 def _case(branches: list[tuple[Column, Column]], default: Column | None = None) -> Column:
-    out = None
+    default, out = _null() if default is None else default, None
     for cond, value in branches:
         out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out.otherwise(_null() if default is None else default)
+    return default if out is None else out.otherwise(default)
 
 
 def code_lines(files: DataFrame, lang: Column | None = None) -> DataFrame:
@@ -111,19 +111,40 @@ def is_comment(lang: Column, line: Column) -> Column:
     return cond
 
 
-def _matches(lang: Column, line: Column, rules: list[tuple[str, str]]) -> Column:
-    """Index of the first rule of the language that matches; null for none."""
-    return _case(
-        [((lang == language) & line.rlike(_rx(_P[language][p])), F.lit(i)) for i, (language, p) in enumerate(rules)],
-        F.lit(None).cast("int"),
-    )
+def _settle(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    Filters on such columns stay above them. As plain projections the optimizer
+    would copy the long pattern expressions into every filter pushed below.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
 
+_CLASS_RULES = [(language, "class") for language in _P if "class" in _P[language]]
+_CLASS_BASE, _FUNCTION_BASE = 100, 200
+
+
+def _rule(lang: Column, line: Column, languages: list[str]) -> Column:
+    """Number of the rule a line matches: imports, then (behind comments) classes and functions; null for none."""
+    def own(rules: list, language: str, base: int) -> list[tuple[Column, Column]]:
+        return [
+            (line.rlike(_rx(_P[language][r[1]])), F.lit(base + i)) for i, r in enumerate(rules) if r[0] == language
+        ]
 
-def _pick(rule: Column, line: Column, rules: list, field: str) -> Column:
+    none = F.lit(None).cast("int")
+    per_language = []
+    for x in languages:
+        starts = [(line.startswith(p), none) for p in fixed.COMMENT_PREFIXES[x]]
+        branches = own(IMPORT_RULES, x, 0) + starts + own(_CLASS_RULES, x, _CLASS_BASE) + own(FUNCTION_RULES, x, _FUNCTION_BASE)
+        per_language.append((lang == x, _case(branches, none)))
+    return _case(per_language, none)
+
+
+def _pick(rule: Column, line: Column, languages: list[str], rules: list, field: str, base: int = 0) -> Column:
     branches = []
     for i, r in enumerate(rules):
         groups, language, p = r[-1], r[0], r[1]
-        if field in groups:
+        if field in groups and language in languages:
             g = groups[field]
             pattern = _P[language][p]
             value = (
@@ -131,7 +152,7 @@ def _pick(rule: Column, line: Column, rules: list, field: str) -> Column:
                 if isinstance(g, int)
                 else F.coalesce(*[_optional(_group(line, pattern, x)) for x in g])
             )
-            branches.append((rule == i, value))
+            branches.append((rule == base + i, value))
     return _case(branches)
 
 
@@ -143,71 +164,54 @@ def _scope(df: DataFrame) -> DataFrame:
     return scoped.withColumn("class_name", F.col("__c.n")).withColumn("class_line", F.col("__c.l")).drop("__c")
 
 
-def line_facts(lines: DataFrame, compat: bool = False) -> DataFrame:
-    """Facts of all languages but Go; ``compat`` keeps statements that look like functions."""
-    lang, line = F.col("lang"), F.col("line")
-    class_rules = [(language, "class") for language in _P if "class" in _P[language]]
-    rows = lines.filter(lang.isin([x for x in _P if x != "go"])).select(
-        "*", _matches(lang, line, [(r[0], r[1]) for r in IMPORT_RULES]).alias("imp")
-    )
-    rows = rows.filter(F.col("imp").isNotNull() | ~is_comment(lang, line))
-    rows = rows.withColumn("cls", F.when(F.col("imp").isNull(), _matches(lang, line, class_rules)))
-    rows = rows.withColumn(
-        "fun",
-        F.when(
-            F.col("imp").isNull() & F.col("cls").isNull(), _matches(lang, line, [(r[0], r[1]) for r in FUNCTION_RULES])
+def line_facts(lines: DataFrame, compat: bool = False, languages: list[str] | None = None) -> DataFrame:
+    """Facts of all languages but Go, or of the given ones; ``compat`` keeps statements that look like functions."""
+    lang, line, rule = F.col("lang"), F.col("line"), F.col("rule")
+    languages = [x for x in _P if x != "go" and (languages is None or x in languages)]
+    rows = _settle(lines.filter(lang.isin(languages)), rule=_rule(lang, line, languages)).filter("rule IS NOT NULL")
+
+    is_import, is_class = rule < _CLASS_BASE, rule.between(_CLASS_BASE, _FUNCTION_BASE - 1)
+    # An import statement without names stands for everything.
+    all_names = rule.isin([i for i, r in enumerate(IMPORT_RULES) if r[1] == "import" and "imports" in r[3]])
+    imports = _pick(rule, line, languages, IMPORT_RULES, "imports")
+    imports = F.when(all_names, F.coalesce(_optional(strip(imports)), F.lit("*"))).otherwise(imports)
+    module = _pick(rule, line, languages, IMPORT_RULES, "module")
+    package = _pick(rule, line, languages, IMPORT_RULES, "package")
+    place = F.coalesce(module, package, *[_pick(rule, line, languages, IMPORT_RULES, x) for x in ("file", "namespace", "name")])
+    class_name = _case([(rule == _CLASS_BASE + i, _group(line, _P[x][p], 1)) for i, (x, p) in enumerate(_CLASS_RULES) if x in languages])
+    bases = F.when(is_class & (lang == "python"), _optional(_group(line, _P["python"]["class"], 2)))
+
+    def function(field: str) -> Column:
+        return _pick(rule, line, languages, FUNCTION_RULES, field, _FUNCTION_BASE)
+
+    rules = [r[1] for r in FUNCTION_RULES]
+    is_arrow = rule.isin([_FUNCTION_BASE + i for i, r in enumerate(rules) if r == "arrow_function"])
+    # The TypeScript method form counts inside a class only, unless the line is a function as well.
+    only_method = (rule == _FUNCTION_BASE + rules.index("method")) & ~line.rlike(_rx(_P["typescript"]["function"]))
+    rows = _settle(
+        rows,
+        kind=F.when(is_import, "import").when(is_class, "class").when(lang == "html", "tag")
+        .when(lang == "css", "selector").otherwise("function"),
+        name=F.coalesce(class_name, F.when(lang == "css", strip(function("name"))).otherwise(function("name"))),
+        params=function("params"),
+        returned=_optional(
+            F.when(lang.isin("java", "csharp", "c_cpp"), strip(function("return_type"))).otherwise(function("return_type"))
         ),
+        modifiers=_optional(strip(function("modifiers"))),
+        inheritance=bases,
+        import_type=_case([(rule == i, F.lit(r[2])) for i, r in enumerate(IMPORT_RULES)]),
+        module=place,
+        import_path=F.when(is_import, F.coalesce(package, imports, module)),
+        only_method=only_method,
+        never_method=is_arrow | lang.isin("rust", "html", "css"),
     )
-    rows = rows.filter("imp IS NOT NULL OR cls IS NOT NULL OR fun IS NOT NULL")
-
-    imp, cls, fun = F.col("imp"), F.col("cls"), F.col("fun")
-    js_import = imp.isin([i for i, r in enumerate(IMPORT_RULES) if r[1] == "import" and "imports" in r[3]])
-    imports = _pick(imp, line, IMPORT_RULES, "imports")
-    imports = F.when(js_import, F.coalesce(_optional(strip(imports)), F.lit("*"))).otherwise(imports)
-    module = _pick(imp, line, IMPORT_RULES, "module")
-    package = _pick(imp, line, IMPORT_RULES, "package")
-    place = F.coalesce(
-        module, package, _pick(imp, line, IMPORT_RULES, "file"), _pick(imp, line, IMPORT_RULES, "namespace"),
-        _pick(imp, line, IMPORT_RULES, "name"),
-    )
-    class_name = _case([(cls == i, _group(line, _P[x][p], 1)) for i, (x, p) in enumerate(class_rules)])
-    bases = F.when(lang == "python", _optional(_group(line, _P["python"]["class"], 2)))
-    fun_name = _pick(fun, line, FUNCTION_RULES, "name")
-    fun_name = F.when(lang == "css", strip(fun_name)).otherwise(fun_name)
-    returns = _optional(_pick(fun, line, FUNCTION_RULES, "return_type"))
-    stripped_return = lang.isin("java", "csharp", "c_cpp")
-    returns = (
-        F.when(lang == "javascript", js_return_type(fun_name))
-        .when(stripped_return, _optional(strip(returns)))
-        .otherwise(returns)
-    )
-    is_arrow = fun.isin([i for i, r in enumerate(FUNCTION_RULES) if r[1] == "arrow_function"])
-    only_method = (fun == [i for i, r in enumerate(FUNCTION_RULES) if r[1] == "method"][0]) & ~line.rlike(
-        _rx(_P["typescript"]["function"])
+    returns = F.when((lang == "javascript") & (F.col("kind") == "function"), js_return_type(F.col("name"))).otherwise(
+        F.col("returned")
     )
-    never_method = is_arrow | lang.isin("rust", "html", "css")
-    facts = rows.select(
-        "file_id", "path", "lang", "line_no",
-        F.when(imp.isNotNull(), "import")
-        .when(cls.isNotNull(), "class")
-        .when(lang == "html", "tag")
-        .when(lang == "css", "selector")
-        .otherwise("function")
-        .alias("kind"),
-        F.coalesce(class_name, fun_name).alias("name"),
-        _pick(fun, line, FUNCTION_RULES, "params").alias("params"),
-        returns.alias("return_type"),
-        _optional(strip(_pick(fun, line, FUNCTION_RULES, "modifiers"))).alias("modifiers"),
-        bases.alias("inheritance"),
-        _null().alias("receiver"),
-        _case([(imp == i, F.lit(r[2])) for i, r in enumerate(IMPORT_RULES)]).alias("import_type"),
-        place.alias("module"),
-        F.when(imp.isNotNull(), F.coalesce(package, imports, module)).alias("import_path"),
-        F.coalesce(only_method, F.lit(False)).alias("only_method"),
-        F.coalesce(never_method, F.lit(False)).alias("never_method"),
-        (lang.eqNullSafe("html") & line.endswith("/>")).alias("self_closing"),
+    facts = rows.filter(~((lang == "html") & line.endswith("/>"))).select(
+        "file_id", "path", "lang", "line_no", "kind", "name", "params", returns.alias("return_type"), "modifiers",
+        "inheritance", _null().alias("receiver"), "import_type", "module", "import_path", "only_method", "never_method",
     )
-    facts = facts.filter(~F.col("self_closing"))
     if not compat:
         noise = F.col("name").isin(fixed.CODE_KEYWORDS) | (
             lang.isin("java", "csharp", "c_cpp")
@@ -256,7 +260,7 @@ def go_facts(lines: DataFrame) -> DataFrame:
         .when(line.rlike(_rx(p["function"])), "function")
         .when(line.rlike(_rx(p["method"])), "method")
     )
-    rows = rows.withColumn("k", kind).filter("k IS NOT NULL")
+    rows = _settle(rows, k=kind).filter("k IS NOT NULL")
     k = F.col("k")
     import_path = (
         F.when(k == "block_import", _group(line, p["block_path"], 1))

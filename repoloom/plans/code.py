@@ -96,16 +96,17 @@ _COLS = "file_id, line_no, kind, name, params, return_type, modifiers, inheritan
 _COL_LIST = _COLS.split(", ")
 
 
-def facts(spark, sf_dir, compat: bool = False):
-    return cf.line_facts(cf.code_lines(code_files(spark, sf_dir)), compat)
+def facts(spark, sf_dir, compat: bool = False, languages: list[str] | None = None):
+    return cf.line_facts(cf.code_lines(code_files(spark, sf_dir)), compat, languages)
 
 
-def _language_query(name: str, condition: str, compat: bool = False) -> None:
+def _language_query(name: str, condition: str, compat: bool = False, lang: str | None = None) -> None:
+    condition = f"lang = '{lang}' AND {condition}" if lang else condition
     sql = FACTS_SQL if not compat else facts_sql(True)
 
     @register(name, f"WITH {sql} SELECT {_COLS} FROM facts WHERE {condition}")
     def query(spark, sf_dir):
-        return facts(spark, sf_dir, compat).filter(condition).select(*_COL_LIST)
+        return facts(spark, sf_dir, compat, [lang] if lang else None).filter(condition).select(*_COL_LIST)
 
 
 @register(
@@ -118,16 +119,16 @@ def detect_language(spark, sf_dir):
 
 _language_query("p2_p3_imports", "kind = 'import'")
 _language_query("p4_classes", "kind = 'class'")
-_language_query("p5_python_functions", "lang = 'python' AND kind IN ('function', 'method')")
-_language_query("p6_java_methods", "lang = 'java' AND kind IN ('function', 'method')")
-_language_query("p6_java_methods_compat", "lang = 'java' AND kind IN ('function', 'method')", compat=True)
-_language_query("p7_c_functions", "lang = 'c_cpp' AND kind IN ('function', 'method')")
-_language_query("p8_javascript_functions", "lang = 'javascript' AND kind IN ('function', 'method')")
-_language_query("p9_typescript_functions", "lang = 'typescript' AND kind IN ('function', 'method')")
-_language_query("p11_rust_functions", "lang = 'rust' AND kind IN ('function', 'method')")
-_language_query("p12_php_functions", "lang = 'php' AND kind IN ('function', 'method')")
-_language_query("p13_swift_functions", "lang = 'swift' AND kind IN ('function', 'method')")
-_language_query("p14_csharp_methods", "lang = 'csharp' AND kind IN ('function', 'method')")
+_language_query("p5_python_functions", "kind IN ('function', 'method')", lang="python")
+_language_query("p6_java_methods", "kind IN ('function', 'method')", lang="java")
+_language_query("p6_java_methods_compat", "kind IN ('function', 'method')", compat=True, lang="java")
+_language_query("p7_c_functions", "kind IN ('function', 'method')", lang="c_cpp")
+_language_query("p8_javascript_functions", "kind IN ('function', 'method')", lang="javascript")
+_language_query("p9_typescript_functions", "kind IN ('function', 'method')", lang="typescript")
+_language_query("p11_rust_functions", "kind IN ('function', 'method')", lang="rust")
+_language_query("p12_php_functions", "kind IN ('function', 'method')", lang="php")
+_language_query("p13_swift_functions", "kind IN ('function', 'method')", lang="swift")
+_language_query("p14_csharp_methods", "kind IN ('function', 'method')", lang="csharp")
 _language_query("e1_scope_attribution", "class_name IS NOT NULL")
 
 _GO = _P["go"]
@@ -180,7 +181,7 @@ def html_tags(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.regexp_replace("html", ">", ">\n").alias("text")
     )
-    return cf.line_facts(cf.code_lines(pages, F.lit("html"))).select(
+    return cf.line_facts(cf.code_lines(pages, F.lit("html")), languages=["html"]).select(
         F.col("file_id").alias("page_id"), "line_no", "name"
     )
 
@@ -201,7 +202,7 @@ def css_selectors(spark, sf_dir):
     css = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_id"), F.lit("a.css").alias("path"), F.array_join(line, "\n").alias("text")
     )
-    return cf.line_facts(cf.code_lines(css, F.lit("css"))).select(
+    return cf.line_facts(cf.code_lines(css, F.lit("css")), languages=["css"]).select(
         F.col("file_id").alias("doc_id"), "line_no", "kind", "name", "module"
     )
 
@@ -248,7 +249,7 @@ def key_methods(spark, sf_dir):
     f"WITH {FACTS_SQL} SELECT file_id, arg_min(name, line_no) AS class_name FROM facts WHERE lang = 'java' AND kind = 'class' GROUP BY 1",
 )
 def first_classes(spark, sf_dir):
-    return cf.first_classes(facts(spark, sf_dir))
+    return cf.first_classes(facts(spark, sf_dir, languages=["java"]))
 
 
 @register(
