@@ -7,11 +7,11 @@ class, name, qualifier, param_types ARRAY<STRING>. Nodes are labels such as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
-from repoloom.operators.ordered import fill_forward, number_rows, text_parts
+from repoloom.operators.ordered import HOT_ROWS, fill_forward, number_rows
 from repoloom.session import cut_lineage
 
 
@@ -23,7 +23,7 @@ def _labels(facts: DataFrame) -> DataFrame:
     )
 
 
-def resolved_calls(facts: DataFrame) -> DataFrame:
+def resolved_calls(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Calls with their caller and callee.
 
     The caller is the last declaration above the call in its file (none: the call
@@ -32,27 +32,23 @@ def resolved_calls(facts: DataFrame) -> DataFrame:
     is spread over many tasks by ``fill_forward``.
     """
     rows = _labels(facts).select(
-        "file_no", "pos", "kind", "full_class", "name", "qualifier", "decl_label", "file_path"
+        "file_no", "pos", "kind", "full_class", "name", "qualifier", "decl_label"
     )
-    rows = fill_forward(rows, ["file_no"], ["pos"], F.col("decl_label"), "caller")
-    plain = F.coalesce("qualifier", F.lit("")) == ""
+    labelled = rows
+    rows = fill_forward(rows, ["file_no"], ["pos"], F.col("decl_label"), "caller", hot_rows=hot_rows)
     near = fill_forward(
-        rows.filter((F.col("kind") == "decl") | plain),
+        rows.filter((F.col("kind") == "decl") | F.col("caller").isNotNull()),
         ["full_class", "name"], ["file_no", "pos"], F.col("decl_label"), "declared", include_current=False,
+        hot_rows=hot_rows, measure=labelled,
     )
-    cols = ["file_no", "pos", "caller", "callee", "callee_kind"]
-    called = (F.col("kind") == "call") & F.col("caller").isNotNull()
-    own = near.filter(called).select(
+    qualified = F.coalesce("qualifier", F.lit("")) != ""
+    outer = F.concat(F.substring_index("qualifier", ".", -1), F.lit("."), F.col("name"), F.lit("()"))
+    unknown = F.concat(F.lit("unknown."), F.col("name"), F.lit("()"))
+    return near.filter(F.col("kind") == "call").select(
         "file_no", "pos", "caller",
-        F.coalesce("declared", F.concat(F.lit("unknown."), F.col("name"), F.lit("()"))).alias("callee"),
-        F.when(F.col("declared").isNotNull(), "declared").otherwise("unknown").alias("callee_kind"),
+        F.when(qualified, outer).otherwise(F.coalesce("declared", unknown)).alias("callee"),
+        F.when(qualified, "external").when(F.col("declared").isNotNull(), "declared").otherwise("unknown").alias("callee_kind"),
     )
-    outer = rows.filter(called & ~plain).select(
-        "file_no", "pos", "caller",
-        F.concat(F.substring_index("qualifier", ".", -1), F.lit("."), F.col("name"), F.lit("()")).alias("callee"),
-        F.lit("external").alias("callee_kind"),
-    )
-    return own.select(cols).unionByName(outer.select(cols))
 
 
 def call_edges(calls: DataFrame) -> DataFrame:
@@ -92,6 +88,12 @@ def call_nodes(facts: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
+def build_graph(facts: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of call facts; the resolved calls feed both, so they are computed once."""
+    calls = cut_lineage(resolved_calls(facts, hot_rows))
+    return call_nodes(facts, calls), call_edges(calls)
+
+
 def callers_of(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """(method, caller) rows for each method of a table."""
     return edges.join(methods.select(F.col("method").alias("dst")), "dst", "left_semi").select(

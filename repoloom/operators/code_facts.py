@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from repoloom.functions import fixed
 from repoloom.functions.paths import language_of, strip
 from repoloom.functions.text import js_return_type
+from repoloom.operators.columns import settle
 
 _P = fixed.LINE_PATTERNS
 
@@ -111,15 +112,6 @@ def is_comment(lang: Column, line: Column) -> Column:
     return cond
 
 
-def _settle(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns through a one-row generator.
-
-    Filters on such columns stay above them. As plain projections the optimizer
-    would copy the long pattern expressions into every filter pushed below.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 _CLASS_RULES = [(language, "class") for language in _P if "class" in _P[language]]
 _CLASS_BASE, _FUNCTION_BASE = 100, 200
 
@@ -168,7 +160,7 @@ def line_facts(lines: DataFrame, compat: bool = False, languages: list[str] | No
     """Facts of all languages but Go, or of the given ones; ``compat`` keeps statements that look like functions."""
     lang, line, rule = F.col("lang"), F.col("line"), F.col("rule")
     languages = [x for x in _P if x != "go" and (languages is None or x in languages)]
-    rows = _settle(lines.filter(lang.isin(languages)), rule=_rule(lang, line, languages)).filter("rule IS NOT NULL")
+    rows = settle(lines.filter(lang.isin(languages)), rule=_rule(lang, line, languages)).filter("rule IS NOT NULL")
 
     is_import, is_class = rule < _CLASS_BASE, rule.between(_CLASS_BASE, _FUNCTION_BASE - 1)
     # An import statement without names stands for everything.
@@ -188,7 +180,7 @@ def line_facts(lines: DataFrame, compat: bool = False, languages: list[str] | No
     is_arrow = rule.isin([_FUNCTION_BASE + i for i, r in enumerate(rules) if r == "arrow_function"])
     # The TypeScript method form counts inside a class only, unless the line is a function as well.
     only_method = (rule == _FUNCTION_BASE + rules.index("method")) & ~line.rlike(_rx(_P["typescript"]["function"]))
-    rows = _settle(
+    rows = settle(
         rows,
         kind=F.when(is_import, "import").when(is_class, "class").when(lang == "html", "tag")
         .when(lang == "css", "selector").otherwise("function"),
@@ -260,7 +252,7 @@ def go_facts(lines: DataFrame) -> DataFrame:
         .when(line.rlike(_rx(p["function"])), "function")
         .when(line.rlike(_rx(p["method"])), "method")
     )
-    rows = _settle(rows, k=kind).filter("k IS NOT NULL")
+    rows = settle(rows, k=kind).filter("k IS NOT NULL")
     k = F.col("k")
     import_path = (
         F.when(k == "block_import", _group(line, p["block_path"], 1))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from repoloom.functions import fixed
 from repoloom.operators.ordered import number_rows_by_id
 
-EmbedFn = Callable[[list[str]], list[list[float]]]
+EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def hashing_embedder(dims: int = 256) -> EmbedFn:
@@ -25,15 +25,14 @@ def hashing_embedder(dims: int = 256) -> EmbedFn:
     def bucket(word: str) -> int:
         return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
 
-    def embed(texts: list[str]) -> list[list[float]]:
+    def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
-        for row, t in zip(out, texts):
-            words = [w for w in t.split(" ") if w]
-            if words:
-                np.add.at(row, [bucket(w) for w in words], 1.0)
+        for i, t in enumerate(texts):
+            found = [bucket(w) for w in t.split(" ") if w]
+            if found:
+                out[i] = np.bincount(found, minlength=dims)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        np.divide(out, norms, out=out, where=norms > 0)
-        return out.tolist()
+        return np.divide(out, norms, out=out, where=norms > 0)
 
     return embed
 

@@ -14,6 +14,7 @@ from repoloom.functions import fixed
 from repoloom.functions import payloads as pl
 from repoloom.functions import text as tx
 from repoloom.functions.paths import strip
+from repoloom.operators.columns import settle
 from repoloom.operators.ordered import text_parts
 from repoloom.session import cut_lineage
 
@@ -55,12 +56,12 @@ def _attribute(c: Column, tag: str) -> Column:
 
 def parse_structures(responses: DataFrame) -> DataFrame:
     """Structure blocks of responses (wiki_id, response), parsed as XML; ``well_formed`` tells if that worked."""
-    block = responses.select("wiki_id", pl.wiki_block(F.col("response")).alias("xml")).filter("xml IS NOT NULL")
-    fixed_xml = block.withColumn("xml", pl.repair_xml(F.col("xml")))
+    block = settle(responses.select("wiki_id", "response"), block=pl.wiki_block(F.col("response")))
+    fixed_xml = block.filter("block IS NOT NULL").select("wiki_id", pl.repair_xml(F.col("block")).alias("xml"))
     # The corrupt-record column separates a broken document from one with absent parts.
     schema = STRUCTURE_SCHEMA + ", _broken string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = fixed_xml.withColumn("s", F.from_xml("xml", schema, options))
+    parsed = settle(fixed_xml, s=F.from_xml("xml", schema, options))
     return parsed.withColumn("well_formed", F.col("s").isNotNull() & F.col("s._broken").isNull())
 
 

@@ -496,3 +496,60 @@ def piece_assembly(spark, sf_dir):
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), piece.alias("piece")
     )
     return pieces.assembled(pieces.clean_pieces(rows), 1_000_000)
+
+
+def _event_stream(spark, sf_dir, files_per_batch: int = 1):
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    # The source takes a pattern where it would not take a file name.
+    return reader.parquet(f"{sf_dir}/event[s].parquet")
+
+
+def _fresh_store(spark, name: str) -> tuple[str, str]:
+    """A new store and checkpoint folder below the session's checkpoint folder."""
+    import uuid
+
+    from repoloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/store", f"{root}/checkpoint"
+
+
+@register(
+    "k1_stream_refresh",
+    """SELECT event_id % 500 AS file_no, arg_max(event_type, event_id) AS text, max(event_id) AS version FROM events GROUP BY 1""",
+)
+def stream_refresh(spark, sf_dir):
+    from repoloom.streaming import refresh
+
+    store_path, checkpoint = _fresh_store(spark, "refresh")
+    rows = _event_stream(spark, sf_dir).select(
+        (F.col("event_id") % 500).cast("string").alias("path"), F.col("event_id").alias("version"),
+        F.col("event_type").alias("text"),
+    )
+    refresh.refresh_stream(spark, rows, store_path, checkpoint, lambda df: df.select("path", "hash", "version", "text"))
+    return refresh.latest_generation(spark, store_path).select(
+        F.col("path").cast("long").alias("file_no"), "text", "version"
+    )
+
+
+@register(
+    "k2_stream_assembly",
+    """SELECT user_id AS session, 0::BIGINT AS part_no, string_agg(event_type || event_id, '' ORDER BY event_id) AS answer
+    FROM events WHERE event_type <> 'error' GROUP BY 1""",
+)
+def stream_assembly(spark, sf_dir):
+    from repoloom.streaming import pieces, refresh
+
+    store_path, checkpoint = _fresh_store(spark, "assembly")
+    piece = F.when(F.col("event_type") == "error", "model=x").otherwise(
+        F.concat(F.lit("<think>"), "event_type", F.lit("</think>"), F.col("event_id").cast("string"))
+    )
+    rows = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), piece.alias("piece"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+    first = pieces.distinct_pieces(pieces.clean_pieces(rows), "at").drop("at")
+    refresh.upsert_stream(spark, pieces.assembled(first, 1_000_000_000), store_path, checkpoint, ["session", "part_no"])
+    return refresh.latest_generation(spark, store_path)

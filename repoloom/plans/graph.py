@@ -71,9 +71,8 @@ def callees(spark, sf_dir):
     SELECT src, dst FROM edges WHERE src IN (SELECT id FROM own) AND dst IN (SELECT id FROM own)""",
 )
 def in_house(spark, sf_dir):
-    facts = call_facts(spark, sf_dir)
-    calls = cg.resolved_calls(facts)
-    return cg.in_house(cg.call_edges(calls), cg.call_nodes(facts, calls))
+    nodes, edges = cg.build_graph(call_facts(spark, sf_dir))
+    return cg.in_house(edges, nodes)
 
 
 @register(
@@ -94,9 +93,8 @@ def nodes_by_file(spark, sf_dir):
     UNION ALL SELECT 'edges', '', r // 500, string_agg(e, '|' ORDER BY e) FROM e GROUP BY r // 500""",
 )
 def call_chain_record(spark, sf_dir):
-    facts = call_facts(spark, sf_dir)
-    calls = cg.resolved_calls(facts)
-    return cg.chain_record(cg.call_nodes(facts, calls), cg.call_edges(calls), 500)
+    nodes, edges = cg.build_graph(call_facts(spark, sf_dir))
+    return cg.chain_record(nodes, edges, 500)
 
 
 # Regions own nations, nations own suppliers and customers, and each nation points to another one.

@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.operators.columns import spread_small
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; text tables that come as few splits are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def sql_list(values: list[str]) -> str:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.sources.store import read_or_none
 
-
-def content_hash(text: str = "text"):
+def content_hash(text: str = "text") -> Column:
     return F.sha2(F.col(text), 256)
 
 
@@ -34,37 +32,40 @@ def latest_versions(files: DataFrame) -> DataFrame:
     return files.groupBy("path").agg(F.max_by(F.struct(*rest), "version").alias("v")).select("path", "v.*")
 
 
-def refresh_stream(
-    spark: SparkSession,
-    files: DataFrame,
-    store: str,
-    checkpoint: str,
-    build: Callable[[DataFrame], DataFrame],
-):
-    """Process all new file versions (path, version, text) and merge their chunks into the store.
+# ---------------------------------------------------------------- generations
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_generation(spark: SparkSession, store: str, epoch: int, merge: Callable[[DataFrame | None], DataFrame]) -> None:
+    """Write generation ``epoch`` of a store from the one before it and drop the one before that.
 
-    The store is a folder of generations. Each micro-batch writes generation
-    ``gen=N`` from generation ``gen=N-1`` and replaces it whole when repeated, so a
-    batch that is run again after a failure leaves the same result.
+    A generation is replaced whole when its batch runs again after a failure, so
+    the result is the same however often that happens.
     """
+    before = spark.read.parquet(f"{store}/gen={epoch - 1}") if epoch else None
+    merge(before).write.mode("overwrite").parquet(f"{store}/gen={epoch}")
+    old, system = _hadoop_path(spark, f"{store}/gen={epoch - 2}")
+    if system.exists(old):
+        system.delete(old, True)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        newest = latest_versions(batch).withColumn("hash", content_hash())
-        before = read_or_none(spark, f"{store}/gen={epoch - 1}") if epoch else None
-        if before is None:
-            built = build(newest)
-        else:
-            known = before.select("path", "hash", "version").distinct()
-            # A version older than the stored one changes nothing.
-            fresh = newest.alias("n").join(known.alias("k"), F.col("n.path") == F.col("k.path"), "left").filter(
-                F.col("k.path").isNull() | (F.col("n.version") > F.col("k.version"))
-            ).select("n.*")
-            kept = before.join(fresh.select("path"), "path", "left_anti")
-            built = kept.unionByName(build(fresh))
-        built.write.mode("overwrite").parquet(f"{store}/gen={epoch}")
 
+def latest_generation(spark: SparkSession, store: str) -> DataFrame:
+    """Newest generation of a store."""
+    root, system = _hadoop_path(spark, store)
+    names = [e.getPath().getName() for e in system.listStatus(root)]
+    last = max(int(n.split("=")[1]) for n in names if n.startswith("gen="))
+    return spark.read.parquet(f"{store}/gen={last}")
+
+
+def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append"):
+    """Process everything a stream has now, batch by batch."""
     query = (
-        files.writeStream.foreachBatch(merge)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -73,10 +74,48 @@ def refresh_stream(
     return query
 
 
-def latest_generation(spark: SparkSession, store: str) -> DataFrame:
-    """Newest generation of a refreshed store."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    entries = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    last = max(int(e.getPath().getName().split("=")[1]) for e in entries if e.getPath().getName().startswith("gen="))
-    return spark.read.parquet(f"{store}/gen={last}")
+def refresh_stream(
+    spark: SparkSession, files: DataFrame, store: str, checkpoint: str, build: Callable[[DataFrame], DataFrame]
+):
+    """Process all new file versions (path, version, text) and merge their built rows into the store.
+
+    ``build`` keeps path, hash and version. A version older than the stored one
+    changes nothing; a newer one with the same content is noted but not built again.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        newest = latest_versions(rows).withColumn("hash", content_hash())
+
+        def merge(before: DataFrame | None) -> DataFrame:
+            if before is None:
+                return build(newest)
+            known = before.groupBy("path").agg(F.max("version").alias("v"), F.max("hash").alias("h"))
+            fresh = newest.join(known, "path", "left").filter(
+                F.col("v").isNull() | ((F.col("version") > F.col("v")) & (F.col("hash") != F.col("h")))
+            ).drop("v", "h")
+            seen = newest.select("path", F.col("version").alias("v"), F.col("hash").alias("h"))
+            kept = (
+                before.join(fresh.select("path"), "path", "left_anti")
+                .join(seen, "path", "left")
+                .withColumn("version", F.when(F.col("h") == F.col("hash"), F.greatest("version", "v")).otherwise(F.col("version")))
+                .select(before.columns)
+            )
+            return kept.unionByName(build(fresh))
+
+        write_generation(spark, store, epoch, merge)
+
+    return run_to_end(files, checkpoint, batch)
+
+
+def upsert_stream(spark: SparkSession, updates: DataFrame, store: str, checkpoint: str, keys: list[str]):
+    """Keep the newest row per key of an update-mode stream in a store."""
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        def merge(before: DataFrame | None) -> DataFrame:
+            if before is None:
+                return rows
+            return before.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+
+        write_generation(spark, store, epoch, merge)
+
+    return run_to_end(updates, checkpoint, batch, mode="update")
