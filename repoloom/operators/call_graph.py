@@ -113,7 +113,7 @@ def in_house(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.filter(F.col("class_name").isNotNull()).select("id")
     return edges.join(own.select(F.col("id").alias("src")), "src", "left_semi").join(
         own.select(F.col("id").alias("dst")), "dst", "left_semi"
-    )
+    ).select("src", "dst")
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = fixed.PATH_DEPTH) -> DataFrame:
@@ -225,6 +225,8 @@ def java_call_facts(files: DataFrame) -> DataFrame:
     type_word = F.regexp_extract(head, r"([A-Za-z_]\w*)(?:<[^()]*>)?(?:\[\])*\s+[A-Za-z_]\w*\s*\z", 1)
     is_decl = m.rlike(r"[{;]\z") & ~type_word.isin(fixed.CODE_KEYWORDS) & (type_word != "")
     params = F.regexp_extract(m, r"\(([^()]*)\)", 1)
+    for _ in range(3):  # type arguments, innermost first
+        params = F.regexp_replace(params, r"<[^<>]*>", "")
     types = F.transform(
         F.filter(F.split(params, ","), lambda x: F.trim(x) != ""),
         # The word before the parameter's name, without type arguments.
