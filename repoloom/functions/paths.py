@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.functions.literals import bound, literal_map
 
 HOSTED = ["github", "gitlab", "bitbucket"]
 HOSTS = ["github.com", "gitlab.com", "bitbucket.org"]
@@ -49,7 +50,10 @@ def owner_repo(url: Column, compat: bool = False) -> Column:
     ``compat`` trims the characters of ``.git`` from the end of ssh paths
     instead of the suffix.
     """
-    s = strip(url)
+    return bound(strip(url), lambda s: _owner_repo(s, compat))
+
+
+def _owner_repo(s: Column, compat: bool) -> Column:
     is_ssh = s.startswith("git@")
     is_url = s.contains("://")
 
@@ -87,7 +91,14 @@ def owner_repo(url: Column, compat: bool = False) -> Column:
 
 def url_domain(s: Column) -> Column:
     """Scheme, host and a non-default port; null for text that is no URL."""
-    u = F.when(s.startswith("http"), s).otherwise(F.concat(F.lit("https://"), s))
+    return bound(_with_scheme(s), _domain)
+
+
+def _with_scheme(s: Column) -> Column:
+    return F.when(s.startswith("http"), s).otherwise(F.concat(F.lit("https://"), s))
+
+
+def _domain(u: Column) -> Column:
     pattern = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::(\d+))?(?:[/?#]|\z)"
     scheme = F.lower(F.regexp_extract(u, pattern, 1))
     host = F.lower(F.regexp_extract(u, pattern, 2))
@@ -99,45 +110,39 @@ def url_domain(s: Column) -> Column:
 
 def url_path(s: Column) -> Column:
     """Path without one leading and one trailing slash; null for text that is no URL."""
-    u = F.when(s.startswith("http"), s).otherwise(F.concat(F.lit("https://"), s))
-    path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(_with_scheme(s), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     return F.when(url_domain(s).isNotNull(), F.regexp_replace(path, r"^/|/\z", ""))
 
 
 def repository_input(text: Column) -> Column:
     """Struct(owner, repo, type, full_path, local_path) for a typed-in path or URL; null when unusable."""
-    s = strip(text)
+    def parse(s: Column) -> Column:
+        site = F.struct(url_domain(s).alias("domain"), _drop_git_suffix(url_path(s)).alias("path"))
+        return bound(site, lambda u: _repository_input(s, u["domain"], u["path"], F.split(u["path"], "/")))
+
+    return bound(strip(text), parse)
+
+
+def _repository_input(s: Column, domain: Column, full: Column, parts: Column) -> Column:
     windows = s.rlike(r"^[a-zA-Z]:\\(?:[^\\/:*?\"<>|\r\n]+\\)*[^\\/:*?\"<>|\r\n]*\z")
     unix = s.startswith("/")
     web = s.rlike(r"^(?:https?://)?([^/]+)/(.+?)/([^/]+)(?:\.git)?/?\z")
-
-    win_name = F.regexp_extract(s, r"([^\\]*)\z", 1)
-    unix_name = F.regexp_extract(s, r"([^/]+)/*\z", 1)
-    domain, full = url_domain(s), _drop_git_suffix(url_path(s))
-    parts = F.split(full, "/")
+    local = windows | unix
+    web_repo = strip(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")))
+    web_owner = strip(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")))
     web_type = (
         F.when(domain.contains("github.com"), "github")
         .when(domain.contains("gitlab.com") | domain.contains("gitlab."), "gitlab")
         .when(domain.contains("bitbucket.org") | domain.contains("bitbucket."), "bitbucket")
         .otherwise("web")
     )
-    local = windows | unix
-    usable = local | (
-        web
-        & (F.size(parts) >= 2)
-        & (strip(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))) != "")
-        & (strip(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))) != "")
-    )
-    repo = (
-        F.when(windows, F.coalesce(F.nullif(win_name, F.lit("")), F.lit("local-repo")))
-        .when(unix, F.coalesce(F.nullif(unix_name, F.lit("")), F.lit("local-repo")))
-        .otherwise(strip(F.try_element_at(parts, F.lit(-1))))
-    )
-    owner = F.when(local, "local").otherwise(strip(F.try_element_at(parts, F.lit(-2))))
+    local_name = F.when(windows, F.regexp_extract(s, r"([^\\]*)\z", 1)).otherwise(F.regexp_extract(s, r"([^/]+)/*\z", 1))
+    repo = F.when(local, F.coalesce(F.nullif(local_name, F.lit("")), F.lit("local-repo"))).otherwise(web_repo)
+    usable = local | (web & (F.size(parts) >= 2) & (web_repo != "") & (web_owner != ""))
     return F.when(
         usable,
         F.struct(
-            owner.alias("owner"),
+            F.when(local, "local").otherwise(web_owner).alias("owner"),
             _drop_git_suffix(repo).alias("repo"),
             F.when(local, "local").otherwise(web_type).alias("type"),
             F.when(~local, full).alias("full_path"),
@@ -274,5 +279,5 @@ def relative_path(path: Column, root: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """Parser language by case-folded extension, ``unknown`` otherwise."""
-    pairs = [F.lit(x) for kv in fixed.LANGUAGE_BY_EXTENSION.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(extension(path))), F.lit("unknown"))
+    languages = literal_map(fixed.LANGUAGE_BY_EXTENSION)
+    return F.coalesce(F.try_element_at(languages, F.lower(extension(path))), F.lit("unknown"))

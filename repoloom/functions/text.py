@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.functions.literals import literal_map
 from repoloom.functions.paths import strip
 
 
@@ -277,8 +278,7 @@ def response_error(c: Column) -> Column:
 
 def language_name(code: Column) -> Column:
     """Display name of a language code, ``English`` for unknown ones."""
-    pairs = [F.lit(x) for kv in fixed.LANGUAGE_NAMES.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.lit("English"))
+    return F.coalesce(F.try_element_at(literal_map(fixed.LANGUAGE_NAMES), code), F.lit("English"))
 
 
 def known_language(code: Column) -> Column:

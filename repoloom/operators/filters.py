@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.functions.literals import literal_list
 from repoloom.functions.paths import extension, file_name
 from repoloom.functions.text import token_estimate
 
@@ -38,7 +39,7 @@ def in_dirs(path: Column, dirs: Iterable[str], compat: bool = False) -> Column:
     names = sorted({clean_dir(d, compat) for d in dirs})
     if not names:
         return F.lit(False)
-    return F.arrays_overlap(_parts(path), F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap(_parts(path), literal_list(names))
 
 
 def glob_regex(pattern: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.functions.literals import literal_list, literal_map
 from repoloom.operators.columns import spread_small
 
 
@@ -32,7 +33,7 @@ def sql_text(value: str) -> str:
 
 
 def pick(values: list[str], index: Column) -> Column:
-    return F.try_element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+    return F.try_element_at(literal_list(values), (index % len(values) + 1).cast("int"))
 
 
 def sql_pick(values: list[str], index: str) -> str:
@@ -146,12 +147,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source files: every text line becomes a code line of the file's language."""
     d = F.col("doc_id")
     lang = pick(CODE_LANGS, d)
-    templates = F.create_map(
-        *[x for k, v in TEMPLATES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))]
-    )
+    templates = literal_map({k: "\x1e".join(v) for k, v in TEMPLATES.items()})
     rows = table(spark, sf_dir, "documents").select(
         d.alias("file_id"), F.col("source").alias("repo"), lang.alias("code_lang"), "text",
-        F.try_element_at(templates, lang).alias("tpl"),
+        F.split(F.try_element_at(templates, lang), "\x1e").alias("tpl"),
     )
     line = F.transform(
         F.split("text", "\n"),

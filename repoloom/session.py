@@ -18,6 +18,8 @@ def local_session(app: str = "repoloom", cores: str = "8", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call sites are only recorded for error messages; the fact patterns build many columns.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
