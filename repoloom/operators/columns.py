@@ -25,3 +25,15 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def join_salted(
+    big: DataFrame, small: DataFrame, keys: list[str], salt: Column, salts: int = 32, how: str = "inner"
+) -> DataFrame:
+    """Join wide rows to one narrow row per key; a key with most of the rows is spread over ``salts`` tasks.
+
+    ``small`` is repeated ``salts`` times, so it should hold short rows.
+    """
+    left = big.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from repoloom.functions import fixed
 from repoloom.operators.ordered import number_rows_by_id
+from repoloom.session import cut_lineage
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -67,6 +68,23 @@ def embed_texts(
     return df.mapInPandas(run, schema)
 
 
+def embed_cached(
+    df: DataFrame, cache: DataFrame, model: str, make: Callable[[], EmbedFn], text: str = "text", batch: int = fixed.EMBED_BATCH
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with vectors, new cache rows): every distinct text is embedded once per model.
+
+    cache: (model, text_hash, vector). Copies of one text share its hash, so a
+    corpus full of copies costs one embedding each, and failed texts are not cached.
+    """
+    keyed = df.withColumn("text_hash", F.sha2(F.col(text), 256))
+    known = cache.filter(F.col("model") == model).select("text_hash", "vector")
+    missing = keyed.groupBy("text_hash").agg(F.any_value(text).alias(text)).join(known, "text_hash", "left_anti")
+    # Written once: the new vectors go to the cache and to the result.
+    fresh = cut_lineage(embed_texts(missing, make, text, batch).filter("embed_status = 'ok'").select("text_hash", "vector"))
+    rows = keyed.join(known.unionByName(fresh), "text_hash", "left").drop("text_hash")
+    return rows, fresh.select(F.lit(model).alias("model"), "text_hash", "vector")
+
+
 def normalise(vector: Column) -> Column:
     """Unit-length vector; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

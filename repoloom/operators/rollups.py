@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import payloads as pl
 from repoloom.functions.paths import file_name
+from repoloom.operators.columns import join_salted
 from repoloom.operators.filters import visible_in_tree
 from repoloom.operators.ordered import number_rows
 
@@ -30,7 +31,9 @@ def repository_tree(files: DataFrame, part_rows: int = 100_000) -> DataFrame:
     """Visible tree of each repository with its README on the first part."""
     shown = files.filter(visible_in_tree(F.col("path")))
     first = F.col("part_no") == 0
-    return tree_parts(shown, part_rows).join(readmes(shown), "repo", "left").select(
+    # The README belongs to the first part only, so a repository of many parts meets it once.
+    tops = readmes(shown).withColumn("part_no", F.lit(0).cast("long"))
+    return tree_parts(shown, part_rows).join(tops, ["repo", "part_no"], "left").select(
         "repo", "part_no", "file_tree", F.when(first, F.coalesce("readme", F.lit(""))).alias("readme")
     )
 
@@ -45,7 +48,7 @@ def type_rollup(summaries: DataFrame, keys: list[str], name: str, item: Column,
     parts = numbered.groupBy(*keys, F.floor(F.col("n") / part_rows).alias("part_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "__item"))), lambda x: x["__item"]).alias("files")
     )
-    return parts.join(counts, keys)
+    return join_salted(parts, counts, keys, F.col("part_no"))
 
 
 def usage_by(responses: DataFrame, keys: list[str], body: str = "response") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from repoloom.functions import fixed
 
 DIGITS = 6
-_Q_BLOCK = 1024
+_SCORES = 4_000_000  # scores held at once
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -43,8 +43,9 @@ class _TopK:
         if not len(ids):
             return
         new_s, new_i = [], []
-        for b in range(0, len(self.qids), _Q_BLOCK):
-            cols = slice(b, b + _Q_BLOCK)
+        step = max(1, min(4096, _SCORES // len(ids)))
+        for b in range(0, len(self.qids), step):
+            cols = slice(b, b + step)
             s = np.round(vectors @ self.qvecs[cols].T, DIGITS)
             old_s, old_i = self.scores[:, cols], self.ids[:, cols]
             rows = ids
@@ -83,8 +84,8 @@ def top_k(
     queries: DataFrame,
     k: int = fixed.TOP_K,
     max_broadcast_values: int = 8_000_000,
-    cell_rows: int = 100_000,
-    block_queries: int = 4096,
+    cell_rows: int = 200_000,
+    block_queries: int = 20_000,
 ) -> DataFrame:
     """The k most similar corpus vectors of each query.
 
@@ -107,6 +108,10 @@ def top_k(
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    # Every task leaves k rows per query, so a few long tasks per core leave least to rank.
+    most = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    if corpus.rdd.getNumPartitions() > most:
+        corpus = corpus.coalesce(most)
     table = queries.orderBy("query_id").toArrow()
     qids = table["query_id"].to_numpy()
     shared = corpus.sparkSession.sparkContext.broadcast((qids, _matrix(table["query_vector"].combine_chunks())))

@@ -14,8 +14,8 @@ from repoloom.functions import fixed
 from repoloom.functions import payloads as pl
 from repoloom.functions import text as tx
 from repoloom.functions.paths import strip
-from repoloom.operators.columns import settle
-from repoloom.operators.ordered import text_parts
+from repoloom.operators.columns import join_salted, settle
+from repoloom.operators.ordered import number_rows, text_parts
 from repoloom.session import cut_lineage
 
 _PAGE = (
@@ -348,7 +348,7 @@ def json_parts(pages: DataFrame, repo_url: Column, generated_at: Column, part_pa
         F.transform(F.array_sort(F.collect_list(page)), lambda x: x["p"]).alias("pages")
     )
     doc = F.to_json(F.struct(F.struct("repository", "generated_at", "page_count").alias("metadata"), "pages"))
-    return parts.join(counts, "wiki_id").select("wiki_id", "part_no", doc.alias("json"))
+    return join_salted(parts, counts, ["wiki_id"], F.col("part_no")).select("wiki_id", "part_no", doc.alias("json"))
 
 
 def export_name(repo_url: Column, stamp: Column, extension: str) -> Column:
@@ -375,7 +375,8 @@ def budget_context(pages: DataFrame, budget: int = fixed.WIKI_CONTEXT_CHARS) ->
         "phase", F.when(is_high, 0).otherwise(1)
     )
     w = Window.partitionBy("wiki_id", "phase").orderBy("pos")
-    near = filled.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= reach)
+    filled = filled.select("wiki_id", "phase", "pos", "title", "content")
+    near = number_rows(filled, ["wiki_id", "phase"], ["pos"], "r").filter(F.col("r") < reach)
     head = F.concat(F.lit("## "), F.col("title"), F.lit("\n"))
     full = F.concat(head, F.col("content"), F.lit("\n\n"))
     short = F.concat(head, tx.first_paragraph(F.col("content")), F.lit("\n\n"))

@@ -553,3 +553,62 @@ def stream_assembly(spark, sf_dir):
     first = pieces.distinct_pieces(pieces.clean_pieces(rows), "at").drop("at")
     refresh.upsert_stream(spark, pieces.assembled(first, 1_000_000_000), store_path, checkpoint, ["session", "part_no"])
     return refresh.latest_generation(spark, store_path)
+
+
+@register("a5_chunk_store", "WITH " + _CHUNK_SQL.format(size=1000, step=700).replace("doc_id, chunk_no,", "doc_id, chunk_no::BIGINT AS chunk_no,"))
+def chunk_store(spark, sf_dir):
+    """Built on the first call, read on the second."""
+    path, _ = _fresh_store(spark, "chunks")
+
+    def build():
+        docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+        return chunking.word_chunks(docs)
+
+    for _ in range(2):
+        stored = store.load_or_build(spark, path, build, ["source"])
+    return stored.select("doc_id", "chunk_no", "text")
+
+
+@register(
+    "a8_analysis_sink",
+    f"""WITH {FILES_SQL} SELECT repo AS project, path, CASE lower({EXT_SQL}) {_LANG_CASE} ELSE 'unknown' END AS language, length(text) AS chars FROM files""",
+)
+def analysis_sink(spark, sf_dir):
+    path, _ = _fresh_store(spark, "analysis")
+    rows = files(spark, sf_dir).select(
+        F.col("repo").alias("project"), "path", paths.language_of(F.col("path")).alias("language"),
+        F.length("text").cast("long").alias("chars"),
+    )
+    store.write_analysis(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@register(
+    "a9_vector_store",
+    "SELECT vec_id, 'label ' || label AS text, len(embedding) AS size, label::VARCHAR AS label FROM embeddings",
+)
+def vector_store(spark, sf_dir):
+    path, _ = _fresh_store(spark, "vectors")
+    label = F.col("label").cast("string")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("label "), label).alias("text"), F.col("embedding").alias("vector"),
+        F.create_map(F.lit("label"), label).alias("meta"),
+    )
+    store.save_vectors(rows, path)
+    return spark.read.parquet(path).select(
+        "vec_id", "text", F.size("vector").cast("long").alias("size"), F.col("meta")["label"].alias("label")
+    )
+
+
+@register(
+    "a6_wiki_files",
+    f"""WITH old AS ({_WIKI_ROWS}, length(text) AS size FROM documents), new AS ({_WIKI_ROWS}, -1::BIGINT AS size FROM documents WHERE lang = 'en')
+    SELECT * FROM old WHERE language <> 'en' UNION ALL SELECT * FROM new""",
+)
+def wiki_files(spark, sf_dir):
+    """Stored by key; writing the English wikis again replaces them and leaves the others."""
+    path, _ = _fresh_store(spark, "wikis")
+    old = _wiki_rows(spark, sf_dir)
+    store.save_wikis(old, path)
+    store.save_wikis(old.filter("language = 'en'").withColumn("size", F.lit(-1).cast("long")), path)
+    return spark.read.parquet(path)

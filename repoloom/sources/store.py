@@ -36,9 +36,10 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 def save_wikis(wikis: DataFrame, path: str) -> None:
     """Write wikis (key columns + data); an existing wiki with the same key is replaced."""
-    wikis.repartition(*WIKI_KEY, F.pmod(F.xxhash64("page_id"), F.lit(16))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*WIKI_KEY).parquet(path)
+    # Rebalancing keeps a wiki's rows together but splits one that is larger than a usual partition.
+    balanced = wikis.hint("rebalance", *WIKI_KEY)
+    writer = balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*WIKI_KEY).parquet(path)
 
 
 def _key_filter(key: dict[str, str]) -> Column:

@@ -87,3 +87,16 @@ def test_question_retrieval_equals_brute_force(spark):
         best = sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:30]
         mine = got[got.query_id == i].sort_values("rank")
         assert list(mine.vec_id) == [ids[j] for j in best]
+
+
+def test_embedding_cache(spark):
+    def make():
+        return em.hashing_embedder(8)
+
+    empty = spark.createDataFrame([], "model string, text_hash string, vector array<float>")
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id long, text string")
+    rows, fresh = em.embed_cached(df, empty, "m", make)
+    assert fresh.count() == 2 and rows.filter("vector IS NOT NULL").count() == 3
+    again, none = em.embed_cached(df, fresh, "m", make)
+    assert none.count() == 0 and {r.id: r.vector for r in again.collect()} == {r.id: r.vector for r in rows.collect()}
+    assert em.embed_cached(df, fresh, "other", make)[1].count() == 2
