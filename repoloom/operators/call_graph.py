@@ -196,7 +196,7 @@ def chain_record(nodes: DataFrame, edges: DataFrame, part_rows: int = 10_000) ->
 # Order matters: a declaration is tried before a call.
 _DECLARATION = (
     r"(?:(?:public|private|protected|static|final|abstract|synchronized|native)\s+)*"
-    r"(?:<[^>()]*>\s*)?[A-Za-z_][\w.]*(?:<[^()]*?>)?(?:\[\])*\s+[A-Za-z_]\w*\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]"
+    r"(?:<[^>();{}]*>\s*)?[A-Za-z_][\w.]*(?:<[^();{}]*?>)?(?:\[\])*\s+[A-Za-z_]\w*\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]"
 )
 _CALL = r"(?:new\s+)?[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*\s*\("
 
@@ -208,7 +208,7 @@ def java_call_facts(files: DataFrame) -> DataFrame:
     in source order. Constructors, control statements and ``super`` calls are
     skipped. Replaceable: any function that returns the facts columns fits.
     """
-    code = F.regexp_replace("text", r'(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"', " ")
+    code = F.regexp_replace("text", r'(?s)/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', " ")
     first_class = F.nullif(F.regexp_extract(code, r"\bclass\s+([A-Za-z_]\w*)", 1), F.lit(""))
     package = F.nullif(F.regexp_extract(code, r"\bpackage\s+([\w.]+)\s*;", 1), F.lit(""))
     found = F.regexp_extract_all(code, F.lit(f"{_DECLARATION}|{_CALL}"), F.lit(0))

@@ -65,8 +65,9 @@ def _null() -> Column:
 
 
 def _rx(pattern: str) -> str:
-    # Unicode classes and \n as the only line end, as the patterns expect.
-    return "(?Ud)" + pattern
+    # Unicode classes and \n as the only line end, as the patterns expect. A run of blanks is taken
+    # at once: Java matches a repeated alternative recursively, and a long run would exhaust the stack.
+    return "(?Ud)" + pattern.replace(r"|\s)*", r"|\s++)*")
 
 
 def _group(line: Column, pattern: str, group: int) -> Column:

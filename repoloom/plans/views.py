@@ -196,7 +196,7 @@ def call_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
     pos = (F.col("l_linenumber").cast("long") * 100_000_000 + F.col("l_partkey")) * 1_000_000 + F.col("l_suppkey")
     decl = (F.col("l_returnflag") == "N") | (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         k.alias("file_no"),
         pos.alias("pos"),
         F.when(decl, "decl").otherwise("call").alias("kind"),

@@ -24,12 +24,19 @@ from repoloom.session import cut_lineage
 _ENTRY = "root string, repo string, path string, is_dir boolean, size long, mtime timestamp"
 
 
+def _file_system(root: str):
+    """File system and base path of a root: a URI, or a plain local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
+
+
 def _list_dirs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for pdf in frames:
         for root, repo, rel in zip(pdf["root"], pdf["repo"], pdf["path"]):
-            system, base = fs.FileSystem.from_uri(root)
+            system, base = _file_system(root)
             where = f"{base}/{rel}" if rel else base
             found = system.get_file_info(fs.FileSelector(where, allow_not_found=True))
             rows = [
@@ -47,7 +54,7 @@ def list_files(spark: SparkSession, roots: dict[str, str], hidden: bool = False)
     ``hidden`` also enters dot entries, which a plain recursive pattern leaves out.
     """
     level = spark.createDataFrame(
-        [(_uri(u), r, "") for r, u in sorted(roots.items())], "root string, repo string, path string"
+        [(u, r, "") for r, u in sorted(roots.items())], "root string, repo string, path string"
     )
     out = None
     while True:
@@ -63,10 +70,6 @@ def list_files(spark: SparkSession, roots: dict[str, str], hidden: bool = False)
             return out
 
 
-def _uri(root: str) -> str:
-    return root if "://" in root else "file://" + root
-
-
 def read_bytes(paths: DataFrame, batch_bytes: int = 64 << 20) -> DataFrame:
     """Add ``content`` (binary) and ``read_error``; big and small files are mixed over all tasks."""
     schema = T.StructType(
@@ -74,13 +77,11 @@ def read_bytes(paths: DataFrame, batch_bytes: int = 64 << 20) -> DataFrame:
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for pdf in frames:
             rows, held = [], 0
             for i, (root, rel) in enumerate(zip(pdf["root"], pdf["path"])):
                 try:
-                    system, base = fs.FileSystem.from_uri(root)
+                    system, base = _file_system(root)
                     with system.open_input_stream(f"{base}/{rel}") as f:
                         data, error = f.read(), None
                 except OSError as e:

@@ -64,3 +64,10 @@ def test_dependencies(spark):
     f = cf.file_facts(df)
     assert cf.dependencies(f).first().dependencies == ["a.b", "os"]
     assert cf.dependencies(f, compat=True).first().dependencies == ["c", "os"]
+
+
+def test_long_runs_do_not_exhaust_the_stack(spark):
+    blanks = " " * 50_000
+    f = facts(spark, files={"L.java": f"public{blanks}static int add(int a) {{", "L.cs": f"public{blanks}int add(int a) {{"})
+    assert (f[("L.java", 1)].name, f[("L.java", 1)].return_type) == ("add", "int")
+    assert f[("L.cs", 1)].name == "add"

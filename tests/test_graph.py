@@ -110,3 +110,9 @@ def test_chain_record_parts(spark):
         ["A.f(int) -> svc.run()", "A.f(int) -> unknown.g()", "A.g() -> A.f(int)"]
     )
     assert max(len(r["items"]) for r in rows) == 2
+
+
+def test_java_facts_with_long_literals(spark):
+    code = 'class A { void f() { g("' + "x\\\"" * 20_000 + '"); } }'
+    df = spark.createDataFrame([(1, "A.java", code)], "file_no long, path string, text string")
+    assert [(r.kind, r.name) for r in cg.java_call_facts(df).orderBy("pos").collect()] == [("decl", "f"), ("call", "g")]
