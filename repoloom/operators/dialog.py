@@ -29,7 +29,11 @@ def valid_requests(messages: DataFrame) -> DataFrame:
     return last_messages(messages).filter(F.col("last_role") == "user")
 
 
-def size_flags(messages: DataFrame, limit: int = fixed.SOCKET_QUESTION_TOKENS) -> DataFrame:
+# Transport of a question -> its token limit.
+QUESTION_LIMITS = {"socket": fixed.SOCKET_QUESTION_TOKENS, "http": fixed.HTTP_QUESTION_TOKENS}
+
+
+def size_flags(messages: DataFrame, limit: int = QUESTION_LIMITS["socket"]) -> DataFrame:
     """Last message of each conversation with its token estimate and the oversize flag."""
     return last_messages(messages).select(
         "conv_id",

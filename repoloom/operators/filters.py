@@ -131,7 +131,9 @@ def search_projects(projects: DataFrame, query: str) -> DataFrame:
     return projects.filter(cond)
 
 
-def size_route(chars: Column, limit: int, within: str, beyond: str) -> Column:
+def size_route(
+    chars: Column, limit: int = fixed.CALL_CHAIN_BYTES_LIMIT, within: str = "whole", beyond: str = "similarity_search"
+) -> Column:
     """Route of a record by its size."""
     return F.when(chars > limit, beyond).otherwise(within)
 

@@ -8,7 +8,8 @@ from repoloom.functions import fixed
 from repoloom.operators import code_facts as cf
 from repoloom.operators import rollups
 from repoloom.plans.catalog import register
-from repoloom.plans.views import CODE_EXT, CODE_SQL, code_files, sql_in, table
+from repoloom.plans.views import CODE_SQL, code_files, sql_in, table
+from repoloom.session import cut_lineage
 
 _P = fixed.LINE_PATTERNS
 
@@ -100,6 +101,11 @@ def facts(spark, sf_dir, compat: bool = False, languages: list[str] | None = Non
     return cf.line_facts(cf.code_lines(code_files(spark, sf_dir)), compat, languages)
 
 
+def stored_facts(spark, sf_dir):
+    """Facts written once for queries that read them several times."""
+    return cut_lineage(facts(spark, sf_dir))
+
+
 def _language_query(name: str, condition: str, compat: bool = False, lang: str | None = None) -> None:
     condition = f"lang = '{lang}' AND {condition}" if lang else condition
     sql = FACTS_SQL if not compat else facts_sql(True)
@@ -241,7 +247,7 @@ keys AS (SELECT c.file_id, c.class_line, c.name AS class_name, coalesce(string_a
 
 @register("f3_key_methods", f"WITH {_key_sql(2)} SELECT * FROM keys")
 def key_methods(spark, sf_dir):
-    return cf.key_methods(facts(spark, sf_dir), 2)
+    return cf.key_methods(stored_facts(spark, sf_dir), 2)
 
 
 @register(
@@ -258,7 +264,7 @@ def first_classes(spark, sf_dir):
 )
 def signatures(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    f = facts(spark, sf_dir)
+    f = stored_facts(spark, sf_dir)
     nested = cf.file_analysis(files, f)
     both = F.array_sort(
         F.concat(
@@ -296,7 +302,7 @@ def error_rows(spark, sf_dir):
 )
 def key_info(spark, sf_dir):
     files = code_files(spark, sf_dir).select("file_id")
-    f = facts(spark, sf_dir)
+    f = stored_facts(spark, sf_dir)
     info = rollups.key_info(
         files, cf.file_statistics(f), cf.key_methods(f), f.filter("kind = 'function'"), cf.dependencies(f)
     )

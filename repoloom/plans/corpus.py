@@ -8,7 +8,7 @@ from repoloom.functions import fixed, paths, payloads as pl, text as tx
 from repoloom.operators import chunking, filters, rollups
 from repoloom.operators.code_facts import project_totals
 from repoloom.plans.catalog import register
-from repoloom.plans.views import EXT_SQL, FILES_SQL, NAME_SQL, files, pick, sql_in, sql_pick, table
+from repoloom.plans.views import EXT_SQL, FILES_SQL, NAME_SQL, files, pick, sql_in, table
 from repoloom.sources import store
 
 _PARTS = "string_split(path, '/')"
@@ -180,7 +180,7 @@ def language_fallback(spark, sf_dir):
 def size_route(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("project", F.col("doc_id"))
     read = store.analysis_record(docs.select("project"), docs.select("project", F.col("text").alias("record")), 1000)
-    routes = docs.select("project", filters.size_route(F.col("n_chars"), 2000, "whole", "similarity_search").alias("route"))
+    routes = docs.select("project", filters.size_route(F.col("n_chars"), 2000).alias("route"))
     return routes.join(read, "project").withColumnRenamed("project", "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repoloom.operators import call_graph as cg
 from repoloom.operators.ordered import fill_forward
 from repoloom.plans.catalog import register
-from repoloom.plans.views import CALLS_SQL, CODE_SQL, call_facts, code_files, table
+from repoloom.plans.views import CALLS_SQL, call_facts, code_files, table
 
 
 def _calls(spark, sf_dir):

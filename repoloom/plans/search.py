@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoloom.functions import fixed
 from repoloom.operators import embedding as em
 from repoloom.operators import search as se
 from repoloom.operators.chunking import word_chunks
@@ -47,7 +48,7 @@ def top_k_search(spark, sf_dir):
 def store_top_k_grid(spark, sf_dir):
     """The way taken by query sides too large to broadcast."""
     return se.top_k(
-        vectors(spark, sf_dir), label_queries(spark, sf_dir), 20, max_broadcast_values=0, cell_rows=5000, block_queries=4
+        vectors(spark, sf_dir), label_queries(spark, sf_dir), fixed.STORE_TOP_K, max_broadcast_values=0, cell_rows=5000, block_queries=4
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repoloom.functions import fixed, paths, payloads as pl, text as tx
+from repoloom.functions import paths, payloads as pl, text as tx
 from repoloom.plans.catalog import register
 from repoloom.plans.views import pick, sql_pick, sql_text, table
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repoloom.functions import fixed, text as tx
+from repoloom.functions import fixed
 from repoloom.operators import wiki
 from repoloom.plans import views
 from repoloom.plans.catalog import register
-from repoloom.plans.views import GENERATED_SQL, PAGES_SQL, SECTIONS_SQL, sql_text, table
+from repoloom.plans.views import GENERATED_SQL, PAGES_SQL, SECTIONS_SQL, table
 
 NL = "chr(10)"
 _AT = "2024-01-01 00:00:00"

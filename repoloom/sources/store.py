@@ -134,3 +134,25 @@ def stored_language(code: Column) -> Column:
 def save_vectors(vectors: DataFrame, path: str) -> None:
     """Vector table keyed by vec_id (vec_id, text, vector, meta)."""
     vectors.select("vec_id", "text", "vector", "meta").write.mode("overwrite").parquet(path)
+
+
+def write_markdown(parts: DataFrame, path: str) -> None:
+    """Markdown exports, one folder per wiki; its files in name order are the document.
+
+    Range partitioning by position keeps the order over any number of files, so a
+    huge wiki is written by many tasks.
+    """
+    order = ["wiki_id", "section_no", "part_no"]
+    # Every part ends with a line feed, which the writer adds itself.
+    lines = parts.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("wiki_id", "text").write.mode(
+        "overwrite"
+    ).partitionBy("wiki_id").text(path)
+
+
+def write_json_export(documents: DataFrame, path: str) -> None:
+    """JSON exports, one folder per wiki, one document per line."""
+    order = ["wiki_id", "part_no"]
+    documents.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "wiki_id", F.col("json").alias("value")
+    ).write.mode("overwrite").partitionBy("wiki_id").text(path)

@@ -1,9 +1,7 @@
 """Plan checks: what reaches the scan, what is shuffled, what is broadcast."""
 
 import pytest
-from pyspark.sql import functions as F
-
-from repoloom.operators import call_graph, chunking, dialog, search, wiki
+from repoloom.operators import call_graph, chunking, dialog
 from repoloom.plans import all_queries, views
 
 SF = "/root/testdata/sf0.001"

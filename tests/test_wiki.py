@@ -76,6 +76,23 @@ def test_markdown_document(spark):
         assert "".join(r.text for r in rows) == want
 
 
+def test_export_files(spark, tmp_path):
+    import glob
+    import json
+
+    from repoloom.sources import store
+
+    df = spark.createDataFrame(PAGES, PAGE_SCHEMA)
+    parts = wiki.markdown_parts(df, F.lit("U"), F.lit("NOW"), 1)
+    store.write_markdown(parts, str(tmp_path / "md"))
+    files = sorted(glob.glob(str(tmp_path / "md" / "wiki_id=w" / "*.txt")))
+    text = "".join(open(f, newline="").read() for f in files)
+    assert text == "".join(r.text for r in parts.orderBy("section_no", "part_no").collect())
+    store.write_json_export(wiki.json_parts(df, F.lit("U"), F.lit("NOW"), 2), str(tmp_path / "js"))
+    lines = [x for f in sorted(glob.glob(str(tmp_path / "js" / "wiki_id=w" / "*.txt"))) for x in open(f)]
+    assert [len(json.loads(x)["pages"]) for x in lines] == [2, 1]
+
+
 def test_json_document(spark):
     import json
 
