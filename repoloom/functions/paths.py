@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from repoloom.functions import fixed
 from repoloom.functions.literals import bound, literal_map
 
-HOSTED = ["github", "gitlab", "bitbucket"]
-HOSTS = ["github.com", "gitlab.com", "bitbucket.org"]
-
-
 def strip(c: Column, chars: str = fixed.PY_WHITESPACE) -> Column:
     """Trim a set of characters on both sides."""
     return F.btrim(c, F.lit(chars))
@@ -40,7 +36,7 @@ def repo_name(url: Column, kind: Column) -> Column:
     parts = F.split(F.rtrim(url, F.lit("/")), "/")
     last = _drop_git(F.try_element_at(parts, F.lit(-1)))
     owner = F.try_element_at(parts, F.lit(-2))
-    hosted = kind.isin(HOSTED) & (F.size(parts) >= 5)
+    hosted = kind.isin(fixed.HOST_TYPES) & (F.size(parts) >= 5)
     return F.when(hosted, F.concat_ws("_", owner, last)).otherwise(last)
 
 
@@ -75,7 +71,7 @@ def _owner_repo(s: Column, compat: bool) -> Column:
         .when(is_ssh & ~ssh_path.contains("/"), "owner/repo expected")
         .when(is_ssh, F.lit(None).cast("string"))
         .when(is_url & (host == ""), "no host")
-        .when(is_url & ~host.isin(HOSTS), "unsupported host")
+        .when(is_url & ~host.isin(fixed.HOSTS), "unsupported host")
         .when(is_url & (F.size(url_parts) < 2), "owner or repo not found")
         .when(is_url, F.lit(None).cast("string"))
         .when(~s.contains("/"), "owner/repo expected")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repoloom.functions import fixed
 from repoloom.functions import text as tx
 from repoloom.functions.paths import strip
 
@@ -51,21 +52,11 @@ def model_provider(model_id: Column) -> Column:
     return F.when(model_id.contains("."), F.substring_index(model_id, ".", 1)).otherwise("amazon")
 
 
-# Provider -> (list key, path of the text in the list's first item).
-RESPONSE_PATHS = {
-    "anthropic": ("content", "text"),
-    "amazon": ("results", "outputText"),
-    "cohere": ("generations", "text"),
-    "ai21": ("completions", "data.text"),
-}
-RESPONSE_KEYS = ["text", "content", "output", "completion"]
-
-
 def response_text(provider: Column, c: Column) -> Column:
     """Generated text of a provider's response object."""
-    other = F.coalesce(*[F.get_json_object(c, f"$.{k}") for k in RESPONSE_KEYS], c)
+    other = F.coalesce(*[F.get_json_object(c, f"$.{k}") for k in fixed.RESPONSE_KEYS], c)
     out = None
-    for name, (key, path) in RESPONSE_PATHS.items():
+    for name, (key, path) in fixed.RESPONSE_PATHS.items():
         value = F.coalesce(F.get_json_object(c, f"$.{key}[0].{path}"), F.lit(""))
         out = F.when(provider == name, value) if out is None else out.when(provider == name, value)
     return out.otherwise(other)

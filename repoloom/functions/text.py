@@ -82,12 +82,9 @@ def insert_after_line(c: Column, line_start: Column, note: Column) -> Column:
     ).otherwise(c)
 
 
-_NOTE_STYLE = '<div style="text-align: right; font-size: 0.85em; color: #666;">\n'
-
-
 def insert_project_note(c: Column) -> Column:
     """Insert the time note after the final-project heading."""
-    note = F.lit(_NOTE_STYLE + "Estimated time: 20-30 minutes | Combines concepts from all exercises\n</div>\n\n")
+    note = F.lit(fixed.NOTE_STYLE + "Estimated time: 20-30 minutes | Combines concepts from all exercises\n</div>\n\n")
     return F.when(c.rlike(r"(?m)^## Final Project"), insert_after_line(c, F.lit("## Final Project"), note)).otherwise(c)
 
 
@@ -110,7 +107,7 @@ def annotate_exercises(c: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         note = F.concat(
-            F.lit(_NOTE_STYLE + "Exercise "), (x["i"] + 1).cast("string"), F.lit(" of "), total.cast("string"),
+            F.lit(fixed.NOTE_STYLE + "Exercise "), (x["i"] + 1).cast("string"), F.lit(" of "), total.cast("string"),
             F.lit(" | Estimated time: "), exercise_minutes(x["i"], total).cast("string"), F.lit(" minutes\n</div>\n\n"),
         )
         return insert_after_line(acc, x["h"], note)
@@ -133,15 +130,7 @@ def slide_items(c: Column, repo: Column) -> Column:
         F.regexp_extract_all(c, F.lit(r"(?m)^([^:\n]+)(?::\s*(.*?))?$"), F.lit(1)),
         lambda t: (F.length(t) > 3) & ~F.lower(t).contains("please") & ~F.lower(t).contains("here"),
     )
-    defaults = F.array(
-        F.concat(F.lit("Title Slide: Introduction to "), repo),
-        F.concat(F.lit("Overview: Key features and purpose of "), repo),
-        F.lit("Architecture: System components and structure"),
-        F.lit("Features: Main capabilities and functionalities"),
-        F.lit("Implementation: How it works and technical details"),
-        F.concat(F.lit("Use Cases: How to use "), repo, F.lit(" effectively")),
-        F.lit("Conclusion: Summary and next steps"),
-    )
+    defaults = F.array(*[F.replace(F.lit(s), F.lit("{repo}"), repo) for s in fixed.DEFAULT_SLIDES])
 
     def if_any(a: Column) -> Column:
         return F.when(F.size(a) > 0, a)
@@ -204,36 +193,18 @@ def research_stage(c: Column, iteration: Column) -> Column:
 
 def research_complete(c: Column) -> Column:
     """True when an answer announces the end of the research."""
-    closing = _has(c, "## Conclusion", "## Summary") & ~_has(
-        c, "I will now proceed to", "Next Steps", "next iteration"
-    )
-    phrases = _has(
-        c,
-        "This concludes our research",
-        "This completes our investigation",
-        "This concludes the deep research process",
-        "Key Findings and Implementation Details",
-        "In conclusion,",
-    ) | (c.contains("Final") & c.contains("Conclusion"))
+    closing = _has(c, *fixed.CLOSING_HEADINGS) & ~_has(c, *fixed.CLOSING_DENIALS)
+    phrases = _has(c, *fixed.CLOSING_PHRASES) | (c.contains("Final") & c.contains("Conclusion"))
     topic = (
-        c.contains("Dockerfile")
-        & _has(c, "This Dockerfile", "The Dockerfile")
-        & ~_has(c, "Next Steps", "In the next iteration")
+        c.contains("Dockerfile") & _has(c, *fixed.TOPIC_PHRASES) & ~_has(c, *fixed.TOPIC_DENIALS)
     )
     return c.contains("## Final Conclusion") | closing | phrases | topic
 
 
-COMPLETION_NOTE = (
-    "\n\n## Final Conclusion\nAfter multiple iterations of deep research, we've gathered significant insights about "
-    "this topic. This concludes our investigation process, having reached the maximum number of research iterations. "
-    "The findings presented across all iterations collectively form our comprehensive answer to the original question."
-)
-
-
 def with_completion_note(c: Column, iteration: Column) -> Column:
     """Append the closing note when the last iteration ends without a conclusion."""
     forced = (iteration >= fixed.FINAL_ITERATION) & ~research_complete(c)
-    return F.when(forced, F.concat(c, F.lit(COMPLETION_NOTE))).otherwise(c)
+    return F.when(forced, F.concat(c, F.lit(fixed.COMPLETION_NOTE))).otherwise(c)
 
 
 def retrieval_query(question: Column, path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repoloom.functions import paths, payloads as pl, text as tx
+from repoloom.functions import fixed, paths, payloads as pl, text as tx
 from repoloom.plans.catalog import register
 from repoloom.plans.views import pick, sql_pick, sql_text, table
 
@@ -263,7 +263,7 @@ def contents_list(spark, sf_dir):
 @register(
     "h15_project_note",
     f"""WITH {_WORKSHOP_SQL} SELECT doc_id, replace(c, '## Final Project' || {NL}, '## Final Project' || {NL} ||
-    {sql_text(tx._NOTE_STYLE + 'Estimated time: 20-30 minutes | Combines concepts from all exercises')} || {NL} || '</div>' || {NL} || {NL}) AS content FROM w""",
+    {sql_text(fixed.NOTE_STYLE + 'Estimated time: 20-30 minutes | Combines concepts from all exercises')} || {NL} || '</div>' || {NL} || {NL}) AS content FROM w""",
 )
 def project_note(spark, sf_dir):
     return _workshops(spark, sf_dir).select("doc_id", tx.insert_project_note(F.col("c")).alias("content"))
@@ -291,7 +291,7 @@ def exercises(spark, sf_dir):
 @register(
     "e8_annotated_workshops",
     f"""WITH {_EXERCISES_SQL} SELECT w.doc_id, coalesce(string_split(c, '## Exercise ')[1] || x, c) AS content FROM w LEFT JOIN (
-      SELECT t.doc_id, string_agg('## Exercise ' || string_split(part, {NL})[1] || {NL} || {sql_text(tx._NOTE_STYLE)} || 'Exercise ' || i || ' of ' || total
+      SELECT t.doc_id, string_agg('## Exercise ' || string_split(part, {NL})[1] || {NL} || {sql_text(fixed.NOTE_STYLE)} || 'Exercise ' || i || ' of ' || total
         || ' | Estimated time: ' || minutes || ' minutes' || {NL} || '</div>' || {NL} || {NL} || substr(part, length(string_split(part, {NL})[1]) + 2), '' ORDER BY i) AS x
       FROM timed t JOIN (SELECT doc_id, unnest(string_split(c, '## Exercise ')[2:]) AS part,
         generate_subscripts(string_split(c, '## Exercise ')[2:], 1) AS i FROM w) p USING (doc_id, i) GROUP BY 1) y ON w.doc_id = y.doc_id""",
@@ -417,7 +417,7 @@ def response_errors(spark, sf_dir):
 
 @register(
     "h23_completion_note",
-    f"SELECT doc_id, (doc_id % 7)::BIGINT AS iteration, CASE WHEN doc_id % 7 >= 5 AND lang <> 'en' THEN text || {sql_text(tx.COMPLETION_NOTE)} WHEN lang = 'en' THEN text || 'In conclusion,' ELSE text END AS text FROM documents",
+    f"SELECT doc_id, (doc_id % 7)::BIGINT AS iteration, CASE WHEN doc_id % 7 >= 5 AND lang <> 'en' THEN text || {sql_text(fixed.COMPLETION_NOTE)} WHEN lang = 'en' THEN text || 'In conclusion,' ELSE text END AS text FROM documents",
 )
 def completion_note(spark, sf_dir):
     it = F.col("doc_id") % 7
