@@ -26,9 +26,9 @@ _PID = "__pid"
 HOT_ROWS = 1_000_000
 
 
-def _range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, hot_rows: int) -> DataFrame:
+    # As many partitions as keep each within hot_rows, however many rows there are.
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(hot_rows, 10_000)))
     spread = df.repartitionByRange(n, *keys, *order)
     return cut_lineage(spread.withColumn(_PID, F.spark_partition_id()))
 
@@ -80,21 +80,23 @@ def _by_heat(
     df: DataFrame,
     keys: list[str],
     plain: Callable[[DataFrame], DataFrame],
-    spread: Callable[[DataFrame], DataFrame],
+    spread: Callable[[DataFrame, int], DataFrame],
     hot_rows: int,
     measure: DataFrame | None,
 ) -> DataFrame:
     """Apply ``plain`` to groups of usual size and ``spread`` to hot ones; without keys all rows are one group."""
+    counted = df if measure is None else measure
     if not keys:
-        return spread(df)
-    sizes = (df if measure is None else measure).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
-    if hot.isEmpty():
+        return spread(df, counted.count())
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = sizes.filter(F.col("__n") > hot_rows)
+    rows = hot.agg(F.sum("__n").alias("n")).first()["n"]
+    if rows is None:
         return plain(df)
-    hot = cut_lineage(hot)
+    hot = cut_lineage(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys]))
     cond = _same_key(df, hot, keys, "__h_")
     cold, warm = df.join(F.broadcast(hot), cond, "left_anti"), df.join(F.broadcast(hot), cond, "left_semi")
-    return plain(cold).unionByName(spread(warm))
+    return plain(cold).unionByName(spread(warm, rows))
 
 
 def number_rows(
@@ -115,8 +117,8 @@ def number_rows(
         w = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
-    def spread(rows: DataFrame) -> DataFrame:
-        pieces = _range_pieces(rows, keys, order)
+    def spread(rows: DataFrame, total: int) -> DataFrame:
+        pieces = _range_pieces(rows, keys, order, total, hot_rows)
         carry = _carried_over(pieces, keys, F.count(F.lit(1)), F.sum, "__before")
         local = Window.partitionBy(_PID, *keys).orderBy(*order)
         numbered = pieces.withColumn("__local", F.row_number().over(local) - 1)
@@ -147,8 +149,8 @@ def fill_forward(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return rows.withColumn(name, F.last("__v", ignorenulls=True).over(w)).drop("__v")
 
-    def spread(rows: DataFrame) -> DataFrame:
-        pieces = _range_pieces(rows, keys, order)
+    def spread(rows: DataFrame, total: int) -> DataFrame:
+        pieces = _range_pieces(rows, keys, order, total, hot_rows)
         at = F.when(F.col("__v").isNotNull(), F.struct(*order))
         carry = _carried_over(pieces, keys, F.max_by("__v", at), lambda c: F.last(c, ignorenulls=True), "__carry")
         local = Window.partitionBy(_PID, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)

@@ -108,10 +108,11 @@ def top_k(
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    # Every task leaves k rows per query, so a few long tasks per core leave least to rank.
-    most = 2 * corpus.sparkSession.sparkContext.defaultParallelism
-    if corpus.rdd.getNumPartitions() > most:
-        corpus = corpus.coalesce(most)
+    # Every task leaves k rows per query, so long tasks leave least to rank. The limit only ever merges
+    # splits; the shuffle setting guards against a session that has few executors yet.
+    spark = corpus.sparkSession
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    corpus = corpus.coalesce(most)
     table = queries.orderBy("query_id").toArrow()
     qids = table["query_id"].to_numpy()
     shared = corpus.sparkSession.sparkContext.broadcast((qids, _matrix(table["query_vector"].combine_chunks())))
