@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repoloom.llm import line_quality, preference
+from repoloom.llm.sampling import id_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +37,52 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op4_line_quality", line_quality.SQL)
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return line_quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens."""
     from repoloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+@query("op1_preference_pairs", preference.SQL)
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, chosen and rejected completion of one pair per conversation, with the trained spans."""
+    rows = preference.format_pairs(preference.pairs_from_conversations(table(spark, sf_dir, "conversations")))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
+    return rows.withColumn("spans", spans)
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose id's crc32 is not 2 modulo 4."""
+    from repoloom.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 4) == 2
+    return identify(docs, fit(docs.filter(~held_out)), held_out)
+
+
+@query("op8_nbest_pieces")
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document, as digests, and whether decoding them gives the text again."""
+    from repoloom.llm.nbest import encode_n_best
+
+    return encode_n_best(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n=4, with_ids=False)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of ids whose crc32 is not 1 modulo 3."""
+    from repoloom.llm.toxicity import fit, score, with_held_out
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 3) == 1
+    scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return score(with_held_out(docs, held_out), scorer, keep=("doc_id", "held_out"))
