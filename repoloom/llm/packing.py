@@ -21,13 +21,17 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repoloom.llm.words import slices
+
 UNIT_CACHE = 400_000
 
 
@@ -50,43 +54,73 @@ def text_slices(text: str, limit: int = 1_000_000) -> Iterator[str]:
         yield text[pos:]
 
 
-def unit_encoder(encode_batch: Callable[[list[str]], list[list[int]]], cache_size: int = UNIT_CACHE) -> Callable[[str], bytes]:
-    """Encode texts as little-endian unsigned 32-bit ids, remembering the ids of each space-separated unit.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+SIGNS = r"0-9,.;:!?()\[\]{}\"#$%&*+\-/=@_"
+CUTTABLE = re.compile(rf" ?[{LATIN}{SIGNS}]*(?:\n[{LATIN}{SIGNS}]+)*\n?")
+PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+")
+BLANK_AFTER_SPACE = re.compile(r" (?=\s)")
+
+
+def unit_encoder(encode_batch: Callable[[list[str]], list[list[int]]], cache_size: int = UNIT_CACHE) -> Callable[[list[str]], list[bytes]]:
+    """Encode texts as unsigned 32-bit ids in the machine's (little-endian) order, remembering the ids of each space-separated unit.
 
     In byte-level pre-tokenization a token never runs from a character into a following space
-    that precedes a visible character, so units cut there are encoded independently.
+    that precedes a visible character, so units cut there are encoded independently. A unit of Latin letters and ASCII
+    without apostrophes or runs of white space is cut again where letters begin and end, which are token ends, too.
     """
-    import numpy as np
-
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}  # of a unit as it stands after a space, which it has in front
+    parts_known: dict[str, bytes] = {}
 
-    def learn(units: list[str]) -> None:
+    def learn(units: set[str]) -> None:
         if len(known) + len(units) > cache_size:
             known.clear()
-        for u, ids in zip(units, encode_batch(units)):
-            known[u] = np.array(ids, "<u4").tobytes()
-
-    def encode_slice(text: str) -> bytes:
+            parts_known.clear()
+        whole = [" " + u for u in units]
+        cut = [PARTS.findall(u) if CUTTABLE.fullmatch(u) else [u] for u in whole]
+        fresh = list(set().union(*cut).difference(parts_known))
+        for p, ids in zip(fresh, encode_batch(fresh) if fresh else ()):
+            parts_known[p] = array("I", ids).tobytes()
+        for u, ps in zip(units, cut):
+            known[u] = parts_known[ps[0]] if len(ps) == 1 else b"".join([parts_known[p] for p in ps])
+
+    def units_of(text: str) -> list[str]:
         head, *rest = text.split(" ")
-        if "" in rest or any(map(str.isspace, [r[:1] for r in rest])):
-            merged = [head]
+        if BLANK_AFTER_SPACE.search(text) or text.endswith(" "):
+            merged = []
             for r in rest:
                 if not r or r[0].isspace():
-                    merged[-1] += " " + r
+                    if merged:
+                        merged[-1] += " " + r
+                    else:
+                        head += " " + r
                 else:
-                    merged.append(" " + r)
-            units = merged
-        else:
-            units = [head, *[" " + r for r in rest]]
-        found = list(map(known.get, units))
-        if None in found:
-            learn(list({u for u, f in zip(units, found) if f is None}))
-            found = list(map(known.get, units))
-            if None in found:  # the memory was emptied meanwhile
-                return b"".join(np.array(i, "<u4").tobytes() for i in encode_batch(units))
-        return b"".join(found)
-
-    return lambda text: b"".join(map(encode_slice, text_slices(text)))
+                    merged.append(r)
+            rest = merged
+        return [head, *rest]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out = []
+        for lo, hi in slices(texts, 500_000):
+            pieces = [[units_of(s) for s in text_slices(t)] if t else [] for t in texts[lo:hi]]
+            missing = set().union(*[u[1:] for p in pieces for u in p]).difference(known)
+            heads = list({h for p in pieces for u in p if (h := u[0])})
+            first = dict(zip(heads, encode_batch(heads))) if heads else {}
+            if missing:
+                learn(missing)
+            for p in pieces:
+                row = []
+                for u in p:
+                    if u[0]:
+                        row.append(array("I", first[u[0]]).tobytes())
+                    try:
+                        row.append(b"".join(map(known.__getitem__, u[1:])))
+                    except KeyError:  # the memory was emptied meanwhile
+                        learn(set(u[1:]))
+                        row.append(b"".join(map(known.__getitem__, u[1:])))
+                out.append(b"".join(row))
+        return out
+
+    return encode
 
 
 def assign(lengths: list[int], rooms: list[int], linear: float, quadratic: float, tries: int = 16) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -146,7 +180,7 @@ def pack(
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        encode = unit_encoder(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)])
+        encode = unit_encoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
         end = np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
@@ -178,10 +212,14 @@ def pack(
             columns, rows = list(zip(*rows)), []
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+        def encoded(batch):
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    yield doc_id, ids + end
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                ids = (encode(text) if text else b"") + end
+            for doc_id, ids in encoded(batch):
                 tokens = len(ids) // 4
                 whole = tokens - tokens % capacity
                 for start in range(0, whole, capacity):

@@ -137,10 +137,15 @@ class Scorer:
         return 1.0 - clean
 
 
-def _features(text: str, lengths: range) -> set[str]:
-    """Words (closed by $) and word beginnings."""
-    words = set(re.findall(r"[^\W\d_]+", text.lower()))
-    return {w + "$" for w in words} | {w[:n] for w in words for n in lengths if len(w) > n}
+def _significant(bad: Counter, all_: Counter, rate: float, precision: float, clean_weight: float, z: float = 2.6) -> dict[str, float]:
+    """Features that toxic texts have significantly more often, with Wilson's lower bound of their share."""
+    out, limit = {}, math.log(0.05 / max(1, len(all_)))
+    for f, t in bad.items():
+        n = t + (all_[f] - t) * clean_weight
+        q = t / n
+        if t >= 3 and q >= precision and _log_tail(t, all_[f], rate) < limit:
+            out[f] = (q + z * z / 2 / n - z * math.sqrt(q * (1 - q) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    return out
 
 
 def _first_copies(texts: list[str]) -> list[bool]:
@@ -165,34 +170,49 @@ def _log_tail(t: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
 
 
-def learn(texts: list[str], toxic: list[int], precision: float = 0.9, lengths: range = range(3, 9)) -> tuple[dict[str, float], float]:
-    """Lexicon (word or beginning -> weight) and share of toxic texts without any match."""
+def learn(
+    texts: list[str], toxic: list[int], precision: float = 0.75, lengths: range = range(3, 9), clean_weight: float = 1.0
+) -> tuple[dict[str, float], float]:
+    """Lexicon (word or beginning -> weight) and share of toxic texts without any match.
+
+    ``clean_weight`` is the number of clean rows that one in the sample stands for, per toxic row.
+    """
     first = _first_copies(texts)
     pairs = [(t, y) for t, y, f in zip(texts, toxic, first) if f]
     lexicon = {w + "$": 0.9 for w in INSULTS}
     total = len(pairs)
     positive = sum(y for _, y in pairs)
     if positive and positive < total:
+        rate = positive / total
+        own = [(set(re.findall(r"[^\W\d_]+", t.lower())), y) for t, y in pairs]
+        bad, all_ = Counter(), Counter()
+        for words, y in own:
+            all_.update(words)
+            if y:
+                bad.update(words)
+        lexicon.update((w + "$", p) for w, p in _significant(bad, all_, rate, precision, clean_weight).items())
+        # A beginning counts by the words that are not in the lexicon themselves, of which there must be three.
+        spread: dict[str, set[str]] = {}
         bad, all_ = Counter(), Counter()
-        for text, y in pairs:
-            f = _features(text, lengths)
-            all_.update(f)
+        for words, y in own:
+            stems = {w[:n] for w in words if w + "$" not in lexicon for n in lengths if len(w) > n}
+            all_.update(stems)
             if y:
-                bad.update(f)
-        rate, limit = positive / total, math.log(0.05 / len(all_))
-        for f, t in bad.items():
-            n = all_[f]
-            # Wilson's lower bound at one standard deviation
-            q = t / n
-            low = (q + 0.5 / n - math.sqrt(q * (1 - q) / n + 0.25 / n / n)) / (1 + 1 / n)
-            if t >= 3 and q >= precision and _log_tail(t, n, rate) < limit:
-                lexicon[f] = max(low, 0.72)
+                bad.update(stems)
+        stems = _significant(bad, all_, rate, precision, clean_weight)
+        for words, y in own:
+            for w in words:
+                for n in lengths:
+                    if w[:n] in stems and w + "$" not in lexicon:
+                        spread.setdefault(w[:n], set()).add(w)
+        lexicon.update((p, q) for p, q in stems.items() if len(spread.get(p, ())) >= 3)
     scorer = Scorer(lexicon, 0.0)
     missed = [y for t, y in pairs if not scorer.matches(t)]
-    return lexicon, (sum(missed) + 0.5) / (len(missed) + 10.0) if missed else 0.05
+    clean = (len(missed) - sum(missed)) * clean_weight
+    return lexicon, (sum(missed) + 0.5) / (sum(missed) + clean + 10.0) if missed else 0.05
 
 
-def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, max_chars: int = 50_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 3000, max_chars: int = 50_000) -> Scorer:
     """Learn from documents with a label: columns ``doc_id``, ``text``; ``doc_id``, ``toxic``."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = per_class(known, "toxic", "doc_id", docs_per_class)  # at most about 2 x docs_per_class rows, so it may be broadcast
@@ -206,12 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, max_char
         .toArrow()
     )
     share = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    lexicon, base = learn(rows["text"].to_pylist(), rows["toxic"].to_pylist())
-    # The sample holds more toxic rows than the corpus; the base is brought back to the corpus' share.
+    # The sample holds more toxic rows than the corpus does.
     sampled = Counter(rows["toxic"].to_pylist())
+    weight = 1.0
     if share.get(1) and share.get(0) and sampled[1] and sampled[0]:
-        odds = base / (1 - base) * (share[1] / share[0]) / (sampled[1] / sampled[0])
-        base = odds / (1 + odds)
+        weight = max(1.0, (share[0] / share[1]) / (sampled[0] / sampled[1]))
+    lexicon, base = learn(rows["text"].to_pylist(), rows["toxic"].to_pylist(), clean_weight=weight)
     return Scorer(lexicon, min(base, 0.5))
 
 
