@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.llm import line_quality, preference
+from repoloom.llm import chunk_dedup, kmeans_tree, line_dedup, line_quality, near_dups, preference
 from repoloom.llm.sampling import id_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_chunk_dedup")
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every document without passages that an earlier document holds, and the documents that hold them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.dedup_chunks(docs).withColumn("kept_in", F.array_join(F.col("kept_in").cast("array<string>"), ","))
+
+
 @query("op4_line_quality", line_quality.SQL)
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line to remove, with the earlier line that it equals or that is one word away."""
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens."""
@@ -77,6 +96,12 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_n_best(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n=4, with_ids=False)
 
 
+@query("op9_nearest_vectors")
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels of ids whose crc32 is not 1 modulo 3."""
