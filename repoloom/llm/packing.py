@@ -61,7 +61,26 @@ PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+")
 BLANK_AFTER_SPACE = re.compile(r" (?=\s)")
 
 
-def unit_encoder(encode_batch: Callable[[list[str]], list[list[int]]], cache_size: int = UNIT_CACHE) -> Callable[[list[str]], list[bytes]]:
+WORD = re.compile(rf"([{LATIN}]+)([{SIGNS}]*\n?)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: itself if it can be printed, else the next free one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def word_model(model) -> Callable[[str], list[int]]:
+    """Ids of one word with a space in front, which is a single pre-token: the merges of the model are all it takes."""
+    letters = byte_letters()
+    space, tokenize = letters[0x20], model.tokenize
+    return lambda word: [t.id for t in tokenize(space + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))]
+
+
+def unit_encoder(
+    encode_batch: Callable[[list[str]], list[list[int]]], encode_word: Callable[[str], list[int]], cache_size: int = UNIT_CACHE
+) -> Callable[[list[str]], list[bytes]]:
     """Encode texts as unsigned 32-bit ids in the machine's (little-endian) order, remembering the ids of each space-separated unit.
 
     In byte-level pre-tokenization a token never runs from a character into a following space
@@ -75,13 +94,27 @@ def unit_encoder(encode_batch: Callable[[list[str]], list[list[int]]], cache_siz
         if len(known) + len(units) > cache_size:
             known.clear()
             parts_known.clear()
-        whole = [" " + u for u in units]
-        cut = [PARTS.findall(u) if CUTTABLE.fullmatch(u) else [u] for u in whole]
-        fresh = list(set().union(*cut).difference(parts_known))
+        words, others = [], {}
+        for u in units:
+            if u.isascii() and u.isalpha():
+                known[u] = array("I", encode_word(u)).tobytes()
+                continue
+            m = WORD.fullmatch(u)
+            if m is None:
+                others[u] = PARTS.findall(" " + u) if CUTTABLE.fullmatch(u) else [" " + u]
+            else:
+                words.append((u, *m.groups()))
+        fresh = list({w[2] for w in words if w[2]}.union(*others.values()).difference(parts_known))
         for p, ids in zip(fresh, encode_batch(fresh) if fresh else ()):
             parts_known[p] = array("I", ids).tobytes()
-        for u, ps in zip(units, cut):
-            known[u] = parts_known[ps[0]] if len(ps) == 1 else b"".join([parts_known[p] for p in ps])
+        for u, head, tail in words:
+            ids = known.get(head)
+            if ids is None:
+                ids = known[head] = array("I", encode_word(head)).tobytes()
+            if tail:
+                known[u] = ids + parts_known[tail]
+        for u, ps in others.items():
+            known[u] = b"".join([parts_known[p] for p in ps])
 
     def units_of(text: str) -> list[str]:
         head, *rest = text.split(" ")
@@ -180,7 +213,7 @@ def pack(
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        encode = unit_encoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+        encode = unit_encoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)], word_model(tokenizer.model))
         end = np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
