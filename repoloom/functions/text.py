@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
-from repoloom.functions.literals import literal_map
+from repoloom.functions.literals import bound, literal_map
 from repoloom.functions.paths import strip
 
 
@@ -101,18 +101,21 @@ def exercise_minutes(index: Column, total: Column) -> Column:
 
 def annotate_exercises(c: Column) -> Column:
     """Insert a progress line after each exercise heading."""
-    found = exercise_headings(c)
-    total = F.size(found)
-    items = F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-
-    def step(acc: Column, x: Column) -> Column:
-        note = F.concat(
-            F.lit(fixed.NOTE_STYLE + "Exercise "), (x["i"] + 1).cast("string"), F.lit(" of "), total.cast("string"),
-            F.lit(" | Estimated time: "), exercise_minutes(x["i"], total).cast("string"), F.lit(" minutes\n</div>\n\n"),
-        )
-        return insert_after_line(acc, x["h"], note)
+    def annotated(found: Column) -> Column:
+        total = F.size(found)
+        items = F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+
+        def step(acc: Column, x: Column) -> Column:
+            note = F.concat(
+                F.lit(fixed.NOTE_STYLE + "Exercise "), (x["i"] + 1).cast("string"), F.lit(" of "), total.cast("string"),
+                F.lit(" | Estimated time: "), exercise_minutes(x["i"], total).cast("string"), F.lit(" minutes\n</div>\n\n"),
+            )
+            return insert_after_line(acc, x["h"], note)
+
+        return F.aggregate(items, c, step)
 
-    return F.aggregate(items, c, step)
+    # The pattern runs over the text once, not once more for every heading.
+    return bound(exercise_headings(c), annotated)
 
 
 def first_paragraph(c: Column) -> Column:

@@ -204,11 +204,14 @@ _CALL = r"(?:new\s+)?[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*\s*\("
 def java_call_facts(files: DataFrame) -> DataFrame:
     """Call facts of Java sources (file_no, path, text) by pattern, without a grammar.
 
-    Comments and string literals are blanked, then declarations and calls are taken
-    in source order. Constructors, control statements and ``super`` calls are
+    Comments, string and character literals and annotations with their arguments are
+    blanked, then declarations and calls are taken in source order. Constructors, control statements and ``super`` calls are
     skipped. Replaceable: any function that returns the facts columns fits.
     """
-    code = F.regexp_replace("text", r'(?s)/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', " ")
+    code = F.regexp_replace("text", r'(?s)/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'(?:[^\'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))\'', " ")
+    # Arguments of an annotation may hold parentheses two levels deep.
+    nested = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
+    code = F.regexp_replace(code, rf"@(?!interface\b)[A-Za-z_][\w.]*+(?:\s*+\({nested}\))?", " ")
     first_class = F.nullif(F.regexp_extract(code, r"\bclass\s+([A-Za-z_]\w*)", 1), F.lit(""))
     package = F.nullif(F.regexp_extract(code, r"\bpackage\s+([\w.]+)\s*;", 1), F.lit(""))
     found = F.regexp_extract_all(code, F.lit(f"{_DECLARATION}|{_CALL}"), F.lit(0))

@@ -374,10 +374,13 @@ def file_analysis(files: DataFrame, facts: DataFrame) -> DataFrame:
     ).join(nested, "file_id", "left").join(file_statistics(facts), "file_id", "left")
 
 
-def first_classes(facts: DataFrame) -> DataFrame:
-    """First class of each Java file, which names all its methods, and the file's package."""
+def first_classes(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """First class of each Java file, which names all its methods, and the file's package (``default`` without one)."""
     cls = facts.filter((F.col("lang") == "java") & (F.col("kind") == "class"))
-    return cls.groupBy("file_id").agg(F.min_by("name", "line_no").alias("class_name"))
+    first = cls.groupBy("file_id").agg(F.min_by("name", "line_no").alias("class_name"))
+    stated = lines.select("file_id", "line_no", _optional(F.regexp_extract("line", r"^package\s+([\w.]+)\s*;", 1)).alias("p")).filter("p IS NOT NULL")
+    packages = stated.groupBy("file_id").agg(F.min_by("p", "line_no").alias("p"))
+    return first.join(packages, "file_id", "left").select("file_id", "class_name", F.coalesce("p", F.lit("default")).alias("package"))
 
 
 def project_totals(files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoloom.functions import fixed
+from repoloom.functions.literals import bound
 from repoloom.operators.ordered import number_rows_by_id
 from repoloom.session import cut_lineage
 
@@ -88,7 +89,8 @@ def embed_cached(
 def normalise(vector: Column) -> Column:
     """Unit-length vector; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
+    # Inlined into the lambda, the norm would be computed anew for every element.
+    return bound(norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
 
 
 def inner_product(a: Column, b: Column) -> Column:

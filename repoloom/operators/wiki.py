@@ -174,11 +174,11 @@ def section_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def section_tree(sections: DataFrame, refs: DataFrame, max_level: int = 100) -> DataFrame:
+def section_tree(sections: DataFrame, refs: DataFrame) -> DataFrame:
     """Walk from the root sections: one row per visit with level, trail and position path.
 
-    Unknown ids end a branch; a section is not entered again below itself. Levels
-    are joined one after the other, each checkpointed.
+    Unknown ids end a branch; a section is not entered again below itself, so the walk ends at
+    any depth. Levels are joined one after the other, each checkpointed.
     """
     table = sections.select("wiki_id", "id", "title")
     cols = ["wiki_id", "id", "title", "level", "trail", "order_path"]
@@ -188,7 +188,7 @@ def section_tree(sections: DataFrame, refs: DataFrame, max_level: int = 100) ->
     )
     level = cut_lineage(level)
     out = level
-    for _ in range(max_level):
+    while True:
         up = level.select("wiki_id", F.col("id").alias("parent_id"), "level", "trail", "order_path")
         below = up.join(refs, ["wiki_id", "parent_id"]).filter(~F.array_contains("trail", F.col("id")))
         level = cut_lineage(
@@ -201,7 +201,6 @@ def section_tree(sections: DataFrame, refs: DataFrame, max_level: int = 100) ->
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise ValueError(f"section tree deeper than {max_level} levels")
 
 
 def with_content(pages: DataFrame, generated: DataFrame) -> DataFrame:
@@ -332,10 +331,15 @@ def markdown_parts(pages: DataFrame, repo_url: Column, generated_at: Column, par
 
 
 def json_parts(pages: DataFrame, repo_url: Column, generated_at: Column, part_pages: int = 1000) -> DataFrame:
-    """JSON export: one document per wiki with metadata and pages; a huge wiki gives several with the same metadata."""
+    """JSON export: one document per wiki with metadata and pages, as ordered text fragments.
+
+    The fragments of a wiki, one after the other by ``part_no``, are one valid document (line feeds between them do no harm); a
+    wiki of usual size has a single one. A fragment holds at most ``part_pages`` pages.
+    """
     rows = pages.withColumn("__url", repo_url).withColumn("__at", generated_at)
     counts = rows.groupBy("wiki_id").agg(
-        F.max("__url").alias("repository"), F.max("__at").alias("generated_at"), F.count(F.lit(1)).alias("page_count")
+        F.max("__url").alias("repository"), F.max("__at").alias("generated_at"), F.count(F.lit(1)).alias("page_count"),
+        F.min(F.floor(F.col("pos") / part_pages)).alias("first_part"), F.max(F.floor(F.col("pos") / part_pages)).alias("last_part"),
     )
     page = F.struct(
         F.col("pos"),
@@ -345,10 +349,15 @@ def json_parts(pages: DataFrame, repo_url: Column, generated_at: Column, part_pa
         ).alias("p"),
     )
     parts = rows.groupBy("wiki_id", F.floor(F.col("pos") / part_pages).alias("part_no")).agg(
-        F.transform(F.array_sort(F.collect_list(page)), lambda x: x["p"]).alias("pages")
+        F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda x: F.to_json(x["p"])), ",").alias("pages")
+    )
+    head = F.concat(F.lit('{"metadata":'), F.to_json(F.struct("repository", "generated_at", "page_count")), F.lit(',"pages":['))
+    fragment = F.concat(
+        F.when(F.col("part_no") == F.col("first_part"), head).otherwise(","),
+        F.col("pages"),
+        F.when(F.col("part_no") == F.col("last_part"), "]}").otherwise(""),
     )
-    doc = F.to_json(F.struct(F.struct("repository", "generated_at", "page_count").alias("metadata"), "pages"))
-    return join_salted(parts, counts, ["wiki_id"], F.col("part_no")).select("wiki_id", "part_no", doc.alias("json"))
+    return join_salted(parts, counts, ["wiki_id"], F.col("part_no")).select("wiki_id", "part_no", fragment.alias("json"))
 
 
 def export_name(repo_url: Column, stamp: Column, extension: str) -> Column:

@@ -55,7 +55,7 @@ _JS_RETURN = """CASE WHEN starts_with(name, 'get') OR starts_with(name, 'is') OR
 
 
 def facts_sql(compat: bool = False) -> str:
-    """CTEs ending in ``facts`` for all languages but Go."""
+    """CTEs ending in ``facts`` for all languages."""
     imp = _first([(f"lang = '{r[0]}' AND {_m(r[0], r[1])}", str(i)) for i, r in enumerate(cf.IMPORT_RULES)])
     cls = _first([(f"lang = '{x}' AND {_m(x, p)}", str(i)) for i, (x, p) in enumerate(_CLASS_RULES)])
     fun = _first([(f"lang = '{r[0]}' AND {_m(r[0], r[1])}", str(i)) for i, r in enumerate(cf.FUNCTION_RULES)])
@@ -88,17 +88,40 @@ owned AS (SELECT *, kind = 'function' AND c IS NOT NULL AND fun::VARCHAR NOT IN
 facts0 AS (SELECT file_id, repo, path, lang, line_no, CASE WHEN in_class THEN 'method' ELSE kind END AS kind, name, params,
   CASE WHEN kind <> 'function' THEN NULL WHEN lang = 'javascript' THEN {_JS_RETURN} ELSE rt END AS return_type, modifiers, inheritance, import_type, module, import_path,
   CASE WHEN in_class OR kind = 'class' THEN c.n END AS class_name, CASE WHEN in_class OR kind = 'class' THEN c.l END AS class_line FROM owned),
-facts AS (SELECT *, CASE WHEN kind IN ('function', 'method') THEN name || '(' || coalesce(params, '') || ')' ||
-  CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END END AS signature FROM facts0)"""
+line_facts AS (SELECT *, CASE WHEN kind IN ('function', 'method') THEN name || '(' || coalesce(params, '') || ')' ||
+  CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END END AS signature FROM facts0),
+{_GO_STEPS},
+facts AS (SELECT * FROM line_facts UNION ALL SELECT file_id, repo, path, lang, line_no, CASE k WHEN 'block' THEN 'import' ELSE k END, name, params, return_type, NULL, NULL,
+  CASE WHEN k IN ('block', 'import') THEN 'import' END, import_path, import_path, NULL, NULL, {_GO_SIGNATURE} FROM c5)"""
 
 
+_GO = _P["go"]
+_GO_SIGNATURE = """CASE WHEN k IN ('function', 'method') THEN 'func ' || CASE k WHEN 'method' THEN '(' || receiver || ') ' ELSE '' END || name || '(' || params || ')' ||
+      CASE WHEN return_type IS NOT NULL THEN ' -> (' || return_type || ')' ELSE '' END END"""
+_GO_STEPS = f"""c0 AS (SELECT *, contains(line, '/*') AND NOT contains(line, '*/') AS opens FROM code_lines WHERE lang = 'go'),
+c1 AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN true WHEN contains(line, '*/') THEN false END IGNORE NULLS) OVER w, false) AS in_comment
+  FROM c0 WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c2 AS (SELECT * FROM c1 WHERE NOT in_comment AND NOT opens AND NOT starts_with(line, '//')),
+c3 AS (SELECT *, coalesce(last_value(CASE WHEN {_m('go', 'package')} THEN NULL WHEN line = 'import (' THEN true WHEN line = ')' THEN false END IGNORE NULLS) OVER w, false) AS in_block
+  FROM c2 WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c4 AS (SELECT *, CASE WHEN {_m('go', 'package')} THEN 'package' WHEN line = 'import (' OR (in_block AND line = ')') THEN NULL
+  WHEN in_block THEN CASE WHEN {_m('go', 'block_path')} THEN 'block' END WHEN {_m('go', 'import')} THEN 'import'
+  WHEN {_m('go', 'function')} THEN 'function' WHEN {_m('go', 'method')} THEN 'method' END AS k FROM c3),
+c5 AS (SELECT file_id, repo, path, lang, line_no, k, CASE k WHEN 'package' THEN {_g('go', 'package', 1)} WHEN 'function' THEN {_g('go', 'function', 1)} WHEN 'method' THEN {_g('go', 'method', 2)} END AS name,
+  CASE k WHEN 'function' THEN {_g('go', 'function', 2)} WHEN 'method' THEN {_g('go', 'method', 3)} END AS params,
+  nullif(CASE k WHEN 'function' THEN {_g('go', 'function', 3)} WHEN 'method' THEN {_g('go', 'method', 4)} END, '') AS return_type,
+  CASE k WHEN 'method' THEN {_g('go', 'method', 1)} END AS receiver,
+  CASE k WHEN 'block' THEN {_g('go', 'block_path', 1)} WHEN 'import' THEN coalesce(nullif({_g('go', 'import', 1)}, ''), nullif({_g('go', 'import', 2)}, ''), {_g('go', 'import', 3)}) END AS import_path
+  FROM c4 WHERE k IS NOT NULL)"""
+
 FACTS_SQL = facts_sql()
 _COLS = "file_id, line_no, kind, name, params, return_type, modifiers, inheritance, import_type, module, import_path, class_name, signature"
 _COL_LIST = _COLS.split(", ")
 
 
 def facts(spark, sf_dir, compat: bool = False, languages: list[str] | None = None):
-    return cf.line_facts(cf.code_lines(code_files(spark, sf_dir)), compat, languages)
+    files = code_files(spark, sf_dir)
+    return cf.file_facts(files, compat) if languages is None else cf.line_facts(cf.code_lines(files), compat, languages)
 
 
 def stored_facts(spark, sf_dir):
@@ -137,30 +160,13 @@ _language_query("p13_swift_functions", "kind IN ('function', 'method')", lang="s
 _language_query("p14_csharp_methods", "kind IN ('function', 'method')", lang="csharp")
 _language_query("e1_scope_attribution", "class_name IS NOT NULL")
 
-_GO = _P["go"]
-GO_SQL = f"""{CODE_SQL},
-c0 AS (SELECT *, contains(line, '/*') AND NOT contains(line, '*/') AS opens FROM code_lines WHERE lang = 'go'),
-c1 AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN true WHEN contains(line, '*/') THEN false END IGNORE NULLS) OVER w, false) AS in_comment
-  FROM c0 WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c2 AS (SELECT * FROM c1 WHERE NOT in_comment AND NOT opens AND NOT starts_with(line, '//')),
-c3 AS (SELECT *, coalesce(last_value(CASE WHEN {_m('go', 'package')} THEN NULL WHEN line = 'import (' THEN true WHEN line = ')' THEN false END IGNORE NULLS) OVER w, false) AS in_block
-  FROM c2 WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c4 AS (SELECT *, CASE WHEN {_m('go', 'package')} THEN 'package' WHEN line = 'import (' OR (in_block AND line = ')') THEN NULL
-  WHEN in_block THEN CASE WHEN {_m('go', 'block_path')} THEN 'block' END WHEN {_m('go', 'import')} THEN 'import'
-  WHEN {_m('go', 'function')} THEN 'function' WHEN {_m('go', 'method')} THEN 'method' END AS k FROM c3),
-c5 AS (SELECT file_id, line_no, k, CASE k WHEN 'package' THEN {_g('go', 'package', 1)} WHEN 'function' THEN {_g('go', 'function', 1)} WHEN 'method' THEN {_g('go', 'method', 2)} END AS name,
-  CASE k WHEN 'function' THEN {_g('go', 'function', 2)} WHEN 'method' THEN {_g('go', 'method', 3)} END AS params,
-  nullif(CASE k WHEN 'function' THEN {_g('go', 'function', 3)} WHEN 'method' THEN {_g('go', 'method', 4)} END, '') AS return_type,
-  CASE k WHEN 'method' THEN {_g('go', 'method', 1)} END AS receiver,
-  CASE k WHEN 'block' THEN {_g('go', 'block_path', 1)} WHEN 'import' THEN coalesce(nullif({_g('go', 'import', 1)}, ''), nullif({_g('go', 'import', 2)}, ''), {_g('go', 'import', 3)}) END AS import_path
-  FROM c4 WHERE k IS NOT NULL)"""
+GO_SQL = f"{CODE_SQL},\n{_GO_STEPS}"
 
 
 @register(
     "p10_go_facts",
     f"""WITH {GO_SQL} SELECT file_id, line_no, CASE k WHEN 'block' THEN 'import' ELSE k END AS kind, name, params, return_type, receiver, import_path,
-    CASE WHEN k IN ('function', 'method') THEN 'func ' || CASE k WHEN 'method' THEN '(' || receiver || ') ' ELSE '' END || name || '(' || params || ')' ||
-      CASE WHEN return_type IS NOT NULL THEN ' -> (' || return_type || ')' ELSE '' END END AS signature FROM c5""",
+    {_GO_SIGNATURE} AS signature FROM c5""",
 )
 def go_facts(spark, sf_dir):
     return cf.go_facts(cf.code_lines(code_files(spark, sf_dir))).select(
@@ -252,10 +258,14 @@ def key_methods(spark, sf_dir):
 
 @register(
     "e10_first_classes",
-    f"WITH {FACTS_SQL} SELECT file_id, arg_min(name, line_no) AS class_name FROM facts WHERE lang = 'java' AND kind = 'class' GROUP BY 1",
+    f"""WITH {FACTS_SQL}, p AS (SELECT file_id, arg_min(regexp_extract(line, '^package\\s+([\\w.]+)\\s*;', 1), line_no) AS package FROM code_lines
+      WHERE lang = 'java' AND regexp_matches(line, '^package\\s+([\\w.]+)\\s*;') GROUP BY 1)
+    SELECT c.file_id, class_name, coalesce(package, 'default') AS package
+    FROM (SELECT file_id, arg_min(name, line_no) AS class_name FROM facts WHERE lang = 'java' AND kind = 'class' GROUP BY 1) c LEFT JOIN p USING (file_id)""",
 )
 def first_classes(spark, sf_dir):
-    return cf.first_classes(facts(spark, sf_dir, languages=["java"]))
+    lines = cf.code_lines(code_files(spark, sf_dir)).filter("lang = 'java'")
+    return cf.first_classes(cf.line_facts(lines, languages=["java"]), lines)
 
 
 @register(

@@ -174,8 +174,9 @@ def language_fallback(spark, sf_dir):
 @register(
     "b14_size_route",
     """SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'similarity_search' ELSE 'whole' END AS route,
-    CASE WHEN strlen(text) > 1000 THEN NULL ELSE text END AS record,
-    CASE WHEN strlen(text) > 1000 THEN 'too large' END AS reason FROM documents""",
+    part_no, CASE WHEN strlen(text) > 1000 THEN substr(text, part_no * 250 + 1, 250) ELSE text END AS record,
+    CASE WHEN strlen(text) > 1000 THEN 'in parts' END AS reason
+    FROM (SELECT *, unnest(range(CASE WHEN strlen(text) > 1000 THEN (length(text) + 249) // 250 ELSE 1 END)) AS part_no FROM documents)""",
 )
 def size_route(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("project", F.col("doc_id"))
@@ -479,9 +480,9 @@ def incremental_refresh(spark, sf_dir):
 
 @register(
     "k2_piece_assembly",
-    """SELECT user_id AS session, 0::BIGINT AS part_no, string_agg(replace(replace(piece, '<think>', ''), '</think>', ''), '' ORDER BY event_id) AS answer
+    """SELECT user_id AS session, event_id // 100000 AS part_no, string_agg(replace(replace(piece, '<think>', ''), '</think>', ''), '' ORDER BY event_id) AS answer
     FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'model=' || event_id WHEN event_type = 'view' THEN '<think>' || event_id || '</think>'
-      ELSE event_type || ' ' END AS piece FROM events) WHERE NOT starts_with(piece, 'model=') GROUP BY 1""",
+      ELSE event_type || ' ' END AS piece FROM events) WHERE NOT starts_with(piece, 'model=') GROUP BY 1, 2""",
 )
 def piece_assembly(spark, sf_dir):
     from repoloom.streaming import pieces
@@ -495,7 +496,7 @@ def piece_assembly(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), piece.alias("piece")
     )
-    return pieces.assembled(pieces.clean_pieces(rows), 1_000_000)
+    return pieces.assembled(pieces.clean_pieces(rows))
 
 
 def _event_stream(spark, sf_dir, files_per_batch: int = 1):
@@ -529,30 +530,28 @@ def stream_refresh(spark, sf_dir):
         F.col("event_type").alias("text"),
     )
     refresh.refresh_stream(spark, rows, store_path, checkpoint, lambda df: df.select("path", "hash", "version", "text"))
-    return refresh.latest_generation(spark, store_path).select(
+    return refresh.stored_rows(spark, store_path).select(
         F.col("path").cast("long").alias("file_no"), "text", "version"
     )
 
 
 @register(
     "k2_stream_assembly",
-    """SELECT user_id AS session, 0::BIGINT AS part_no, string_agg(event_type || event_id, '' ORDER BY event_id) AS answer
-    FROM events WHERE event_type <> 'error' GROUP BY 1""",
+    """SELECT user_id AS session, event_id // 100000 AS part_no, string_agg(event_type || event_id, '' ORDER BY event_id) AS answer
+    FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
 )
 def stream_assembly(spark, sf_dir):
-    from repoloom.streaming import pieces, refresh
+    from repoloom.streaming import pieces
 
     store_path, checkpoint = _fresh_store(spark, "assembly")
     piece = F.when(F.col("event_type") == "error", "model=x").otherwise(
         F.concat(F.lit("<think>"), "event_type", F.lit("</think>"), F.col("event_id").cast("string"))
     )
     rows = _event_stream(spark, sf_dir).select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), piece.alias("piece"),
-        F.col("ts").cast("timestamp").alias("at"),
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), piece.alias("piece")
     )
-    first = pieces.distinct_pieces(pieces.clean_pieces(rows), "at").drop("at")
-    refresh.upsert_stream(spark, pieces.assembled(first, 1_000_000_000), store_path, checkpoint, ["session", "part_no"])
-    return refresh.latest_generation(spark, store_path)
+    pieces.assembly_stream(spark, rows, store_path, checkpoint)
+    return pieces.stored_answers(spark, store_path)
 
 
 @register("a5_chunk_store", "WITH " + _CHUNK_SQL.format(size=1000, step=700).replace("doc_id, chunk_no,", "doc_id, chunk_no::BIGINT AS chunk_no,"))

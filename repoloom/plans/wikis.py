@@ -117,10 +117,10 @@ def title_sections(spark, sf_dir):
     "d12_importance_sections",
     f"""WITH {PAGES_SQL}, c AS (SELECT *, importance AS g FROM pages_v)
     SELECT wiki_id, ({_sections_case(fixed.IMPORTANCE_SECTIONS, '{i}')})::BIGINT AS section_no, 'section-' || g AS id,
-    {_sections_case(fixed.IMPORTANCE_SECTIONS, "'{t}'")} AS title, 0::BIGINT AS part_no, string_agg(c.id, '|' ORDER BY pos) AS pages FROM c GROUP BY wiki_id, g""",
+    {_sections_case(fixed.IMPORTANCE_SECTIONS, "'{t}'")} AS title, pos // 500 AS part_no, string_agg(c.id, '|' ORDER BY pos) AS pages FROM c GROUP BY wiki_id, g, part_no""",
 )
 def importance_sections(spark, sf_dir):
-    return wiki.importance_sections(views.pages(spark, sf_dir), part_pages=1_000_000_000)
+    return wiki.importance_sections(views.pages(spark, sf_dir), part_pages=500)
 
 
 @register("f5_first_pages", f"WITH {PAGES_SQL} SELECT wiki_id, arg_min(id, pos) AS page_id FROM pages_v GROUP BY 1")
@@ -245,21 +245,24 @@ def markdown_export(spark, sf_dir):
 @register(
     "h29_json_export",
     f"""WITH {PAGES_SQL}, c AS (SELECT wiki_id, count(*) AS n FROM pages_v GROUP BY 1)
-    SELECT wiki_id, part_no, n AS page_count, string_agg(id || ':' || title || ':' || importance || ':' || length(content) || ':' || array_to_string(related_pages, ','), ';' ORDER BY pos) AS pages,
-    'https://github.com/o/' || wiki_id AS repository FROM (SELECT *, pos // 300 AS part_no FROM pages_v) JOIN c USING (wiki_id) GROUP BY ALL""",
+    SELECT wiki_id, part_no, CASE WHEN part_no = 0 THEN n END AS page_count, string_agg(id || ':' || title || ':' || importance || ':' || md5(content) || ':' || array_to_string(related_pages, ','), ';' ORDER BY pos) AS pages,
+    CASE WHEN part_no = 0 THEN 'https://github.com/o/' || wiki_id END AS repository FROM (SELECT *, pos // 300 AS part_no FROM pages_v) JOIN c USING (wiki_id) GROUP BY ALL""",
 )
 def json_export(spark, sf_dir):
-    """The documents, read back field by field."""
+    """The fragments, each closed to a document and read back field by field."""
     docs = wiki.json_parts(views.pages(spark, sf_dir), _url(), F.lit(_AT), part_pages=300)
     schema = (
         "metadata struct<repository:string,generated_at:string,page_count:bigint>, pages array<struct<id:string,title:string,"
         "content:string,filePaths:array<string>,importance:string,relatedPages:array<string>>>"
     )
-    d = docs.withColumn("d", F.from_json("json", schema))
+    last = docs.groupBy("wiki_id").agg(F.max("part_no").alias("last"))
+    opened = F.when(F.col("part_no") == 0, F.col("json")).otherwise(F.concat(F.lit('{"pages":['), F.substr("json", F.lit(2))))
+    closed = F.when(F.col("part_no") == F.col("last"), opened).otherwise(F.concat(opened, F.lit("]}")))
+    d = docs.join(last, "wiki_id").withColumn("d", F.from_json(closed, schema))
     line = F.transform(
         "d.pages",
         lambda p: F.concat_ws(
-            ":", p["id"], p["title"], p["importance"], F.length(p["content"]).cast("string"), F.array_join(p["relatedPages"], ",")
+            ":", p["id"], p["title"], p["importance"], F.md5(p["content"]), F.array_join(p["relatedPages"], ",")
         ),
     )
     return d.select(

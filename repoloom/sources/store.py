@@ -116,13 +116,22 @@ def write_analysis(analysis: DataFrame, path: str) -> None:
 
 
 def analysis_record(projects: DataFrame, records: DataFrame, limit: int = fixed.EXTRACT_BYTES_LIMIT) -> DataFrame:
-    """Stored record per project: ``{}`` when missing; null with a reason when beyond the size limit."""
+    """Stored record per project, in ordered parts: ``{}`` when missing, one part up to the size limit, several beyond it.
+
+    Parts follow each other by ``part_no``; ``reason`` says how to route the record. A part has at most
+    ``limit`` bytes, since a character has at most four.
+    """
     joined = projects.join(records.select("project", "record"), "project", "left")
-    large = F.octet_length("record") > limit
-    return joined.select(
+    large = F.coalesce(F.octet_length("record") > limit, F.lit(False))
+    size = max(1, limit // 4)
+    parts = F.when(large, F.ceil(F.length("record") / size)).otherwise(F.lit(1))
+    at = joined.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+    piece = F.when(large, F.substr("record", (F.col("part_no") * size + 1).cast("int"), F.lit(size))).otherwise(F.col("record"))
+    return at.select(
         "project",
-        F.when(F.col("record").isNull(), "{}").when(~large, F.col("record")).alias("record"),
-        F.when(F.col("record").isNull(), "missing").when(large, "too large").alias("reason"),
+        "part_no",
+        F.when(F.col("record").isNull(), "{}").otherwise(piece).alias("record"),
+        F.when(F.col("record").isNull(), "missing").when(large, "in parts").alias("reason"),
     )
 
 

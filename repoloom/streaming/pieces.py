@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom.functions.text import clean_piece, is_metadata_piece
+from repoloom.streaming.refresh import bucket_of, new_batch_id, run_to_end, touched_buckets
 
 
 def clean_pieces(pieces: DataFrame) -> DataFrame:
@@ -14,19 +15,51 @@ def clean_pieces(pieces: DataFrame) -> DataFrame:
     return kept.withColumn("piece", clean_piece(F.col("piece")))
 
 
-def distinct_pieces(pieces: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """First arrival of each (session, seq) within the watermark of a stream."""
-    return pieces.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["session", "seq"])
+PART_ROWS = 100_000
 
 
-def assembled(pieces: DataFrame, part_rows: int = 100_000) -> DataFrame:
-    """Answer text per session, in parts of at most ``part_rows`` pieces; an update-mode stream or a batch.
+def _part(part_rows: int):
+    return F.floor(F.col("seq") / part_rows).alias("part_no")
 
-    The part number bounds the state of one key however long a session grows.
-    """
-    rows = pieces.withColumn("part_no", F.floor(F.col("seq") / part_rows))
+
+def assembled(pieces: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Answer text per session, in parts of at most ``part_rows`` pieces, however long a session grows."""
+    rows = pieces.select("session", "seq", "piece", _part(part_rows))
     return rows.groupBy("session", "part_no").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), ""
         ).alias("answer")
     )
+
+
+def assembly_stream(spark: SparkSession, pieces: DataFrame, store: str, checkpoint: str, part_rows: int = PART_ROWS):
+    """Assemble answers from pieces that may come late, repeatedly and in any order.
+
+    Pieces are kept in a store in hash buckets; no stream state and no watermark is needed, so none is ever dropped. Each batch
+    appends its pieces and then assembles the answer parts it touched again from all their pieces, of which the last to arrive
+    counts per (session, seq). A repeated batch gives the same answers.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        fresh = clean_pieces(rows).select("session", "seq", "piece", _part(part_rows)).withColumn("bucket", bucket_of("session", "part_no")).persist()
+        try:
+            buckets = touched_buckets(fresh)
+            if not buckets:
+                return
+            name = new_batch_id()
+            fresh.withColumn("batch", F.lit(name)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{store}/pieces")
+            touched = fresh.select("session", "part_no").distinct()
+            known = spark.read.parquet(f"{store}/pieces").filter(F.col("bucket").isin(buckets)).join(touched, ["session", "part_no"], "left_semi")
+            last = known.groupBy("session", "seq").agg(F.max(F.struct("batch", "piece")).alias("p")).select("session", "seq", "p.piece")
+            answers = assembled(last, part_rows).withColumn("bucket", bucket_of("session", "part_no")).withColumn("batch", F.lit(name))
+            answers.write.mode("append").partitionBy("bucket").parquet(f"{store}/answers")
+        finally:
+            fresh.unpersist()
+
+    return run_to_end(pieces, checkpoint, batch)
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """Newest text of every (session, part_no)."""
+    rows = spark.read.parquet(f"{store}/answers")
+    return rows.groupBy("session", "part_no").agg(F.max_by("answer", "batch").alias("answer"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,90 +34,87 @@ def latest_versions(files: DataFrame) -> DataFrame:
     return files.groupBy("path").agg(F.max_by(F.struct(*rest), "version").alias("v")).select("path", "v.*")
 
 
-# ---------------------------------------------------------------- generations
+# ---------------------------------------------------------------- stores of streams
 
+BUCKETS = 64
 
-def _hadoop_path(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
+def bucket_of(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
 
-def write_generation(spark: SparkSession, store: str, epoch: int, merge: Callable[[DataFrame | None], DataFrame]) -> None:
-    """Write generation ``epoch`` of a store from the one before it and drop the one before that.
 
-    A generation is replaced whole when its batch runs again after a failure, so
-    the result is the same however often that happens.
-    """
-    before = spark.read.parquet(f"{store}/gen={epoch - 1}") if epoch else None
-    merge(before).write.mode("overwrite").parquet(f"{store}/gen={epoch}")
-    old, system = _hadoop_path(spark, f"{store}/gen={epoch - 2}")
-    if system.exists(old):
-        system.delete(old, True)
+def new_batch_id() -> str:
+    """Rises with time, also over a lost stream checkpoint, and never repeats."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
-def latest_generation(spark: SparkSession, store: str) -> DataFrame:
-    """Newest generation of a store."""
-    root, system = _hadoop_path(spark, store)
-    names = [e.getPath().getName() for e in system.listStatus(root)]
-    last = max(int(n.split("=")[1]) for n in names if n.startswith("gen="))
-    return spark.read.parquet(f"{store}/gen={last}")
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
 
+def touched_buckets(rows: DataFrame) -> list[int]:
+    return [r[0] for r in rows.select("bucket").distinct().collect()]
 
-def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append"):
+
+def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]):
     """Process everything a stream has now, batch by batch."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def _ledger(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """Newest entry per path: version, hash and the batch that holds its rows."""
+    if not exists(spark, f"{store}/ledger"):
+        return None
+    entries = spark.read.schema(f"{_ENTRY}, bucket int").parquet(f"{store}/ledger")
+    if buckets is not None:
+        entries = entries.filter(F.col("bucket").isin(buckets))
+    newest = entries.groupBy("path").agg(F.max_by(F.struct("version", "hash", "rows_batch"), "version").alias("e"))
+    return newest.select("path", "e.*")
+
+
+_ENTRY = "path string, version long, hash string, rows_batch string"
+
+
 def refresh_stream(
     spark: SparkSession, files: DataFrame, store: str, checkpoint: str, build: Callable[[DataFrame], DataFrame]
 ):
-    """Process all new file versions (path, version, text) and merge their built rows into the store.
+    """Take in all new file versions (path, version, text); ``build`` keeps path, hash and version.
 
-    ``build`` keeps path, hash and version. A version older than the stored one
-    changes nothing; a newer one with the same content is noted but not built again.
+    The store has the rows of each batch in a folder of their own and a ledger of file versions in hash buckets. A batch
+    reads the ledger's touched buckets only, builds the files whose content changed, writes their rows, and then
+    appends to the ledger; that append is the commit, so rows without an entry are never seen and a
+    repeated batch finds nothing new. A version older than the known one changes nothing, also if the known
+    one has no rows; a newer one with the same content gets an entry and is not built again.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        newest = latest_versions(rows).withColumn("hash", content_hash())
-
-        def merge(before: DataFrame | None) -> DataFrame:
-            if before is None:
-                return build(newest)
-            known = before.groupBy("path").agg(F.max("version").alias("v"), F.max("hash").alias("h"))
-            fresh = newest.join(known, "path", "left").filter(
-                F.col("v").isNull() | ((F.col("version") > F.col("v")) & (F.col("hash") != F.col("h")))
-            ).drop("v", "h")
-            seen = newest.select("path", F.col("version").alias("v"), F.col("hash").alias("h"))
-            kept = (
-                before.join(fresh.select("path"), "path", "left_anti")
-                .join(seen, "path", "left")
-                .withColumn("version", F.when(F.col("h") == F.col("hash"), F.greatest("version", "v")).otherwise(F.col("version")))
-                .select(before.columns)
-            )
-            return kept.unionByName(build(fresh))
-
-        write_generation(spark, store, epoch, merge)
+        newest = latest_versions(rows).withColumn("hash", content_hash()).withColumn("bucket", bucket_of("path")).persist()
+        try:
+            buckets = touched_buckets(newest)
+            if not buckets:
+                return
+            known = _ledger(spark, store, buckets)
+            if known is None:
+                known = spark.createDataFrame([], _ENTRY)
+            known = known.select("path", F.col("version").alias("v"), F.col("hash").alias("h"), F.col("rows_batch").alias("b"))
+            fresh = newest.join(known, "path", "left").filter(F.col("v").isNull() | (F.col("version") > F.col("v")))
+            changed = F.col("h").isNull() | (F.col("hash") != F.col("h"))
+            name = new_batch_id()
+            build(fresh.filter(changed).drop("v", "h", "b", "bucket")).write.parquet(f"{store}/rows/rows_batch={name}")
+            entries = fresh.select("path", "version", "hash", F.when(changed, F.lit(name)).otherwise(F.col("b")).alias("rows_batch"), "bucket")
+            entries.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{store}/ledger")
+        finally:
+            newest.unpersist()
 
     return run_to_end(files, checkpoint, batch)
 
 
-def upsert_stream(spark: SparkSession, updates: DataFrame, store: str, checkpoint: str, keys: list[str]):
-    """Keep the newest row per key of an update-mode stream in a store."""
-
-    def batch(rows: DataFrame, epoch: int) -> None:
-        def merge(before: DataFrame | None) -> DataFrame:
-            if before is None:
-                return rows
-            return before.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
-
-        write_generation(spark, store, epoch, merge)
-
-    return run_to_end(updates, checkpoint, batch, mode="update")
+def stored_rows(spark: SparkSession, store: str) -> DataFrame:
+    """Rows of the newest version of every file."""
+    rows = spark.read.parquet(f"{store}/rows")
+    entries = _ledger(spark, store).select("path", "rows_batch", F.col("version").alias("__newest"))
+    found = rows.join(entries, ["path", "rows_batch"])
+    return found.select(*[F.col("__newest").alias(c) if c == "version" else F.col(c) for c in rows.columns if c != "rows_batch"])

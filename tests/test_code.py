@@ -1,6 +1,7 @@
 import time
 
 from repoloom.operators import code_facts as cf
+from repoloom.operators.call_graph import java_call_facts
 
 FILES = {
     "a.py": "import os\nfrom a.b import c\n# note\nclass A(B):\n    def f(self, x) -> int:\n        pass\ndef g():\n    pass\n",
@@ -71,3 +72,32 @@ def test_long_runs_do_not_exhaust_the_stack(spark):
     f = facts(spark, files={"L.java": f"public{blanks}static int add(int a) {{", "L.cs": f"public{blanks}int add(int a) {{"})
     assert (f[("L.java", 1)].name, f[("L.java", 1)].return_type) == ("add", "int")
     assert f[("L.cs", 1)].name == "add"
+
+
+def test_java_annotations_and_characters(spark):
+    text = """package p.q;
+@Named("x") class A {
+  void f(@Named("y(") String s, @Other final int n) { g(); }
+  @Test(a = @Inner(1)) void h() { char c = '"'; k(); String z = "q"; char d = '\\''; m(); }
+}"""
+    df = spark.createDataFrame([(1, "A.java", text)], "file_no int, path string, text string")
+    rows = [(r.kind, r.name, r.param_types) for r in java_call_facts(df).orderBy("pos").collect()]
+    assert rows == [("decl", "f", ["String", "int"]), ("call", "g", []), ("decl", "h", []), ("call", "k", []), ("call", "m", [])]
+
+
+def test_first_class_with_package(spark):
+    df = spark.createDataFrame(
+        [(1, "A.java", "package a.b;\nclass A {\nclass B {"), (2, "C.java", "class C {")], "file_id int, path string, text string"
+    )
+    lines = cf.code_lines(df)
+    got = {tuple(r) for r in cf.first_classes(cf.line_facts(lines, languages=["java"]), lines).collect()}
+    assert got == {(1, "A", "a.b"), (2, "C", "default")}
+
+
+def test_go_counts_like_the_other_languages(spark):
+    text = 'package main\nimport "fmt"\nimport (\n"os"\n)\nfunc F(a int) (string) {\nfunc (r *T) M(b int) {'
+    facts = cf.file_facts(spark.createDataFrame([(1, "m.go", text), (2, "m.py", "import os")], "file_id int, path string, text string"))
+    got = {tuple(r) for r in cf.file_statistics(facts).collect()}
+    assert got == {(1, 2, 0, 1, 1), (2, 1, 0, 0, 0)}
+    deps = {r.file_id: r.dependencies for r in cf.dependencies(facts).collect()}
+    assert deps == {1: ["fmt", "os"], 2: ["os"]}

@@ -52,8 +52,11 @@ def test_stored_files_and_analysis(spark, tmp_path):
     projects = spark.createDataFrame([("p",), ("q",), ("z",)], "project string")
     records = spark.createDataFrame([("p", "{}{}"), ("q", "x" * 50)], "project string, record string")
     assert {tuple(r) for r in store.analysis_record(projects, records, 10).collect()} == {
-        ("p", "{}{}", None), ("q", None, "too large"), ("z", "{}", "missing"),
+        ("p", 0, "{}{}", None), ("z", 0, "{}", "missing"), *{("q", i, "xx", "in parts") for i in range(25)},
     }
+    long = spark.createDataFrame([("q", "aé漢😀" * 1000)], "project string, record string")
+    parts = store.analysis_record(projects, long, 100).filter("project = 'q'").orderBy("part_no").collect()
+    assert "".join(r.record for r in parts) == "aé漢😀" * 1000 and all(len(r.record.encode()) <= 100 for r in parts)
 
 
 def test_vector_store(spark, tmp_path):
@@ -96,23 +99,53 @@ def test_refresh_stream_in_batches_equals_one_run(spark, tmp_path):
     refresh.refresh_stream(spark, stream, two, str(tmp_path / "c2"), build)
 
     def content(store_path):
-        rows = refresh.latest_generation(spark, store_path).collect()
+        rows = refresh.stored_rows(spark, store_path).collect()
         return sorted((r.path, r.version, r.c) for r in rows)
 
     assert content(one) == content(two)
     assert {(p, v) for p, v, _ in content(one)} == {("a", 5), ("b", 6), ("c", 3)}
 
 
+def test_refresh_survives_a_lost_checkpoint_and_emptied_files(spark, tmp_path):
+    schema = "path string, version long, text string"
+    build = lambda df: df.select("path", "hash", "version", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("w"))
+    out = str(tmp_path / "s")
+
+    def take(name, rows, checkpoint):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        refresh.refresh_stream(spark, stream, out, str(tmp_path / checkpoint), build)
+        return sorted((r.path, r.version, r.w) for r in refresh.stored_rows(spark, out).collect())
+
+    assert take("a", [("x", 5, "new words"), ("y", 1, "one")], "c1") == [("x", 5, "new"), ("x", 5, "words"), ("y", 1, "one")]
+    # Emptied, then an older version comes late: it must not bring the old text back.
+    assert take("a", [("x", 7, "")], "c1") == [("y", 1, "one")]
+    assert take("a", [("x", 6, "old")], "c1") == [("y", 1, "one")]
+    # The stream's checkpoint is lost and everything is read again, with something new.
+    assert take("a", [("y", 2, "two")], "c2") == [("y", 2, "two")]
+
+
+def test_late_and_repeated_pieces(spark, tmp_path):
+    schema = "session string, seq long, piece string"
+    batches = [[("s", 4, "e")], [("t", 0, "z")], [("s", 0, "a")], [("s", 0, "a"), ("s", 4, "E")], [("s", 100_000, "far")]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        # The third run begins with a new checkpoint, so all pieces come again.
+        pieces.assembly_stream(spark, stream, str(tmp_path / "o"), str(tmp_path / f"c{i // 3}"))
+    got = {(r.session, r.part_no): r.answer for r in pieces.stored_answers(spark, str(tmp_path / "o")).collect()}
+    assert got == {("s", 0): "aE", ("s", 1): "far", ("t", 0): "z"}
+
+
 def test_pieces_stream_equals_batch(spark, tmp_path):
-    schema = "session string, seq long, piece string, at timestamp"
+    schema = "session string, seq long, piece string"
     rows = [("s", i, p) for i, p in enumerate(["<think>", "a", "model=x", "b</think>", "", "c"])] + [("t", 0, "z"), ("s", 1, "a")]
-    df = spark.createDataFrame(rows, "session string, seq long, piece string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    df = spark.createDataFrame(rows, schema)
     src = str(tmp_path / "src")
     df.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    distinct = pieces.distinct_pieces(pieces.clean_pieces(stream), "at").drop("at")
-    refresh.upsert_stream(spark, pieces.assembled(distinct), str(tmp_path / "o"), str(tmp_path / "c"), ["session", "part_no"])
-    batch = pieces.assembled(pieces.clean_pieces(df.drop("at")).dropDuplicates(["session", "seq"]))
+    pieces.assembly_stream(spark, stream, str(tmp_path / "o"), str(tmp_path / "c"))
+    batch = pieces.assembled(pieces.clean_pieces(df).dropDuplicates(["session", "seq"]))
     want = {"s": "abc", "t": "z"}
     assert {r.session: r.answer for r in batch.collect()} == want
-    assert {r.session: r.answer for r in refresh.latest_generation(spark, str(tmp_path / "o")).collect()} == want
+    assert {r.session: r.answer for r in pieces.stored_answers(spark, str(tmp_path / "o")).collect()} == want

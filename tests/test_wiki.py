@@ -90,7 +90,29 @@ def test_export_files(spark, tmp_path):
     assert text == "".join(r.text for r in parts.orderBy("section_no", "part_no").collect())
     store.write_json_export(wiki.json_parts(df, F.lit("U"), F.lit("NOW"), 2), str(tmp_path / "js"))
     lines = [x for f in sorted(glob.glob(str(tmp_path / "js" / "wiki_id=w" / "*.txt"))) for x in open(f)]
-    assert [len(json.loads(x)["pages"]) for x in lines] == [2, 1]
+    assert len(lines) == 2 and len(json.loads("".join(lines))["pages"]) == 3
+
+
+def test_large_wiki_is_one_json_document(spark):
+    import json
+
+    pages = spark.range(2500).select(
+        F.lit("w").alias("wiki_id"), F.col("id").alias("pos"), F.concat(F.lit("p"), "id").alias("id"), F.lit('T "x"').alias("title"),
+        F.lit("a\nb").alias("content"), F.array(F.lit("f")).alias("file_paths"), F.lit("high").alias("importance"), F.array().cast("array<string>").alias("related_pages"),
+    )
+    parts = wiki.json_parts(pages, F.lit("U"), F.lit("NOW")).orderBy("part_no").collect()
+    doc = json.loads("".join(r.json for r in parts))
+    assert len(parts) == 3 and doc["metadata"]["page_count"] == 2500
+    assert [p["id"] for p in doc["pages"]] == [f"p{i}" for i in range(2500)]
+
+
+def test_deep_section_tree(spark):
+    n = 150
+    sections = spark.range(n).select(F.lit("w").alias("wiki_id"), F.concat(F.lit("s"), "id").alias("id"), F.col("id").cast("int").alias("pos"), F.lit("t").alias("title"))
+    refs = spark.range(n - 1).select(
+        F.lit("w").alias("wiki_id"), F.concat(F.lit("s"), "id").alias("parent_id"), F.concat(F.lit("s"), F.col("id") + 1).alias("id"), F.lit(0).alias("n")
+    )
+    assert wiki.section_tree(sections, refs).agg(F.max("level")).first()[0] == n - 1
 
 
 def test_json_document(spark):
