@@ -8,9 +8,10 @@ value below the next step the document is finished: long documents after one ste
 2. Bands of slots are hashed; classes that share a band key are candidates. No pairs are emitted inside a bucket: each member is
    paired with the bucket's centre, of which eight hash orders of the keys give different ones.
 3. Candidates are verified on the full sets, and verified links give components.
-4. The exact rest: buckets whose members are still in several components are compared in blocks of bounded size; pairs
-   of different components whose signatures may still mean a link (6.5 standard deviations below the threshold) are verified, too.
-   So two documents of different components that share a bucket have been compared, whatever the size of the bucket.
+4. The exact rest: buckets whose members are still in several components are compared in cells of bounded size (two blocks of
+   members with their texts); pairs of different components whose signatures may still mean a link (6.5 standard deviations below the
+   threshold) are verified inside the cell, each in the first band it shares, and only links that join components come out.
+   So two documents of different components that share a bucket have been compared, whatever the size of the bucket, and no pairs are shuffled.
 
 A pair at the threshold shares no bucket with a probability of about 6e-11 (0.85) or 5e-8 (0.8) with 32 bands of 4 slots.
 
@@ -34,7 +35,7 @@ from repoloom.session import cut_lineage
 
 _U = np.uint64
 SLOTS, ROWS = 128, 4
-BLOCK = 256
+BLOCK = 300_000  # shingles of a block
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,31 +153,66 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(centre, "key").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _block_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least_equal: int) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree in ``least_equal`` slots or more."""
-    labelled = buckets.join(labels, buckets["id"] == labels["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("size > 2 and lo <> hi")
-    rows = labelled.join(mixed.select("key", "size"), "key").join(marks, "id")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "marks")
-
-    def compare(own, i, j, ids, comps, marks):
-        table = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)
-        for x in range(len(ids)):
-            y = np.arange(x + 1, len(ids)) if i == j else np.flatnonzero(own == j) if own[x] == i else None
-            if y is None:
+class Cell:
+    """Documents of one bucket, or of two blocks of a large one, with their full sets."""
+
+    def __init__(self, band: int, comps: np.ndarray, sizes: np.ndarray, bands: np.ndarray, marks: np.ndarray, texts: list[str], k: int):
+        self.band, self.sizes, self.bands, self.marks = band, sizes, bands, marks
+        self.comp = np.unique(comps, return_inverse=True)[1]
+        owners, hashes = [], []
+        for lo, hi in slices(texts):
+            owner, h = shingle_sets(texts[lo:hi], k)
+            owners.append(owner + lo)
+            hashes.append(h)
+        owner = np.concatenate(owners)
+        self.code = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        self.ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+        self.starts = self.ends - self.sizes
+
+    def links(self, of, percent: int, least_equal: int):
+        """Pairs of positions that link components; ``of(x)`` gives the positions to compare x with."""
+        flag = np.zeros(int(self.code.max()) + 1, bool)
+        for x in range(len(self.sizes)):
+            y = of(x)
+            y = y[self.comp[y] != self.comp[x]]
+            if not len(y):
                 continue
-            y = y[comps[y] != comps[x]]
-            if len(y):
-                for z in y[(table[y] == table[x]).sum(1) >= least_equal]:
-                    yield min(ids[x], ids[z]), max(ids[x], ids[z])
+            small, large = np.minimum(self.sizes[y], self.sizes[x]), np.maximum(self.sizes[y], self.sizes[x])
+            y = y[100 * small >= percent * large]
+            # A pair is compared in the first band it shares.
+            y = y[~(self.bands[y, : self.band] == self.bands[x, : self.band]).any(1)]
+            y = y[(self.marks[y] == self.marks[x]).sum(1) >= least_equal]
+            if not len(y):
+                continue
+            own = self.code[self.starts[x] : self.ends[x]]
+            flag[own] = True
+            if len(y) < 32:
+                both = np.array([np.count_nonzero(flag[self.code[self.starts[z] : self.ends[z]]]) for z in y])
+            else:
+                both = np.add.reduceat(flag[self.code].astype(np.int64), self.starts)[y]
+            flag[own] = False
+            for z in y[100 * both >= percent * (self.sizes[y] + self.sizes[x] - both)]:
+                if self.comp[z] != self.comp[x]:
+                    yield x, int(z)
+                    self.comp[self.comp == self.comp[z]] = self.comp[x]
+
+
+def _cell_links(buckets: DataFrame, labels: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int, least_equal: int) -> DataFrame:
+    """Links ``a``, ``b`` that join different components of one bucket, verified on the full sets."""
+    labelled = buckets.join(labels, buckets["id"] == labels["node"], "left").select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("size > 2 and lo <> hi")
+    blocks = F.ceil(F.col("total") / BLOCK).alias("blocks")
+    rows = labelled.join(mixed.select("key", blocks), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "id", "comp", "n")
+    rows = rows.join(heads.select(F.col("doc_id").alias("id"), "bands", "marks"), "id").join(texts, "id")
+    rows = rows.select("key", "i", "j", "band", "own", "id", "comp", "n", "bands", "marks", "text")
 
     def run(batches):
         import pyarrow as pa
 
         def groups():
-            """Rows of one (key, i, j) after the other; a block of bounded size waits while batches go by."""
+            """Rows of one (key, i, j) after the other; a cell of bounded size waits while batches go by."""
             held = None
             for batch in batches:
                 t = pa.Table.from_batches([batch])
@@ -191,23 +227,23 @@ def _block_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least_
             if held is not None and held.num_rows:
                 yield held
 
-        a: list[int] = []
-        b: list[int] = []
         for g in groups():
             comps = g.column("comp").to_numpy()
-            if (comps != comps[0]).any():
-                i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-                for x, y in compare(g.column("own").to_numpy(), i, j, g.column("id").to_numpy(), comps, g.column("marks").to_pylist()):
-                    a.append(int(x))
-                    b.append(int(y))
-            if len(a) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if (comps == comps[0]).all():
+                continue
+            count, ids, own = g.num_rows, g.column("id").to_numpy(), g.column("own").to_numpy()
+            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+            bands = np.array(g.column("bands").to_pylist(), np.int64)
+            marks = np.frombuffer(b"".join(g.column("marks").to_pylist()), np.uint8).reshape(count, -1)
+            cell = Cell(g.column("band")[0].as_py(), comps, g.column("n").to_numpy(), bands, marks, g.column("text").to_pylist(), k)
+            right = np.flatnonzero(own == j)
+            of = (lambda x, n=count: np.arange(x + 1, n)) if i == j else (lambda x, own=own, i=i, right=right: right if own[x] == i else right[:0])
+            found = [(min(ids[x], ids[z]), max(ids[x], ids[z])) for x, z in cell.links(of, percent, least_equal)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -216,9 +252,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = signed.filter(able).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = signed.filter(able).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    keys = heads.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    buckets = cut_lineage(keys.join(shared, "key").select("key", "id"))
+    buckets = cut_lineage(keys.join(shared, "key").select("key", "band", "id", "n"))
     ids = buckets.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = cut_lineage(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
@@ -227,8 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     share = percent / 100
     deviation = math.sqrt(SLOTS * share * (1 - share))
     least_equal = max(1, math.floor(SLOTS * share - 6.5 * deviation))
-    marks = heads.select(F.col("doc_id").alias("id"), "marks")
-    rest = cut_lineage(verified(_block_pairs(buckets, labels, marks, least_equal), texts, k, percent))
+    rest = cut_lineage(_cell_links(buckets, labels, heads, texts, k, percent, least_equal))
     if rest.limit(1).count():
         labels = connected_components(links.union(rest))
     members = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
