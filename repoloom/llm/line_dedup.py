@@ -211,7 +211,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) ->
     """One row per line to remove: doc_id, line_no (from 0), first_doc_id, first_line_no, edits."""
     if max_edits not in (0, 1) or min_words < 2:
         raise ValueError("max_edits is 0 or 1, min_words 2 or more")
-    rows = cut_lineage(lines(docs, min_words))
+    rows = lines(docs, min_words)  # a pure function of the input, computed twice rather than stored
     distinct = _earliest(rows)
     if max_edits:
         distinct = cut_lineage(distinct)

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -251,9 +252,9 @@ def encode_n_best(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool =
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", name: str = "text") -> DataFrame:
     """Add the text of a column of piece ids; null ids have a null text, ids outside the vocabulary raise."""
 
-    @F.pandas_udf(T.StringType())
-    def text_of(column):
+    def text_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(model_file)
-        return column.map(lambda x: None if x is None else decoder.decode(x.tolist()))
+        for column in columns:
+            yield column.map(lambda x: None if x is None else decoder.decode(x.tolist()))
 
-    return rows.withColumn(name, text_of(F.col(ids)))
+    return rows.withColumn(name, F.pandas_udf(text_of, T.StringType())(F.col(ids)))
