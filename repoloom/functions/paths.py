@@ -277,3 +277,8 @@ def language_of(path: Column) -> Column:
     """Parser language by case-folded extension, ``unknown`` otherwise."""
     languages = literal_map(fixed.LANGUAGE_BY_EXTENSION)
     return F.coalesce(F.try_element_at(languages, F.lower(extension(path))), F.lit("unknown"))
+
+
+def branch_candidates(named: Column) -> Column:
+    """Branches to try in order: the named one, then the usual ones; a null name is left out."""
+    return F.array_distinct(F.array_compact(F.array(named, F.lit("main"), F.lit("master"))))

@@ -84,7 +84,7 @@ def insert_after_line(c: Column, line_start: Column, note: Column) -> Column:
 
 def insert_project_note(c: Column) -> Column:
     """Insert the time note after the final-project heading."""
-    note = F.lit(fixed.NOTE_STYLE + "Estimated time: 20-30 minutes | Combines concepts from all exercises\n</div>\n\n")
+    note = F.lit(fixed.NOTE_OPEN + fixed.PROJECT_NOTE + fixed.NOTE_CLOSE)
     return F.when(c.rlike(r"(?m)^## Final Project"), insert_after_line(c, F.lit("## Final Project"), note)).otherwise(c)
 
 
@@ -107,8 +107,8 @@ def annotate_exercises(c: Column) -> Column:
 
         def step(acc: Column, x: Column) -> Column:
             note = F.concat(
-                F.lit(fixed.NOTE_STYLE + "Exercise "), (x["i"] + 1).cast("string"), F.lit(" of "), total.cast("string"),
-                F.lit(" | Estimated time: "), exercise_minutes(x["i"], total).cast("string"), F.lit(" minutes\n</div>\n\n"),
+                F.lit(fixed.NOTE_OPEN + "Exercise "), (x["i"] + 1).cast("string"), F.lit("/"), total.cast("string"),
+                F.lit(" | about "), exercise_minutes(x["i"], total).cast("string"), F.lit(" min" + fixed.NOTE_CLOSE),
             )
             return insert_after_line(acc, x["h"], note)
 
@@ -151,8 +151,7 @@ def slide_description(item: Column) -> Column:
 
 # Stand-in layout for slides without own styling: heading beside the body.
 SLIDE_WRAPPER = (
-    '<div class="slide"><div class="content"><div class="slide-header"><h1 class="main-title">{title}</h1></div>'
-    '<div class="slide-body"><div class="slide-content">{body}</div></div></div></div>\n<style></style>'
+    '<section class="page"><header><h1>{title}</h1></header><main>{body}</main></section>\n<style></style>'
 )
 
 

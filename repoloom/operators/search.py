@@ -7,6 +7,7 @@ to the smaller id, so results do not depend on the partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
+from repoloom.session import cut_lineage
 
 DIGITS = 6
 _SCORES = 4_000_000  # scores held at once
@@ -54,6 +56,11 @@ class _TopK:
                 s, rows = s[useful], ids[useful]
             pool_s = np.vstack([old_s, s])
             pool_i = np.vstack([old_i, np.broadcast_to(rows[:, None], s.shape)])
+            if len(pool_s) > 4 * self.k:
+                # Only rows that reach some query's k-th best score are sorted.
+                edge = np.partition(pool_s, len(pool_s) - self.k, axis=0)[len(pool_s) - self.k]
+                useful = (pool_s >= edge).any(axis=1)
+                pool_s, pool_i = pool_s[useful], pool_i[useful]
             bs, bi = _best(pool_s, pool_i, self.k)
             new_s.append(bs)
             new_i.append(bi)
@@ -79,40 +86,29 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int = fixed.TOP_K,
-    max_broadcast_values: int = 8_000_000,
-    cell_rows: int = 200_000,
-    block_queries: int = 20_000,
-) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, max_broadcast_values: int = 8_000_000) -> DataFrame:
     """The k most similar corpus vectors of each query.
 
     corpus: ``vec_id long, vector array<float>``; queries: ``query_id long,
     query_vector array<float|double>``; all vectors of one size. Fewer than k
-    corpus rows give fewer hits.
+    corpus rows give fewer hits. Null and empty vectors of either side take no part.
 
-    A query side of at most ``max_broadcast_values`` numbers travels to every
-    task, and the corpus is read once without a shuffle. A larger query side
-    takes the grid: corpus cells meet query blocks of bounded size.
+    Queries travel to every task in blocks of at most about ``max_broadcast_values`` numbers (their vectors and the k hits kept for
+    each), measured before; the corpus is scanned once per block and never shuffled. Each task leaves its k best per query.
     """
-    corpus = corpus.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<float>").alias("vector"))
+    corpus = corpus.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<float>").alias("vector")).filter(F.size("vector") > 0)
     queries = queries.select(
         F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>").alias("query_vector")
-    )
-    values = queries.agg(F.sum(F.size("query_vector")).alias("n")).first()["n"] or 0
-    if values <= max_broadcast_values:
-        return _rank(_scan(corpus, queries, k), k)
-    return _rank(_grid(corpus, queries, k, cell_rows, block_queries), k)
+    ).filter(F.size("query_vector") > 0)
+    queries = cut_lineage(queries)  # measured and read again; it may be an embedding run
+    values = queries.agg(F.sum(F.size("query_vector") + 2 * k).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-values // max(1, max_broadcast_values)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scans = [_scan(corpus, queries.filter(block == i) if blocks > 1 else queries, k) for i in range(blocks)]
+    return _rank(reduce(DataFrame.unionByName, scans), k)
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    # Every task leaves k rows per query, so long tasks leave least to rank. The limit only ever merges
-    # splits; the shuffle setting guards against a session that has few executors yet.
-    spark = corpus.sparkSession
-    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    corpus = corpus.coalesce(most)
     table = queries.orderBy("query_id").toArrow()
     qids = table["query_id"].to_numpy()
     shared = corpus.sparkSession.sparkContext.broadcast((qids, _matrix(table["query_vector"].combine_chunks())))
@@ -128,27 +124,6 @@ def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(run, _HITS)
 
 
-def _grid(corpus: DataFrame, queries: DataFrame, k: int, cell_rows: int, block_queries: int) -> DataFrame:
-    """Every (corpus cell, query block) pair is one bounded task; no side is held whole."""
-    cells = max(1, -(-corpus.count() // cell_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
-    left = corpus.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    )
-
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if c.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        state = _TopK(q["query_id"].to_numpy(), np.vstack(q["query_vector"]).astype("float64"), k)
-        state.add(c["vec_id"].to_numpy(), np.vstack(c["vector"]).astype("float64"))
-        return state.frame()
-
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(run, _HITS)
-
-
 def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Join hits back to their chunks by vec_id."""
     return chunks.join(hits, "vec_id")

@@ -9,6 +9,7 @@ from repoloom.operators import chunking, filters, rollups
 from repoloom.operators.code_facts import project_totals
 from repoloom.plans.catalog import register
 from repoloom.plans.views import EXT_SQL, FILES_SQL, NAME_SQL, files, pick, sql_in, table
+from repoloom.sources import files as src_files
 from repoloom.sources import store
 
 _PARTS = "string_split(path, '/')"
@@ -80,14 +81,12 @@ def tree_noise_filter(spark, sf_dir):
 )
 def project_scan(spark, sf_dir):
     ext = F.lower(paths.extension(F.col("path")))
-    return files(spark, sf_dir).filter(ext.isin(list(fixed.LANGUAGE_BY_EXTENSION))).select(
-        "file_no", "path", ext.alias("ext")
-    )
+    return files(spark, sf_dir).filter(src_files.has_extension(F.col("path"))).select("file_no", "path", ext.alias("ext"))
 
 
 @register("a4_java_files", f"WITH {FILES_SQL} SELECT file_no, path FROM files WHERE path LIKE '%.java'")
 def java_files(spark, sf_dir):
-    return files(spark, sf_dir).filter(F.col("path").endswith(".java")).select("file_no", "path")
+    return files(spark, sf_dir).filter(src_files.has_extension(F.col("path"), src_files.JAVA)).select("file_no", "path")
 
 
 @register("b1_exclusion_filter", f"WITH {FILES_SQL} SELECT file_no, path FROM files WHERE NOT {_EXCLUDED}")
@@ -387,18 +386,15 @@ def wiki_store_delete(spark, sf_dir):
 @register(
     "a10_json_texts",
     """SELECT event_id, 0::BIGINT AS n, event_type AS text FROM events
-    UNION ALL SELECT event_id, 1, props FROM events WHERE event_type <> 'view'""",
+    UNION ALL SELECT event_id, 1, replace(props, ' ', '') FROM events WHERE event_type <> 'view'""",
 )
 def json_texts(spark, sf_dir):
     named = F.to_json(F.struct(F.col("event_type").alias("text")))
     payload = F.when(F.col("event_type") == "view", named).otherwise(
         F.concat(F.lit("["), named, F.lit(", "), F.col("props"), F.lit("]"))
     )
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", F.posexplode(pl.json_texts(payload)).alias("n", "text")
-    )
     # JSON items come back in compact form.
-    return rows.withColumn("text", F.regexp_replace("text", r'^\{"k":(\d+)\}$', r'{"k": $1}'))
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(pl.json_texts(payload)).alias("n", "text"))
 
 
 @register(

@@ -47,9 +47,9 @@ def top_k_search(spark, sf_dir):
 
 @register("e5_store_top_k_grid", f"WITH {QUERY_SQL.format(k=20)} SELECT query_id, vec_id, score, rank FROM hits")
 def store_top_k_grid(spark, sf_dir):
-    """The way taken by query sides too large to broadcast."""
+    """Queries in several blocks, as a side too large for one broadcast takes them."""
     return se.top_k(
-        vectors(spark, sf_dir), label_queries(spark, sf_dir), fixed.STORE_TOP_K, max_broadcast_values=0, cell_rows=5000, block_queries=4
+        vectors(spark, sf_dir), label_queries(spark, sf_dir), fixed.STORE_TOP_K, max_broadcast_values=300
     )
 
 

@@ -182,9 +182,7 @@ def store_name(spark, sf_dir):
 )
 def branch_candidates(spark, sf_dir):
     named = F.when(F.col("lang") == "en", "main").when(F.col("lang") == "fr", "master").otherwise(F.col("lang"))
-    return _docs(spark, sf_dir).select(
-        "doc_id", F.array_distinct(F.array(named, F.lit("main"), F.lit("master"))).alias("branches")
-    )
+    return _docs(spark, sf_dir).select("doc_id", paths.branch_candidates(named).alias("branches"))
 
 
 # ---------------------------------------------------------------- Markdown and stream text
@@ -192,17 +190,14 @@ def branch_candidates(spark, sf_dir):
 
 @register(
     "h11_fences",
-    f"SELECT doc_id, text AS markdown, text AS xml FROM documents",
+    f"SELECT doc_id, regexp_replace(text, '^\\s+', '') || {NL} AS markdown, regexp_replace(text, '^\\s+', '') AS xml FROM documents",
 )
 def fences(spark, sf_dir):
     body = F.col("text")
     md = F.concat(F.lit("```markdown\n"), body, F.lit("\n```\n"))
     xml = F.concat(F.lit("```XML "), body, F.lit("```"))
-    strip_end = F.rtrim(tx.drop_fences_exact(md, "markdown"), F.lit("\n"))
     return _docs(spark, sf_dir).select(
-        "doc_id",
-        F.when(body.rlike(r"\n\z|\A\s"), body).otherwise(strip_end).alias("markdown"),
-        F.when(body.rlike(r"\A\s"), body).otherwise(tx.drop_fences(xml, "xml")).alias("xml"),
+        "doc_id", tx.drop_fences_exact(md, "markdown").alias("markdown"), tx.drop_fences(xml, "xml").alias("xml")
     )
 
 
@@ -263,7 +258,7 @@ def contents_list(spark, sf_dir):
 @register(
     "h15_project_note",
     f"""WITH {_WORKSHOP_SQL} SELECT doc_id, replace(c, '## Final Project' || {NL}, '## Final Project' || {NL} ||
-    {sql_text(fixed.NOTE_STYLE + 'Estimated time: 20-30 minutes | Combines concepts from all exercises')} || {NL} || '</div>' || {NL} || {NL}) AS content FROM w""",
+    {sql_text(fixed.NOTE_OPEN + fixed.PROJECT_NOTE)} || {NL} || '</div>' || {NL} || {NL}) AS content FROM w""",
 )
 def project_note(spark, sf_dir):
     return _workshops(spark, sf_dir).select("doc_id", tx.insert_project_note(F.col("c")).alias("content"))
@@ -291,8 +286,8 @@ def exercises(spark, sf_dir):
 @register(
     "e8_annotated_workshops",
     f"""WITH {_EXERCISES_SQL} SELECT w.doc_id, coalesce(string_split(c, '## Exercise ')[1] || x, c) AS content FROM w LEFT JOIN (
-      SELECT t.doc_id, string_agg('## Exercise ' || string_split(part, {NL})[1] || {NL} || {sql_text(fixed.NOTE_STYLE)} || 'Exercise ' || i || ' of ' || total
-        || ' | Estimated time: ' || minutes || ' minutes' || {NL} || '</div>' || {NL} || {NL} || substr(part, length(string_split(part, {NL})[1]) + 2), '' ORDER BY i) AS x
+      SELECT t.doc_id, string_agg('## Exercise ' || string_split(part, {NL})[1] || {NL} || {sql_text(fixed.NOTE_OPEN)} || 'Exercise ' || i || '/' || total
+        || ' | about ' || minutes || ' min' || {NL} || '</div>' || {NL} || {NL} || substr(part, length(string_split(part, {NL})[1]) + 2), '' ORDER BY i) AS x
       FROM timed t JOIN (SELECT doc_id, unnest(string_split(c, '## Exercise ')[2:]) AS part,
         generate_subscripts(string_split(c, '## Exercise ')[2:], 1) AS i FROM w) p USING (doc_id, i) GROUP BY 1) y ON w.doc_id = y.doc_id""",
 )
@@ -338,14 +333,16 @@ def _plans(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("plan"))
 
 
+_DEFAULT_ROWS = ", ".join(
+    f"({i}, {sql_text(t)}, {sql_text(d)})" for i, (t, d) in enumerate(s.replace("{repo}", "demo").split(": ") for s in fixed.DEFAULT_SLIDES)
+)
+
+
 @register(
     "h17_slide_items",
     f"""WITH {_SLIDE_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, t AS title, CASE WHEN form = 3 THEN '' ELSE d END AS description
     FROM lines WHERE form < 3 OR form = 3 AND lower(t) NOT LIKE '%please%' AND lower(t) NOT LIKE '%here%'
-    UNION ALL SELECT doc_id, n, title, description FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 4) CROSS JOIN (VALUES
-      (0, 'Title Slide', 'Introduction to demo'), (1, 'Overview', 'Key features and purpose of demo'), (2, 'Architecture', 'System components and structure'),
-      (3, 'Features', 'Main capabilities and functionalities'), (4, 'Implementation', 'How it works and technical details'),
-      (5, 'Use Cases', 'How to use demo effectively'), (6, 'Conclusion', 'Summary and next steps')) v(n, title, description)""",
+    UNION ALL SELECT doc_id, n, title, description FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 4) CROSS JOIN (VALUES {_DEFAULT_ROWS}) v(n, title, description)""",
 )
 def slide_items(spark, sf_dir):
     rows = _plans(spark, sf_dir).select("doc_id", F.posexplode(tx.slide_items(F.col("plan"), F.lit("demo"))).alias("n", "item"))
@@ -392,13 +389,11 @@ _JS_NAMES = ["get", "is", "has", "create", "make", "calculate", "compute", "to",
 
 @register(
     "h22_js_return_type",
-    f"""SELECT doc_id, {sql_pick(['boolean', 'boolean', 'boolean', 'object', 'object', 'number', 'number', 'x', 'any', 'x'], 'doc_id')} AS kind,
-    CASE doc_id % 10 WHEN 7 THEN '' || doc_id WHEN 9 THEN 'string' || doc_id ELSE {sql_pick(['boolean', 'boolean', 'boolean', 'object', 'object', 'number', 'number', 'x', 'any', 'x'], 'doc_id')} END AS return_type FROM documents""",
+    f"""SELECT doc_id, CASE doc_id % 10 WHEN 7 THEN '' || doc_id WHEN 9 THEN 'string' || doc_id ELSE {sql_pick(['boolean', 'boolean', 'boolean', 'object', 'object', 'number', 'number', 'x', 'any', 'x'], 'doc_id')} END AS return_type FROM documents""",
 )
 def js_return_type(spark, sf_dir):
     name = F.concat(pick(_JS_NAMES, F.col("doc_id")), _s())
-    kinds = ["boolean", "boolean", "boolean", "object", "object", "number", "number", "x", "any", "x"]
-    return _docs(spark, sf_dir).select("doc_id", pick(kinds, F.col("doc_id")).alias("kind"), tx.js_return_type(name).alias("return_type"))
+    return _docs(spark, sf_dir).select("doc_id", tx.js_return_type(name).alias("return_type"))
 
 
 @register(

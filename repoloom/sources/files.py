@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +104,9 @@ def _with_content(pdf: pd.DataFrame, rows: list) -> pd.DataFrame:
     return out
 
 
+JAVA = (".java",)
+
+
 def read_repositories(
     spark: SparkSession,
     roots: dict[str, str],
@@ -120,16 +123,19 @@ def read_repositories(
     return _read(classify(listed))
 
 
+def has_extension(path: Column, extensions: Iterable[str] | None = None) -> Column:
+    """True for a path with a parser language's extension (or one of the given ones), case-folded."""
+    return F.lower(extension(path)).isin(sorted(extensions or fixed.LANGUAGE_BY_EXTENSION))
+
+
 def project_files(spark: SparkSession, roots: dict[str, str], extensions: Iterable[str] | None = None) -> DataFrame:
     """All files with a parser language (or the given extensions, case-folded), from every directory."""
-    wanted = sorted(extensions or fixed.LANGUAGE_BY_EXTENSION)
-    listed = list_files(spark, roots, hidden=True)
-    return _read(listed.filter(F.lower(extension(F.col("path"))).isin(wanted)))
+    return _read(list_files(spark, roots, hidden=True).filter(has_extension(F.col("path"), extensions)))
 
 
 def java_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """Java files from every directory."""
-    return project_files(spark, roots, [".java"])
+    return project_files(spark, roots, JAVA)
 
 
 def _read(paths: DataFrame) -> DataFrame:
