@@ -118,7 +118,7 @@ with d as (select doc_id, source as host, coalesce(text, '') as text from docume
 w as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, text from d),
 b as (select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols from w),
-l as (select doc_id, host, unnest(list_filter(str_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) as line from d),
+l as (select doc_id, host, unnest(list_filter(str_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) as line from d),
 dl as (select doc_id, count(*) - count(distinct line) as n_dup_lines from l group by doc_id),
 g as (select doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') as win
       from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w)),
