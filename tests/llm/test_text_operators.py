@@ -410,7 +410,7 @@ def test_n_best_round_trip_and_edges(spark, docs, odd):
     assert nbest.encode_n_best(odd.filter("doc_id = 2 or doc_id is null and text is null"), model).count() == 0
     empty = nbest.encode_n_best(odd.filter("doc_id = 3"), model).collect()
     assert [(r.rank, r.n_pieces, r.score) for r in empty] == [(1, 0, 0.0)]
-    back = nbest.decode(rows.filter("rank = 1 and doc_id is not null").join(docs.select("doc_id", F.col("text").alias("own")), "doc_id"), model)
+    back = nbest.decode(nbest.encode_n_best(docs, model, n=1).join(docs.select("doc_id", F.col("text").alias("own")), "doc_id"), model)
     assert back.filter("text <> own").count() == 0 and back.count() > 0
     assert nbest.encode_n_best(docs.filter("false"), model).count() == 0
 
