@@ -343,7 +343,7 @@ def newest_projects(spark, sf_dir):
     return rows.limit(10).select("id", "submitted_at")
 
 
-_WIKI_ROWS = """SELECT ['github','gitlab'][doc_id % 2 + 1] AS repo_type, source AS owner, 'r' || (doc_id % 5) AS repo,
+_WIKI_ROWS = """SELECT ['github','gitlab'][doc_id % 2 + 1] AS repo_type, source AS owner, '00' || (doc_id % 5) AS repo,
   lang AS language, doc_id AS page_id"""
 
 
@@ -351,7 +351,7 @@ def _wiki_rows(spark, sf_dir):
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         pick(["github", "gitlab"], d).alias("repo_type"), F.col("source").alias("owner"),
-        F.concat(F.lit("r"), (d % 5).cast("string")).alias("repo"), F.col("lang").alias("language"),
+        F.concat(F.lit("00"), (d % 5).cast("string")).alias("repo"), F.col("lang").alias("language"),
         d.alias("page_id"), F.length("text").cast("long").alias("size"),
     )
 
@@ -606,4 +606,4 @@ def wiki_files(spark, sf_dir):
     old = _wiki_rows(spark, sf_dir)
     store.save_wikis(old, path)
     store.save_wikis(old.filter("language = 'en'").withColumn("size", F.lit(-1).cast("long")), path)
-    return spark.read.parquet(path)
+    return store.read_wikis(spark, path)

@@ -21,7 +21,7 @@ from repoloom.operators.code_facts import decode_files
 from repoloom.operators.filters import classify, keep_path
 from repoloom.session import cut_lineage
 
-_ENTRY = "root string, repo string, path string, is_dir boolean, size long, mtime timestamp"
+_ENTRY = "root string, repo string, path string, is_dir boolean, size long, mtime timestamp, list_error string"
 
 
 def _file_system(root: str):
@@ -31,25 +31,46 @@ def _file_system(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
 
 
+def _client(known: dict, root: str):
+    """File system and base path of a root; one client per root and task."""
+    if root not in known:
+        known[root] = _file_system(root)
+    return known[root]
+
+
+_NAMES = ["root", "repo", "path", "is_dir", "size", "mtime", "list_error"]
+
+
 def _list_dirs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    open_systems: dict = {}
     for pdf in frames:
         for root, repo, rel in zip(pdf["root"], pdf["repo"], pdf["path"]):
-            system, base = _file_system(root)
+            system, base = _client(open_systems, root)
             where = f"{base}/{rel}" if rel else base
-            found = system.get_file_info(fs.FileSelector(where, allow_not_found=True))
+            try:
+                found = system.get_file_info(fs.FileSelector(where, allow_not_found=True))
+            except OSError as e:
+                # What cannot be read is skipped and noted.
+                yield pd.DataFrame([(root, repo, rel, False, 0, None, type(e).__name__)], columns=_NAMES)
+                continue
             rows = [
-                (root, repo, f"{rel}/{i.base_name}" if rel else i.base_name, i.type == fs.FileType.Directory, i.size or 0, i.mtime)
+                (root, repo, f"{rel}/{i.base_name}" if rel else i.base_name, i.type == fs.FileType.Directory, i.size or 0, i.mtime, None)
                 for i in found
             ]
             # A directory of any size leaves in slices.
             for s in range(0, len(rows), 10_000):
-                yield pd.DataFrame(rows[s : s + 10_000], columns=["root", "repo", "path", "is_dir", "size", "mtime"])
+                yield pd.DataFrame(rows[s : s + 10_000], columns=_NAMES)
 
 
 def list_files(spark: SparkSession, roots: dict[str, str], hidden: bool = False) -> DataFrame:
-    """Files below the roots (repo name -> URI): root, repo, path, size, mtime.
+    """Files below the roots (repo name -> URI): root, repo, path, size, mtime; see ``list_entries``."""
+    return list_entries(spark, roots, hidden).filter("list_error IS NULL").drop("list_error")
+
+
+def list_entries(spark: SparkSession, roots: dict[str, str], hidden: bool = False) -> DataFrame:
+    """Files and, with a ``list_error``, the folders that could not be read.
 
     ``hidden`` also enters dot entries, which a plain recursive pattern leaves out.
     """
@@ -77,11 +98,12 @@ def read_bytes(paths: DataFrame, batch_bytes: int = 64 << 20) -> DataFrame:
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_systems: dict = {}
         for pdf in frames:
             rows, held = [], 0
             for i, (root, rel) in enumerate(zip(pdf["root"], pdf["path"])):
                 try:
-                    system, base = _file_system(root)
+                    system, base = _client(open_systems, root)
                     with system.open_input_stream(f"{base}/{rel}") as f:
                         data, error = f.read(), None
                 except OSError as e:

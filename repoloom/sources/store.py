@@ -4,28 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
 from repoloom.functions.paths import parse_store_name
 from repoloom.functions.text import known_language
+from repoloom.session import cut_lineage, path_exists
 
 WIKI_KEY = ["repo_type", "owner", "repo", "language"]
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None when it is absent, unreadable or empty."""
+    """The stored table, or None when it is absent, half written, damaged or empty.
+
+    A complete write leaves a success marker. Counting reads the footers of all files, so a broken one is found here.
+    """
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        return None
     try:
         df = spark.read.parquet(path)
-        return None if df.isEmpty() else df
-    except AnalysisException:
+        return df if df.count() else None
+    except (PySparkException, Py4JJavaError):
         return None
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
-    """Reuse the stored table when there is one, else build and store it once."""
+    """Reuse the stored table when there is a complete one, else build it and store it in its place."""
     stored = read_or_none(spark, path)
     if stored is not None:
         return stored
@@ -34,41 +41,72 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+# Wikis are stored in hash buckets of their key, so that their number doesn't grow with the store; the key stays a string in the rows.
+WIKI_BUCKETS = 256
+
+
+def _bucket(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(WIKI_BUCKETS)).cast("int")
+
+
+def read_wikis(spark: SparkSession, path: str) -> DataFrame:
+    """All stored wikis."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def _replace_buckets(rows: DataFrame, path: str) -> None:
+    # Rebalancing keeps a bucket's rows together but splits one that is larger than a usual partition.
+    writer = rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+
+
 def save_wikis(wikis: DataFrame, path: str) -> None:
-    """Write wikis (key columns + data); an existing wiki with the same key is replaced."""
-    # Rebalancing keeps a wiki's rows together but splits one that is larger than a usual partition.
-    balanced = wikis.hint("rebalance", *WIKI_KEY)
-    writer = balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*WIKI_KEY).parquet(path)
+    """Write wikis (key columns + data); an existing wiki with the same key is replaced, others stay.
+
+    Only the buckets of the given keys are read and written again.
+    """
+    spark = wikis.sparkSession
+    rows = wikis.withColumn("bucket", _bucket(*[F.col(c) for c in WIKI_KEY]))
+    if path_exists(spark, path):
+        rows = cut_lineage(rows)
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most WIKI_BUCKETS numbers
+        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        kept = stored.join(rows.select(*WIKI_KEY).distinct(), WIKI_KEY, "left_anti")
+        # The rows that stay are read before their files are replaced.
+        rows = rows.unionByName(cut_lineage(kept), allowMissingColumns=True)
+    _replace_buckets(rows, path)
 
 
 def _key_filter(key: dict[str, str]) -> Column:
-    cond = F.lit(True)
+    cond = F.col("bucket") == _bucket(*[F.lit(key[c]) for c in WIKI_KEY])
     for c in WIKI_KEY:
         cond = cond & (F.col(c) == key[c])
     return cond
 
 
 def read_wiki(spark: SparkSession, path: str, key: dict[str, str]) -> DataFrame:
-    """One stored wiki; only its partition is read. An unknown language falls back to the default."""
+    """One stored wiki; only its bucket is read. An unknown language falls back to the default."""
     if key["language"] not in fixed.LANGUAGE_NAMES:
         key = {**key, "language": fixed.DEFAULT_LANGUAGE}
-    return spark.read.parquet(path).filter(_key_filter(key))
+    return spark.read.parquet(path).filter(_key_filter(key)).drop("bucket")
 
 
 def delete_wiki(spark: SparkSession, path: str, key: dict[str, str]) -> bool:
-    """Remove one stored wiki by its partition folder; an unsupported language is rejected."""
+    """Remove one stored wiki from its bucket; an unsupported language is rejected."""
     if key["language"] not in fixed.LANGUAGE_NAMES:
         raise ValueError(f"unsupported language: {key['language']}")
-    jvm = spark._jvm
-    folder = "/".join([path.rstrip("/"), *[f"{c}={_escape(spark, key[c])}" for c in WIKI_KEY]])
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(system.exists(target) and system.delete(target, True))
-
-
-def _escape(spark: SparkSession, value: str) -> str:
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    table = spark.read.parquet(path)
+    if table.filter(_key_filter(key)).isEmpty():
+        return False
+    number = spark.range(1).select(_bucket(*[F.lit(key[c]) for c in WIKI_KEY]).alias("b")).first()["b"]
+    kept = cut_lineage(table.filter((F.col("bucket") == number) & ~_key_filter(key)))
+    if kept.isEmpty():
+        # A dynamic overwrite leaves a partition without new rows as it is.
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    else:
+        _replace_buckets(kept, path)
+    return True
 
 
 def upserted(stored: DataFrame, changes: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoloom.session import path_exists
+
 
 def content_hash(text: str = "text") -> Column:
     return F.sha2(F.col(text), 256)
@@ -48,11 +50,6 @@ def new_batch_id() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
-
-
 def touched_buckets(rows: DataFrame) -> list[int]:
     return [r[0] for r in rows.select("bucket").distinct().collect()]
 
@@ -66,7 +63,7 @@ def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, i
 
 def _ledger(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame | None:
     """Newest entry per path: version, hash and the batch that holds its rows."""
-    if not exists(spark, f"{store}/ledger"):
+    if not path_exists(spark, f"{store}/ledger"):
         return None
     entries = spark.read.schema(f"{_ENTRY}, bucket int").parquet(f"{store}/ledger")
     if buckets is not None:

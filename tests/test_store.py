@@ -18,14 +18,43 @@ def test_wiki_store(spark, tmp_path):
     store.save_wikis(wiki_rows(spark, ["my_repo"], "v2"), path)
     one = store.read_wiki(spark, path, {**KEY, "language": "??"})
     assert {r.content for r in one.collect()} == {"v2"} and one.count() == 3
-    assert "PartitionFilters: [isnotnull(repo_type" in one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
     assert store.delete_wiki(spark, path, KEY) and not store.delete_wiki(spark, path, KEY)
-    left = spark.read.parquet(path)
+    left = store.read_wikis(spark, path)
     assert {r.repo for r in left.collect()} == {"other"} and {r.content for r in left.collect()} == {"v1"}
     with pytest.raises(ValueError):
         store.delete_wiki(spark, path, {**KEY, "language": "??"})
 
 
+def test_wiki_keys_stay_text(spark, tmp_path):
+    path = str(tmp_path / "wikis")
+    names = ["007", "12", "2024-01-01", "null", "a/b=c"]
+    store.save_wikis(wiki_rows(spark, names, "v"), path)
+    store.save_wikis(wiki_rows(spark, ["007"], "w"), path)
+    assert sorted({r.repo for r in store.read_wikis(spark, path).collect()}) == sorted(names)
+    assert {r.content for r in store.read_wiki(spark, path, {**KEY, "repo": "007"}).collect()} == {"w"}
+    for n in names:
+        assert store.delete_wiki(spark, path, {**KEY, "repo": n})
+
+
+def test_damaged_and_half_written_stores_are_rebuilt(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).repartition(2)
+
+    path = tmp_path / "db"
+    assert store.load_or_build(spark, str(path), build).count() == 5
+    part = next(p for p in path.iterdir() if p.name.startswith("part"))
+    part.write_bytes(b"PAR1 broken")
+    (path / f".{part.name}.crc").unlink()
+    assert store.load_or_build(spark, str(path), build).count() == 5 and len(calls) == 2
+    (path / "_SUCCESS").unlink()
+    assert store.load_or_build(spark, str(path), build).count() == 5 and len(calls) == 3
+    assert store.load_or_build(spark, str(path), build).count() == 5 and len(calls) == 3
+
+
 def test_load_or_build_builds_once(spark, tmp_path):
     calls = []
 
