@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoloom.llm.words import mix, slices
+from repoloom.session import cut_lineage
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 GEAR[0] = 0  # texts are hashed side by side with 32 zero bytes between them, as if each began anew
@@ -115,6 +116,8 @@ def chunks(docs: DataFrame, mask_bits: int = 2, least: int = 24, most: int = 102
 def repeated_chunks(parts: DataFrame) -> DataFrame:
     """doc_id, place, d1 and first (the document that keeps it) of chunks that are copies of an earlier one."""
     first = parts.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Stored apart from its aggregation, so that the join deals out both sides and Spark can split a hot digest.
+    first = cut_lineage(first)
     return parts.join(first, ["d1", "d2"]).filter((F.col("doc_id") > F.col("first")) | F.col("again")).select("doc_id", "place", "d1", "first")
 
 

@@ -213,12 +213,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
                 break
             d = np.sqrt(((table - np.array(q)) ** 2).sum(1))
             d[ids == query_id] = np.inf
-            best = np.lexsort((ids, d))[: k + 8] if len(d) <= 4 * k else None
-            if best is None:
-                edge = np.partition(d, k)[k]
-                some = np.flatnonzero(d <= edge)
-                best = some[np.lexsort((ids[some], d[some]))][: k + 8]
-            for i in best:
+            some = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > 4 * k else np.arange(len(d))
+            if len(np.unique(ids[some])) <= k:  # repeated ids took places
+                some = np.arange(len(d))
+            best = some[np.lexsort((ids[some], d[some]))]
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            for i in best[: k + 1]:
                 if np.isfinite(d[i]):
                     q_ids.append(query_id)
                     found.append((int(ids[i]), float(d[i])))

@@ -6,7 +6,7 @@ Windows are hashed to longs; their repeats show in a sorted array, which is buil
 Line rule: lines are normalised (lower case, white space collapsed) and hashed; each document counts once per line and host,
 by a partial aggregation, so a line of a third of all documents costs one row per task. Lines of more than
 ``max(min_docs, share x documents of the host)`` documents are removed; a document that keeps less than ``least_kept`` of its
-words is depleted and rejected. Joins back to the lines are on digests and plain sort-merge joins, whose hot keys Spark splits.
+words is depleted and rejected. The join back to the lines is salted, so that a hot line is spread over tasks.
 
 Edge cases: a null text has no words and fails the base rules. A null host is a host of its own. Rows that share a doc_id
 share the verdict on their lines, taken over all of them; null ids count as one such document. Other columns are ignored, whatever their names.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.operators.columns import settle
+from repoloom.operators.columns import join_salted, settle
 
 SPACE = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,10 +67,15 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return rows.select(*kept, F.coalesce(covered, F.lit(0)).alias("n_repeat_words"))
 
 
+def _host() -> Column:
+    """The host as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def line_keys(docs: DataFrame) -> DataFrame:
     """doc_id, host and the lines with a word as (key, words)."""
     lines = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    norm = settle(docs.select("doc_id", F.col("source").alias("host"), "text"), __l=lines).select("doc_id", "host", "__l")
+    norm = settle(docs.select("doc_id", _host().alias("host"), "text"), __l=lines).select("doc_id", "host", "__l")
     plain = F.transform("__l", lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(BLANKS))), SPACE + "+", " "))
     norm = settle(norm, __n=plain).select("doc_id", "host", "__n")
     return norm.select(
@@ -82,14 +87,14 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int, share: float) -> DataFrame:
     """(host, key) of lines in more documents of the host than allowed."""
-    limit = docs.groupBy(F.col("source").alias("__host")).agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(share)).alias("limit"))
+    limit = docs.groupBy(_host().alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(share)).alias("limit"))
     counted = (
         lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > min_docs)
     )
-    return counted.join(limit, F.col("host").eqNullSafe(F.col("__host"))).filter(F.col("n") > F.col("limit")).select(F.col("host").alias("__host"), F.col("key").alias("__key"))
+    return counted.join(limit, "host").filter(F.col("n") > F.col("limit")).select("host", "key", F.lit(True).alias("__frequent"))
 
 
 def quality_rules(
@@ -100,10 +105,11 @@ def quality_rules(
     lines = line_keys(docs)
     frequent = frequent_lines(lines, docs, min_docs, share)
     each = lines.select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", F.col("l.key").alias("key"), F.col("l.words").alias("words"))
+    # Frequent lines are few (at most lines / min_docs) and short; a line of a third of all documents is spread over the salts.
     removed = (
-        each.join(frequent, F.col("host").eqNullSafe(F.col("__host")) & (F.col("key") == F.col("__key")), "left")
+        join_salted(each, frequent, ["host", "key"], F.xxhash64("doc_id"), salts=16, how="left")
         .groupBy("doc_id")
-        .agg(F.sum("words").alias("__all"), F.sum(F.when(F.col("__key").isNotNull(), F.col("words")).otherwise(0)).alias("__gone"))
+        .agg(F.sum("words").alias("__all"), F.sum(F.when(F.col("__frequent"), F.col("words")).otherwise(0)).alias("__gone"))
         .select(F.col("doc_id").alias("__id"), "__all", "__gone")
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))

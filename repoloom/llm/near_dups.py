@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept for every row."""
     signed = cut_lineage(signatures(docs, k))
     able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = signed.filter(able).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    # Stored apart from its aggregation, so that the join of the members deals out both sides and Spark can split a hot class.
+    classes = cut_lineage(signed.filter(able).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     heads = signed.filter(able).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = heads.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
