@@ -5,7 +5,8 @@ the table goes to the leaf that a descent to the nearest centre reaches. A query
 the distance to their centres and visits leaves in that order. The number of leaves to visit is widened until the recall measured on the sample
 against brute force reaches ``target``. Queries meet the vectors of their leaves in blocks of bounded size on both sides, so
 a leaf with a third of all vectors is spread over many tasks; distances are exact and in double precision, and each block returns its k
-best. The sample is thinner than the table, so its neighbours are farther away and its recall is the lower one.
+best, as far as they are no farther than the query's k-th neighbour among ``BOUND`` vectors of the sample, which no true neighbour
+can exceed. The sample is thinner than the table, so its neighbours are farther away and its recall is the lower one.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the most common length take no part, neither do rows with a
 null id. Rows that repeat an id count once with their smallest distance. If there are no more than k candidates, all are
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from repoloom.session import cut_lineage
 
-BLOCK = 512
+BLOCK = 1024
+BOUND = 4000
 
 
 def usable(vector: Column) -> Column:
@@ -139,7 +141,7 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_000, leaf_rows: int = 200, target: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_000, leaf_rows: int = 400, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of ``vectors`` (vec_id, embedding) where ``queries`` holds."""
     spark = vectors.sparkSession
     rows = vectors.withColumn("__q", F.coalesce(queries, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "__q")
@@ -153,15 +155,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
     if not chosen.num_rows:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).filter("false")
     points = _matrix(chosen["v"])
+    some = np.unique(chosen["vec_id"].to_numpy(), return_index=True)[1]
+    some = some[:: -(-len(some) // BOUND)]
+    anchors = (chosen["vec_id"].to_numpy()[some], points[some])
     tree = Tree(points, max(8, round(leaf_rows * len(points) / max(total, 1))))
     trial = np.random.default_rng(11).choice(len(points), min(300, len(points)), replace=False)
     visits = tree.visits_for(points, trial, k, target)
-    shared = spark.sparkContext.broadcast(tree.parts)
+    shared = spark.sparkContext.broadcast((tree.parts, anchors))
 
     def index(batches):
         import pyarrow as pa
 
-        own = Tree.of(shared.value)
+        own = Tree.of(shared.value[0])
         for batch in batches:
             if batch.num_rows:
                 leaf = own.assign(_matrix(batch.column(1)))
@@ -175,10 +180,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
     def walk(batches):
         import pyarrow as pa
 
-        own = Tree.of(shared.value)
+        parts, (anchor_ids, anchor) = shared.value
+        own = Tree.of(parts)
         for batch in batches:
-            who, leaves = [], []
-            for i, q in enumerate(_matrix(batch.column(1))):
+            who, leaves, reach = [], [], []
+            for i, (query_id, q) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(1)))):
+                d = np.sqrt(((anchor - q) ** 2).sum(1))
+                d[anchor_ids == query_id] = np.inf
+                reach.append(float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else np.inf)
                 seen = found = 0
                 for leaf in own.visit(q):
                     seen += 1
@@ -189,9 +198,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
                     if seen >= visits and found > 2 * k:
                         break
             take = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.int64())], ["query_id", "qv", "leaf"])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.int64()), pa.array(reach, pa.float64()).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "qv", "leaf", "reach"])
 
-    walks = indexed.filter("q").select("vec_id", "v").mapInArrow(walk, "query_id long, qv array<double>, leaf long")
+    walks = indexed.filter("q").select("vec_id", "v").mapInArrow(walk, "query_id long, qv array<double>, leaf long, reach double")
     walks = cut_lineage(walks)
     asked = {r["leaf"]: r["count"] for r in walks.groupBy("leaf").count().collect()}
     blocks = spark.createDataFrame([(i, -(-n // BLOCK), -(-asked[i] // BLOCK)) for i, n in sorted(counts.items()) if i in asked], "leaf long, vb long, qb long")
@@ -200,7 +210,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
         "leaf", F.pmod(F.xxhash64("vec_id"), "vb").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("c"), "vec_id", "v"
     )
     from_queries = walks.join(blocks, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)).alias("b"), F.pmod(F.xxhash64("query_id"), "qb").alias("c"), "query_id", "qv"
+        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)).alias("b"), F.pmod(F.xxhash64("query_id"), "qb").alias("c"), "query_id", "qv", "reach"
     )
 
     def search(left, right):
@@ -208,14 +218,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 20_0
 
         ids, table = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
         q_ids, found = [], []
-        for query_id, q in zip(right.column("query_id").to_pylist(), right.column("qv").to_pylist()):
+        for query_id, q, reach in zip(*[right.column(c).to_pylist() for c in ("query_id", "qv", "reach")]):
             if not len(ids):
                 break
             d = np.sqrt(((table - np.array(q)) ** 2).sum(1))
             d[ids == query_id] = np.inf
-            some = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > 4 * k else np.arange(len(d))
+            near = np.flatnonzero(d <= reach)
+            some = near[d[near] <= np.partition(d[near], k)[k]] if len(near) > 4 * k else near
             if len(np.unique(ids[some])) <= k:  # repeated ids took places
-                some = np.arange(len(d))
+                some = near
             best = some[np.lexsort((ids[some], d[some]))]
             best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
             for i in best[: k + 1]:
