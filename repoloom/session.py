@@ -21,6 +21,8 @@ def local_session(app: str = "repoloom", cores: str = "8", shuffle_partitions: i
         # Call sites are only recorded for error messages; the fact patterns build many columns.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
