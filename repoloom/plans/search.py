@@ -9,7 +9,6 @@ from repoloom.functions import fixed
 from repoloom.operators import embedding as em
 from repoloom.operators import search as se
 from repoloom.operators.chunking import word_chunks
-from repoloom.operators.ordered import number_rows
 from repoloom.plans.catalog import register
 from repoloom.plans.views import table
 
@@ -199,9 +198,9 @@ def embed_questions(spark, sf_dir):
 def question_retrieval(spark, sf_dir):
     """Benchmark texts against all document chunks, embedded and searched in one job."""
     chunks = word_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    # Chunks are numbered in order of document and chunk; the numbering shuffles keys only.
-    numbers = number_rows(chunks.select("doc_id", "chunk_no"), [], ["doc_id", "chunk_no"], "vec_id")
-    chunks = chunks.join(numbers, ["doc_id", "chunk_no"])
+    # As many places per document as the longest one has chunks: ids are distinct and in order, and an overflow raises.
+    places = (chunks.agg(F.max("chunk_no")).first()[0] or 0) + 1
+    chunks = chunks.withColumn("vec_id", F.col("doc_id") * F.lit(places).cast("long") + F.col("chunk_no"))
     corpus = em.embed_texts(chunks.select("vec_id", "text"), em.hashing_embedder)
     asked = em.embed_texts(table(spark, sf_dir, "benchmark"), em.hashing_embedder)
     queries = asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))

@@ -83,8 +83,8 @@ def test_question_retrieval_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     got = all_queries()["u1_question_retrieval"](spark, sf).toPandas()
     fn = em.hashing_embedder()
-    chunks = word_chunks(table(spark, sf, "documents").select("doc_id", "text")).orderBy("doc_id", "chunk_no").toPandas()
-    ids = np.arange(len(chunks))
+    chunks = word_chunks(table(spark, sf, "documents").select("doc_id", "text")).toPandas()
+    ids = (chunks.doc_id * (chunks.chunk_no.max() + 1) + chunks.chunk_no).to_numpy()
     corpus = np.asarray(fn(list(chunks.text)), dtype="float32").astype("float64")
     asked = table(spark, sf, "benchmark").toPandas()
     queries = np.asarray(fn(list(asked.text)), dtype="float32").astype("float64")
