@@ -1,8 +1,8 @@
 """N-best segmentation of texts into the pieces of a SentencePiece vocabulary, and decoding.
 
 A text becomes the model's normal form (spaces as U+2581, one more in front). No piece holds a U+2581 after
-another character, so the piece lattice falls apart at every word; words are the lattices here and repeat often, so each task
-remembers them. In a lattice a forward Viterbi pass gives the best score up to every position; these are the exact
+another character, so the piece lattice falls apart at every word, and inside a word wherever no piece holds two neighbouring characters
+together; these parts are the lattices here and repeat often, so each task remembers them. In a lattice a forward Viterbi pass gives the best score up to every position; these are the exact
 heuristic of an A* search that runs backwards from the end and pops complete segmentations in
 order of score. The n best of a text combine those of its words: at most n - 1 words can
 differ from their best, those whose second-best segmentation loses least, so A* runs for them alone.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,7 +38,10 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], fallback: float):
         self.pieces, self.byte_ids, self.fallback = pieces, byte_ids, fallback
-        self.longest = max(map(len, pieces), default=1)
+        # Also what only begins a piece, so that a search stops where no piece goes on.
+        self.begun: dict[str, tuple[int, float]] = {p[:n]: (-1, 0.0) for p in pieces for n in range(1, len(p))} | pieces
+        # Two neighbouring characters that no piece holds together are a seam of every segmentation.
+        self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
 
     @classmethod
     def load(cls, model_file: str) -> Lattice:
@@ -52,57 +56,59 @@ class Lattice:
                 pieces[sp.id_to_piece(i)] = (i, sp.get_score(i))
         return cls(pieces, byte_ids, min(s for _, s in pieces.values() if s > -1e8) - 10.0)
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For every end position: (start, score, ids) of the pieces that end there."""
-        n, get = len(word), self.pieces.get
-        into: list[list] = [[] for _ in range(n + 1)]
+    def cut(self, word: str) -> list[str]:
+        """Parts of a word between its seams."""
+        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.together]
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)])] if at else [word]
+
+    def arcs(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
+        """(start, end, score, ids) of all pieces in the word, by start."""
+        n, get, out = len(word), self.begun.get, []
         for a in range(n):
             hit = False
-            for b in range(a + 1, min(n, a + self.longest) + 1):
+            for b in range(a + 1, n + 1):
                 found = get(word[a:b])
-                if found is not None:
-                    into[b].append((a, found[1], (found[0],)))
-                    hit |= b == a + 1
+                if found is None:
+                    break
+                if found[0] >= 0:
+                    out.append((a, b, found[1], found[:1]))
+                    if b == a + 1:
+                        hit = True
             if not hit:
                 raw = word[a].encode("utf-8", "surrogatepass")
-                into[a + 1].append((a, self.fallback * len(raw), tuple(self.byte_ids[x] for x in raw)))
+                out.append((a, a + 1, self.fallback * len(raw), tuple([self.byte_ids[x] for x in raw])))
+        return out
+
+    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """For every end position: (start, score, ids) of the pieces that end there."""
+        into: list[list] = [[] for _ in range(len(word) + 1)]
+        for a, b, s, ids in self.arcs(word):
+            into[b].append((a, s, ids))
         return into
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
         """Best score, its ids, and how much less the second-best segmentation scores (infinity if there is none)."""
-        into = self.edges(word)
-        n = len(word)
-        front, back = [0.0] * (n + 1), [None] * (n + 1)
-        for b in range(1, n + 1):
-            top, via = None, None
-            for e in into[b]:
-                s = front[e[0]] + e[1]
-                if top is None or s > top:
-                    top, via = s, e
-            front[b], back[b] = top, via
-        ids: list[tuple[int, ...]] = []
-        on_path = set()
-        at = n
+        n, arcs, none = len(word), self.arcs(word), float("-inf")
+        front, back = [0.0] + [none] * n, [None] * (n + 1)
+        for arc in arcs:
+            s = front[arc[0]] + arc[2]
+            if s > front[arc[1]]:
+                front[arc[1]], back[arc[1]] = s, arc
+        path, chosen, at = [], [None] * (n + 1), n
         while at:
-            e = back[at]
-            on_path.add((e[0], at))
-            ids.append(e[2])
-            at = e[0]
-        # Every other segmentation has an edge off the best path; the best one through that edge is front + edge + rest.
-        rest = [None] * (n + 1)
-        rest[n] = 0.0
-        second = None
-        for b in range(n, 0, -1):
-            r = rest[b]
-            if r is None:
-                continue
-            for a, s, _ in into[b]:
-                v = s + r
-                if rest[a] is None or v > rest[a]:
-                    rest[a] = v
-                if (a, b) not in on_path and (second is None or front[a] + v > second):
-                    second = front[a] + v
-        return front[n], tuple(x for part in reversed(ids) for x in part), float("inf") if second is None else front[n] - second
+            arc = chosen[at] = back[at]
+            path.append(arc)
+            at = arc[0]
+        # Every other segmentation has an arc off the best path; the best one through that arc is front + arc + rest.
+        rest, second = [none] * n + [0.0], none
+        for arc in reversed(arcs):
+            a, b, s, _ = arc
+            v = s + rest[b]
+            if v > rest[a]:
+                rest[a] = v
+            if front[a] + v > second and chosen[b] is not arc:
+                second = front[a] + v
+        return front[n], tuple([x for arc in reversed(path) for x in arc[3]]), front[n] - second
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations in order: A* from the end, guided by the exact forward scores."""
@@ -138,14 +144,19 @@ class Segmenter:
         self.lattice, self.n, self.known = lattice, n, {}
 
     def _learn(self, words: set[str]) -> dict:
-        import numpy as np
-
         if len(self.known) + len(words) > WORD_CACHE:
             self.known.clear()
+        known, lattice = self.known, self.lattice
         for w in words:
-            score, ids, gap = self.lattice.best(w)
-            self.known[w] = (np.array(ids, "<u4").tobytes(), score, gap)
-        return self.known
+            parts = []
+            for p in lattice.cut(w):
+                found = known.get(p)
+                if found is None:
+                    score, ids, gap = lattice.best(p)
+                    found = known[p] = (array("I", ids).tobytes(), score, gap)
+                parts.append(found)
+            known[w] = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), sum(p[1] for p in parts), min(p[2] for p in parts))
+        return known
 
     def segment(self, text: str) -> Iterator[tuple[float, bytes]]:
         """(score, little-endian unsigned 32-bit ids) in descending order of score."""
