@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Every token of a text has a class: insult, threat, target (who is addressed), negation, speech (a
-report of what others say), clause end, or other. Five small transducers read these classes: each keeps its own state and
-multiplies the weight of an insult or threat by a factor. Their composition is one product automaton, compiled to a
-table. A clause's matches are scored in that context: a negated insult weighs less, so does a reported one, an
-addressed one weighs more, a threat needs somebody to be addressed. The score of a text is the
+report of what others say), clause end, or other. Three small transducers read these classes: negation and speech put a factor
+on the words that follow, and the target one puts a factor on what the clause held when it ends, wherever in the clause
+the target is. Their composition is one product automaton, compiled to a
+table. A negated insult weighs less, so does a reported one, an
+addressed one weighs more, a threat needs somebody to be addressed in its clause. The score of a text is the
 noisy-or of its matches over the share of toxic texts without any match.
 
 The lexicon of insults is learned: words and word beginnings whose share of toxic texts is significantly higher than
 the average (binomial tail with Bonferroni's correction) and high in itself, counted once per group of near copies.
-Their weight is the lower confidence bound of that share. Learning uses a bounded sample of labelled
+Their weight is the lower confidence bound of that share. A threat word with a learned weight is an insult of that weight too.
+Learning uses a bounded sample of labelled
 rows (``docs_per_class`` of each label, texts of at most ``max_chars`` characters); scoring reads every whole text.
 
 Edge cases: a null or empty text has the score of a text without match. Rows with the same doc_id are scored each; of
@@ -43,66 +45,122 @@ SPEECHES = ("said", "says", "wrote", "called", "claimed", "reported", "quoted",
 MARKS = "\"“”«»"
 
 
+def _symbols() -> tuple[dict[str, int], list[int]]:
+    """Number of every fixed wordand the kind of every number."""
+    symbols: dict[str, int] = {}
+    for words, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (SPEECHES, SPEECH), (MARKS, SPEECH), (".!?;\n", END), (THREATS, THREAT)):
+        symbols.update(dict.fromkeys(words, kind))
+    kinds = list(range(7))
+    return symbols, kinds
+
+
+SYMBOLS, KINDS = _symbols()
+NOTHING = (OTHER, 0.0, 0.0)
+
+
 class Transducer:
-    """States 0..n-1, a step function and the factor put on an insult or threat read in a state."""
+    """States from 0, a step function, the factor put on a match of ``n`` words ending in a state, the factor put on what a
+    clause held when it ends in a state."""
 
-    def __init__(self, states: int, step: Callable[[int, int], int], factor: Callable[[int, int], float]):
-        self.states, self.step, self.factor = states, step, factor
+    def __init__(
+        self,
+        states: int,
+        step: Callable[[int, int], int],
+        factor: Callable[[int, int, int], float] = lambda s, c, n: 1.0,
+        final: Callable[[int, int], float] = lambda s, c: 1.0,
+    ):
+        self.states, self.step, self.factor, self.final = states, step, factor, final
 
 
-def window(trigger: int, length: int, factor: float, on: tuple[int, ...] = (INSULT, THREAT), otherwise: float = 1.0) -> Transducer:
-    """``factor`` within ``length`` tokens after a trigger in the same clause, else ``otherwise``."""
+def window(trigger: int, length: int, factor: float, on: tuple[int, ...] = (INSULT, THREAT), longest: int = 1) -> Transducer:
+    """``factor`` on matches of at most ``longest`` words that begin within ``length`` tokens after a trigger in the same clause."""
+    top = length + longest - 1
 
     def step(s: int, c: int) -> int:
-        return length if c == trigger else 0 if c == END else max(0, s - 1)
+        return top if KINDS[c] == trigger else 0 if c == END else max(0, s - 1)
 
-    return Transducer(length + 1, step, lambda s, c: (factor if s else otherwise) if c in on else 1.0)
+    return Transducer(top + 1, step, lambda s, c, n: factor if s > longest - n and c in on else 1.0)
 
 
 def until_end(trigger: int, factor: float) -> Transducer:
     """``factor`` from a trigger to the end of its clause."""
-    return Transducer(2, lambda s, c: 0 if c == END else int(s or c == trigger), lambda s, c: factor if s and c in (INSULT, THREAT) else 1.0)
+    return Transducer(2, lambda s, c: 0 if c == END else int(s or KINDS[c] == trigger), lambda s, c, n: factor if s and c in (INSULT, THREAT) else 1.0)
+
+
+def anywhere(trigger: int, with_it: dict[int, float], without: dict[int, float]) -> Transducer:
+    """Factors by kind on what a clause held, with and without a trigger before or behind it in the clause."""
+    return Transducer(2, lambda s, c: 0 if c == END else int(s or KINDS[c] == trigger), final=lambda s, c: (with_it if s else without)[c])
+
+
+def _reached(parts: tuple[Transducer, ...]) -> list[tuple[int, ...]]:
+    """States of the product that can be reached, the first one in front."""
+    states = {(0,) * len(parts): None}
+    todo = list(states)
+    while todo:
+        s = todo.pop()
+        for c in range(len(KINDS)):
+            t = tuple(p.step(x, c) for p, x in zip(parts, s))
+            if t not in states:
+                states[t] = None
+                todo.append(t)
+    return list(states)
 
 
 def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[float]]]:
-    """Product automaton: next state and factor for every (state, class)."""
-    states = list(itertools.product(*[range(p.states) for p in parts]))
+    """Product automaton: next state and factor (of a match of one word) for every (state, symbol)."""
+    states = _reached(parts)
     number = {s: i for i, s in enumerate(states)}
-    step = [[number[tuple(p.step(x, c) for p, x in zip(parts, s))] for c in range(7)] for s in states]
-    factor = [[math.prod(p.factor(x, c) for p, x in zip(parts, s)) for c in range(7)] for s in states]
+    symbols = range(len(KINDS))
+    step = [[number[tuple(p.step(x, c) for p, x in zip(parts, s))] for c in symbols] for s in states]
+    factor = [[math.prod(p.factor(x, KINDS[c], 1) for p, x in zip(parts, s)) for c in symbols] for s in states]
     return step, factor
 
 
-def grammar(negated: float = 0.3, reported: float = 0.6, addressed: float = 1.1) -> tuple[list[list[int]], list[list[float]]]:
-    return compose(
+class Grammar:
+    """The composed tables: ``step``, ``factor``, and ``final`` (of insult and threat) of a state."""
+
+    def __init__(self, *parts: Transducer):
+        states = _reached(parts)
+        self.step, self.factor = compose(*parts)
+        self.final = [tuple(math.prod(p.final(x, k) for p, x in zip(parts, s)) for k in (INSULT, THREAT)) for s in states]
+
+
+def grammar(negated: float = 0.3, reported: float = 0.6, addressed: float = 1.1) -> Grammar:
+    return Grammar(
         window(NEGATION, 2, negated),
         until_end(SPEECH, reported),
-        window(TARGET, 6, addressed, on=(INSULT,)),
-        window(TARGET, 6, 1.0, on=(THREAT,), otherwise=0.0),
+        anywhere(TARGET, {INSULT: addressed, THREAT: 1.0}, {INSULT: 1.0, THREAT: 0.0}),
     )
 
 
 class Scorer:
     """Clause scores of texts by a lexicon and a compiled grammar."""
 
-    def __init__(self, lexicon: dict[str, float], base: float, compiled=None, memory: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], base: float, compiled: Grammar | None = None, memory: int = 300_000):
         self.lexicon, self.base, self.memory = lexicon, base, memory
-        self.step, self.factor = compiled or grammar()
+        self.grammar = compiled or grammar()
         self.shortest = min(map(len, lexicon), default=1)
         self.longest = max(map(len, lexicon), default=0)
-        self.fixed: dict[str, tuple[int, float]] = {}
-        for words, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (SPEECHES, SPEECH), (MARKS, SPEECH), (".!?;\n", END)):
-            self.fixed.update(dict.fromkeys(words, (kind, 0.0)))
-        self.fixed.update(dict.fromkeys(THREATS, (THREAT, 0.8)))
+        self.fixed = {}
+        for token, symbol in SYMBOLS.items():
+            kind = KINDS[symbol]
+            # A threat word is an insult too where one was learned, and a learned weight is at least the weight of the threat.
+            learned = self.learned(token) if kind in (THREAT, OTHER) else self.lexicon.get(token + "$", 0.0)
+            self.fixed[token] = symbol, learned, max(0.8, learned) if kind == THREAT else 0.0
         self.known = dict(self.fixed)
 
-    def classify(self, token: str) -> tuple[int, float]:
+    def learned(self, token: str) -> float:
         found = self.lexicon.get(token + "$", 0.0)
         for n in range(self.shortest, min(len(token), self.longest) + 1):
             found = max(found, self.lexicon.get(token[:n], 0.0))
-        return (INSULT, found) if found else (OTHER, 0.0)
+        return found
+
+    def classify(self, token: str) -> tuple[int, float, float]:
+        """Symbol, weight as an insult and weight as a threat."""
+        found = self.learned(token)
+        return (INSULT, found, 0.0) if found else NOTHING
 
-    def matches(self, text: str) -> Iterable[float]:
+    def matches(self, text: str) -> list[float]:
         """Weights of the matches of a text, each in the context of its clause."""
         tokens = TOKEN.findall(text.lower())
         classes = list(map(self.known.get, tokens))
@@ -116,16 +174,22 @@ class Scorer:
                     if c is None:
                         c = self.known[t] = self.classify(t)
                     classes[i] = c
-        kinds = [c[0] for c in classes]
-        if INSULT not in kinds and THREAT not in kinds:
+        g = self.grammar
+        if not any(insult or threat for _, insult, threat in set(classes)):
             return []
-        state, out = 0, []
-        for kind, weight in classes:
-            if weight:
-                w = weight * self.factor[state][kind]
-                if w:
-                    out.append(min(w, 0.99))
-            state = self.step[state][kind]
+        step, factor = g.step, g.factor
+        out: list[float] = []
+        state = 0
+        held: list[tuple[float, float]] = []  # insult and threat of the clause's words
+        for symbol, insult, threat in itertools.chain(classes, [(END, 0.0, 0.0)]):
+            if symbol == END:
+                by_insult, by_threat = g.final[state]
+                weights = [max(a * by_insult, b * by_threat) for a, b in held]
+                out += [min(w, 0.99) for w in weights if w]
+                held = []
+            elif insult or threat:
+                held.append((insult * factor[state][INSULT], threat * factor[state][THREAT]))
+            state = step[state][symbol]
         return out
 
     def score(self, text: str | None) -> float:
@@ -237,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 3000, max_char
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns (a kept text comes last of them), score and predicted for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.lexicon, scorer.base, (scorer.step, scorer.factor)))
+    shared = docs.sparkSession.sparkContext.broadcast((scorer.lexicon, scorer.base, scorer.grammar))
     carried = docs.select(*[F.col(f"`{c}`") for c in keep if c != "text"], F.col("text").cast(T.StringType()))
     kept = carried.schema.fields if "text" in keep else carried.schema.fields[:-1]
     schema = T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])

@@ -434,6 +434,16 @@ def test_composition_multiplies():
     assert factor[step[at][toxicity.END]][toxicity.INSULT] == 1.0
 
 
+def test_targets_on_both_sides_of_a_clause():
+    s = toxicity.Scorer({"clown$": 0.6, "murder$": 0.9}, 0.01)
+    for text in ("I will kill you", "kill yourself", "strangle all the people in that long street with you", "you, kill"):
+        assert s.score(text) > 0.7, text
+    assert s.score("the frost may kill plants. you know") == s.score("") and s.score("i will not kill you") < 0.7
+    assert s.score("a clown, you") == s.score("you clown") > s.score("a clown")
+    # A learned threat word weighs what was learned, with a target or without.
+    assert s.score("murder all") > 0.85 and s.score("murder you") > s.score("kill you")
+
+
 def test_learned_lexicon_on_held_out_rows(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8)))
