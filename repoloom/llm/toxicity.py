@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Every token of a text has a class: insult, threat, target (who is addressed), negation, speech (a
-report of what others say), clause end, or other. Three small transducers read these classes: negation and speech put a factor
-on the words that follow, and the target one puts a factor on what the clause held when it ends, wherever in the clause
-the target is. Their composition is one product automaton, compiled to a
-table. A negated insult weighs less, so does a reported one, an
-addressed one weighs more, a threat needs somebody to be addressed in its clause. The score of a text is the
-noisy-or of its matches over the share of toxic texts without any match.
+Every token of a text has a symbol: insult, threat, target (who is addressed), negation, speech (a report of what others say), clause
+end, other, or a word of one of the built-in phrases, which keeps its kind. Five small transducers read these symbols: two match the
+phrases of insults and threats, negation and speech put a factor on the words and phrases that follow, and the target one puts a factor
+on what the clause held when it ends, wherever in the clause the target is. Their composition is one product automaton, compiled to tables over the
+states that can be reached. A clause holds its heaviest insult and its heaviest threat until its end: a negated or
+reported one weighs less, an addressed insult more, and a threat needs somebody to be addressed in the clause. A clause gives one weight, the larger of the
+two; a clause that repeats an earlier one word for word counts once. The score of a text is the noisy-or of its
+clauses over the share of toxic texts without any match.
 
 The lexicon of insults is learned: words and word beginnings whose share of toxic texts is significantly higher than
 the average (binomial tail with Bonferroni's correction) and high in itself, counted once per group of near copies.
@@ -43,14 +44,19 @@ TARGETS = ("you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein",
 NEGATIONS = ("not", "never", "no", "isn", "aren", "nicht", "kein", "keine", "niemals", "ne", "pas", "jamais", "nunca", "jamás")
 SPEECHES = ("said", "says", "wrote", "called", "claimed", "reported", "quoted", "sagte", "schrieb", "nannte", "disait", "écrivit", "dijo", "escribió")
 MARKS = "\"“”«»"
+INSULT_PHRASES = ("piece of trash", "piece of garbage", "piece of filth", "waste of space", "waste of air", "stück dreck", "pedazo de basura")
+THREAT_PHRASES = ("break your neck", "break your legs", "break your bones", "cut your throat", "slit your throat", "burn your house", "beat you up", "bring dich um")
 
 
 def _symbols() -> tuple[dict[str, int], list[int]]:
-    """Number of every fixed wordand the kind of every number."""
+    """Number of every fixed word, and the kind of every number: the kinds themselves, then each word of a phrase apart."""
     symbols: dict[str, int] = {}
     for words, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (SPEECHES, SPEECH), (MARKS, SPEECH), (".!?;\n", END), (THREATS, THREAT)):
         symbols.update(dict.fromkeys(words, kind))
     kinds = list(range(7))
+    for word in sorted({w for p in (*INSULT_PHRASES, *THREAT_PHRASES) for w in p.split()}):
+        kinds.append(symbols.get(word, OTHER))
+        symbols[word] = len(kinds) - 1
     return symbols, kinds
 
 
@@ -60,7 +66,7 @@ NOTHING = (OTHER, 0.0, 0.0)
 
 class Transducer:
     """States from 0, a step function, the factor put on a match of ``n`` words ending in a state, the factor put on what a
-    clause held when it ends in a state."""
+    clause held when it ends in a state, and the (kind, weight, n) of the patterns that a symbol completes."""
 
     def __init__(
         self,
@@ -68,8 +74,9 @@ class Transducer:
         step: Callable[[int, int], int],
         factor: Callable[[int, int, int], float] = lambda s, c, n: 1.0,
         final: Callable[[int, int], float] = lambda s, c: 1.0,
+        found: Callable[[int, int], list[tuple[int, float, int]]] = lambda s, c: [],
     ):
-        self.states, self.step, self.factor, self.final = states, step, factor, final
+        self.states, self.step, self.factor, self.final, self.found = states, step, factor, final, found
 
 
 def window(trigger: int, length: int, factor: float, on: tuple[int, ...] = (INSULT, THREAT), longest: int = 1) -> Transducer:
@@ -92,6 +99,23 @@ def anywhere(trigger: int, with_it: dict[int, float], without: dict[int, float])
     return Transducer(2, lambda s, c: 0 if c == END else int(s or KINDS[c] == trigger), final=lambda s, c: (with_it if s else without)[c])
 
 
+def patterns(kind: int, phrases: Iterable[str], weight: float) -> Transducer:
+    """``kind`` wherever one of the phrases ends; the states are their beginnings."""
+    wanted = {tuple(SYMBOLS[w] for w in p.split()) for p in phrases}
+    heads = sorted({p[:n] for p in wanted for n in range(len(p))} | {()}, key=lambda x: (len(x), x))
+    number = {h: i for i, h in enumerate(heads)}
+
+    def ends(s: int, c: int) -> list[tuple[int, ...]]:
+        read = (*heads[s], c)
+        return [read[i:] for i in range(len(read) + 1)]
+
+    return Transducer(
+        len(heads),
+        lambda s, c: next(number[x] for x in ends(s, c) if x in number),
+        found=lambda s, c: [(kind, weight, len(x)) for x in ends(s, c) if x in wanted],
+    )
+
+
 def _reached(parts: tuple[Transducer, ...]) -> list[tuple[int, ...]]:
     """States of the product that can be reached, the first one in front."""
     states = {(0,) * len(parts): None}
@@ -117,17 +141,28 @@ def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[float]]]:
 
 
 class Grammar:
-    """The composed tables: ``step``, ``factor``, and ``final`` (of insult and threat) of a state."""
+    """The composed tables: ``step``, ``factor``, ``final`` (of insult and threat) and ``found`` (weight of insult and threat) of a state."""
 
     def __init__(self, *parts: Transducer):
         states = _reached(parts)
         self.step, self.factor = compose(*parts)
         self.final = [tuple(math.prod(p.final(x, k) for p, x in zip(parts, s)) for k in (INSULT, THREAT)) for s in states]
+        self.found: dict[tuple[int, int], tuple[float, float]] = {}
+        for i, s in enumerate(states):
+            for c in range(len(KINDS)):
+                best = [0.0, 0.0]
+                for kind, weight, n in itertools.chain(*[p.found(x, c) for p, x in zip(parts, s)]):
+                    best[kind] = max(best[kind], weight * math.prod(p.factor(x, kind, n) for p, x in zip(parts, s)))
+                if any(best):
+                    self.found[i, c] = best[0], best[1]
+        self.last = {c for _, c in self.found}  # symbols that complete a pattern
 
 
 def grammar(negated: float = 0.3, reported: float = 0.6, addressed: float = 1.1) -> Grammar:
     return Grammar(
-        window(NEGATION, 2, negated),
+        patterns(INSULT, INSULT_PHRASES, 0.9),
+        patterns(THREAT, THREAT_PHRASES, 0.8),
+        window(NEGATION, 2, negated, longest=max(len(p.split()) for p in (*INSULT_PHRASES, *THREAT_PHRASES))),
         until_end(SPEECH, reported),
         anywhere(TARGET, {INSULT: addressed, THREAT: 1.0}, {INSULT: 1.0, THREAT: 0.0}),
     )
@@ -161,7 +196,7 @@ class Scorer:
         return (INSULT, found, 0.0) if found else NOTHING
 
     def matches(self, text: str) -> list[float]:
-        """Weights of the matches of a text, each in the context of its clause."""
+        """Weights of the distinct clauses that hold a match: the largest of a clause, in its context."""
         tokens = TOKEN.findall(text.lower())
         classes = list(map(self.known.get, tokens))
         if None in classes:
@@ -175,22 +210,27 @@ class Scorer:
                         c = self.known[t] = self.classify(t)
                     classes[i] = c
         g = self.grammar
-        if not any(insult or threat for _, insult, threat in set(classes)):
+        if not any(insult or threat or symbol in g.last for symbol, insult, threat in set(classes)):
             return []
-        step, factor = g.step, g.factor
-        out: list[float] = []
-        state = 0
-        held: list[tuple[float, float]] = []  # insult and threat of the clause's words
-        for symbol, insult, threat in itertools.chain(classes, [(END, 0.0, 0.0)]):
+        step, factor, found = g.step, g.factor, g.found
+        out: dict[tuple[str, ...], float] = {}  # by the words of the clause
+        state, first, held, pending = 0, 0, 0.0, 0.0
+        for i, (symbol, insult, threat) in enumerate(itertools.chain(classes, [(END, 0.0, 0.0)])):
             if symbol == END:
-                by_insult, by_threat = g.final[state]
-                weights = [max(a * by_insult, b * by_threat) for a, b in held]
-                out += [min(w, 0.99) for w in weights if w]
-                held = []
-            elif insult or threat:
-                held.append((insult * factor[state][INSULT], threat * factor[state][THREAT]))
+                if held or pending:
+                    by_insult, by_threat = g.final[state]
+                    w = max(held * by_insult, pending * by_threat)
+                    if w:
+                        out.setdefault(tuple(tokens[first:i]), min(w, 0.99))
+                    held = pending = 0.0
+                first = i + 1
+            else:
+                # The last word of a phrase counts in the context of the phrase.
+                by_phrase, threat_phrase = found.get((state, symbol), (0.0, 0.0)) if symbol >= 7 else (0.0, 0.0)
+                held = max(held, by_phrase or insult * factor[state][INSULT])
+                pending = max(pending, threat_phrase or threat * factor[state][THREAT])
             state = step[state][symbol]
-        return out
+        return list(out.values())
 
     def score(self, text: str | None) -> float:
         clean = 1.0 - self.base

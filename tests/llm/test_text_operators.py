@@ -444,6 +444,18 @@ def test_targets_on_both_sides_of_a_clause():
     assert s.score("murder all") > 0.85 and s.score("murder you") > s.score("kill you")
 
 
+def test_a_clause_counts_once_and_phrases_match():
+    s = toxicity.Scorer({"clown$": 0.5, "jester$": 0.6, "kill$": 0.5}, 0.0)
+    assert s.score("a clown and a clown and a jester " * 50) == pytest.approx(0.6)
+    assert s.score("a clown here. some more words. A clown here!") == pytest.approx(0.5)
+    assert s.score("a clown here. a jester there.") == pytest.approx(1 - 0.5 * 0.4)
+    assert s.score("what a piece of trash.") >= 0.7 > s.score("not a piece of trash") and s.score("a piece of cake and trash") == 0.0
+    assert s.score("i break your neck") >= 0.7 and s.score("a piece of a piece of trash") >= 0.7 and s.score("a piece. of trash") == 0.0
+    assert s.score("ich bring dich um") >= 0.7 > s.score("ich bring dich nicht um")
+    states = {len(toxicity.grammar().step), len(toxicity.grammar().final)}
+    assert len(states) == 1 and min(states) > 100
+
+
 def test_learned_lexicon_on_held_out_rows(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8)))
