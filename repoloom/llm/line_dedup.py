@@ -1,8 +1,10 @@
 """Removal of lines that equal or nearly equal an earlier one: a deletion-neighbourhood join over words.
 
-A line is its sequence of words (ASCII letters in lower case); the edit distance counts words inserted, deleted or replaced, and the bound
-is ``max_edits`` (0 or 1). Lines of fewer than ``min_words`` words are too short to judge and stay. A line goes if an
+A line is its sequence of words (ASCII letters in lower case; each character of a script without spaces is a word); the edit distance
+counts words inserted, deleted or replaced, and the bound is ``max_edits`` (0 or 1). A line goes if an
 earlier line (smaller doc_id, then smaller number) is within the bound; each line is judged against all lines, removed ones too.
+Equal lines are found at every length (lines without a word are none); an edit is allowed where the longer of two lines has
+``NEAR_WORDS`` words. A ``min_words`` that is given leaves lines of fewer words alone altogether.
 
 1. Equal lines meet by 128-bit digest in one aggregation; each distinct line goes on once, at its earliest place.
 2. Two lines one edit apart share their first or their last half word for word. Only lines that share a half with
@@ -20,6 +22,8 @@ names (names that begin with ``__ld_`` are reserved).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,9 @@ from repoloom.llm.words import _tables, mix, slices, word_hashes
 from repoloom.session import cut_lineage
 
 _U = np.uint64
+NEAR_WORDS = 8
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 class Spans:
@@ -51,11 +58,13 @@ class Spans:
 
 
 def _bare(text: str) -> bytes:
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", text)
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, again (equals an earlier line of the text), digest d1, d2, and keys of the halves h1, h2, h3."""
+def lines(docs: DataFrame, least: int, near: int) -> DataFrame:
+    """doc_id, line_no, again (equals an earlier line of the text), digest d1, d2, and keys of the halves h1, h2, h3 of lines of ``near`` words."""
 
     def run(batches):
         import pyarrow as pa
@@ -70,7 +79,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.empty(0, np.int64)
                 end = np.concatenate((first[1:], [len(line)])) if len(first) else first
                 n = end - first
-                keep = n >= min_words
+                keep = n >= least
                 first, end, n = first[keep], end[keep], n[keep]
                 if not len(first):
                     continue
@@ -90,8 +99,9 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                 h1 = one.hash(end - half, end, 1)
                 h2 = one.hash(first, first + (n - half), 2)
                 h3 = np.where(even, one.hash(first, first + half + 1, 2), one.hash(end - up, end, 1))
-                columns = [ids[lo:hi][doc], number - text_line[doc], again, *[x.view(np.int64) for x in (d1, d2, h1, h2, h3)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "line_no", "again", "d1", "d2", "h1", "h2", "h3"])
+                columns = [ids[lo:hi][doc], number - text_line[doc], again, *[x.view(np.int64) for x in (d1, d2)]]
+                keys = [pa.array(x.view(np.int64), mask=n < near) for x in (h1, h2, h3)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], *keys], ["doc_id", "line_no", "again", "d1", "d2", "h1", "h2", "h3"])
 
     rows = docs.select(F.col("doc_id").cast(T.LongType()), F.col("text").cast(T.StringType())).filter("doc_id is not null and length(text) > 0")
     return rows.mapInArrow(run, "doc_id long, line_no long, again boolean, d1 long, d2 long, h1 long, h2 long, h3 long")
@@ -109,7 +119,7 @@ def _earliest(rows: DataFrame) -> DataFrame:
 
 def _candidates(distinct: DataFrame) -> DataFrame:
     """doc and no of the lines that share a half with another distinct line."""
-    keys = distinct.select("doc", "no", F.explode(F.array("h1", "h2", "h3")).alias("key"))
+    keys = distinct.filter("h1 is not null").select("doc", "no", F.explode(F.array("h1", "h2", "h3")).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return keys.join(shared, "key").select("doc", "no").distinct()
 
@@ -134,8 +144,8 @@ def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.join(wanted, "doc").select("doc", "text", "nos").mapInArrow(run, "doc long, no long, line string").dropDuplicates(["doc", "no"])
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """doc, no, at (place of the deleted word, -1 for none) and key of every variant."""
+def _variants(texts: DataFrame, near: int) -> DataFrame:
+    """doc, no, at (place of the deleted word, -1 for none) and key of every variant; lines of fewer than ``near`` words lose none."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,9 +167,10 @@ def _variants(texts: DataFrame) -> DataFrame:
                     # What follows the deleted word moves one place to the front.
                     rest = span.raw(a, word) + span.raw(word + 1, b) * span.up[word - a]
                     deleted = mix(rest + (b - a - 1).astype(_U) * _U(0x2545F4914F6CDD1D))
-                key = np.concatenate((deleted, span.hash(first, end)))
-                at = np.concatenate((word - a, np.full(hi - lo, -1)))
-                who = np.concatenate((owner, np.arange(hi - lo))) + lo
+                long = n[owner] >= near
+                key = np.concatenate((deleted[long], span.hash(first, end)))
+                at = np.concatenate(((word - a)[long], np.full(hi - lo, -1)))
+                who = np.concatenate((owner[long], np.arange(hi - lo))) + lo
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(at), pa.array(key.view(np.int64))], ["doc", "no", "at", "key"]
                 )
@@ -179,10 +190,10 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _neighbours(docs: DataFrame, distinct: DataFrame, near: int) -> DataFrame:
     """doc, no of distinct lines that have an earlier line one edit away, and by_doc, by_no of the earliest such line."""
     texts = cut_lineage(_line_texts(docs, _candidates(distinct)))
-    variants = _variants(texts)
+    variants = _variants(texts, near)
     place = F.struct("doc", "no")
     cliques = variants.filter("at >= 0").groupBy("key", "at").agg(F.min(place).alias("by"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     same_place = variants.join(cliques, ["key", "at"]).select(place.alias("x"), "by").filter("by < x")
@@ -207,15 +218,17 @@ def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return good.groupBy("doc", "no").agg(F.min(F.struct("by_doc", "by_no")).alias("by")).select("doc", "no", "by.by_doc", "by.by_no")
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> DataFrame:
+def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None = None) -> DataFrame:
     """One row per line to remove: doc_id, line_no (from 0), first_doc_id, first_line_no, edits."""
-    if max_edits not in (0, 1) or min_words < 2:
+    if max_edits not in (0, 1) or min_words is not None and min_words < 2:
         raise ValueError("max_edits is 0 or 1, min_words 2 or more")
-    rows = lines(docs, min_words)  # a pure function of the input, computed twice rather than stored
+    # A line one word shorter than NEAR_WORDS may be the shorter one of a pair.
+    least, shortest, longer = (1, NEAR_WORDS - 1, NEAR_WORDS) if min_words is None else (min_words, min_words, min_words)
+    rows = lines(docs, least, shortest)  # a pure function of the input, computed twice rather than stored
     distinct = _earliest(rows)
     if max_edits:
         distinct = cut_lineage(distinct)
-        near = _neighbours(docs, distinct)
+        near = _neighbours(docs, distinct, longer)
         distinct = distinct.join(near, ["doc", "no"], "left")
     else:
         distinct = distinct.withColumns({"by_doc": F.lit(None).cast("long"), "by_no": F.lit(None).cast("long")})
@@ -231,7 +244,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) ->
     ).distinct()
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None = None) -> DataFrame:
     """``docs`` without the duplicate lines; a text keeps its other lines, joined as before."""
     gone = duplicate_lines(docs, max_edits, min_words)
     lists = gone.groupBy(F.col("doc_id").alias("__ld_id")).agg(F.collect_set("line_no").alias("__ld_nos"))

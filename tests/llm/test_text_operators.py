@@ -315,6 +315,31 @@ def test_line_edges(spark, odd):
     assert [tuple(r) for r in exact.collect()] == [(1, 1, 1, 0, 0)]
 
 
+def test_short_and_unspaced_lines(spark):
+    eight = "one two three four five six seven eight"
+    han = "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u73a9\u5427"  # nine characters, no space
+    rows = [
+        (1, f"And so.\n\nok\n{eight}\n{han}\nred green blue grey black white pink"),
+        (2, f"and  SO.\n\nno\n{eight[:-6]}\n{han[:4]}x{han[5:]}\nred green blue grey black white teal"),
+        (3, f"and so\n\nok\n{eight} nine\n{han[1:4]}"),
+    ]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(2, 0, 1, 0, 0), (2, 3, 1, 3, 1), (2, 4, 1, 4, 1), (3, 2, 1, 2, 0), (3, 3, 1, 3, 1)]
+
+
+def test_equal_lines_of_every_length(spark, docs):
+    got = {(r.doc_id, r.line_no) for r in line_dedup.duplicate_lines(docs, max_edits=0).collect()}
+    seen, want = set(), set()
+    for r in docs.orderBy("doc_id").collect():
+        for i, line in enumerate(r.text.split("\n")):
+            w = tuple(line.encode().lower().split())
+            if w in seen:
+                want.add((r.doc_id, i))
+            elif w:
+                seen.add(w)
+    assert got == want and want
+
+
 # ---------------------------------------------------------------- 7 packing
 
 
