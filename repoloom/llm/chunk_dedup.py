@@ -2,7 +2,8 @@
 
 A gear hash rolls over the UTF-8 bytes of each text: shifting by one bit per byte, it depends on the last 32 bytes only, so it is
 computed for all positions by five doubling steps. A chunk may end after white space where the hash has ``mask_bits`` zero bits,
-not before ``least`` and at ``most`` bytes at the latest. An insertion changes the chunks around it, the next ones fall
+not before ``least`` and at ``most`` bytes at the latest. Where no such place comes within ``WIDE`` bytes, as in scripts without
+spaces or minified code, it may end before any character where the hash has ``LOOSE_BITS`` zero bits more. An insertion changes the chunks around it, the next ones fall
 into step again. Chunks with the same 128-bit digest are copies; the one in the smallest doc_id (the first in it) stays. Neighbouring
 copies form runs, and runs of at least ``least_run`` bytes are cut out of the text.
 
@@ -29,6 +30,7 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint
 GEAR[0] = 0  # texts are hashed side by side with 32 zero bytes between them, as if each began anew
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+WIDE, LOOSE_BITS = 256, 2
 SIZE_BITS = 12  # of a place: start, then size
 
 
@@ -72,8 +74,15 @@ def chunk_ends(texts: list[bytes], mask_bits: int, least: int, most: int) -> lis
     gap = b"\0" * 32
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
     # The first bits of a 32-bit gear hash depend on the most bytes.
-    allowed = np.flatnonzero((gear_hashes(data) >> np.uint32(32 - mask_bits) == 0) & SPACES[data]) + 1
+    h = gear_hashes(data)
+    allowed = np.flatnonzero((h >> np.uint32(32 - mask_bits) == 0) & SPACES[data]) + 1
     starts = np.concatenate(([0], np.cumsum([len(t) + 32 for t in texts])))
+    # Whether a stretch is wide depends on its content only, not on the cuts before it.
+    anchors = np.unique(np.concatenate((allowed, starts, starts[1:] - 32)))
+    if (np.diff(anchors) > WIDE).any():
+        loose = np.flatnonzero((h[:-1] >> np.uint32(32 - mask_bits - LOOSE_BITS) == 0) & (data[1:] & 0xC0 != 0x80)) + 1
+        after = np.searchsorted(anchors, loose, side="right")
+        allowed = np.union1d(allowed, loose[anchors[after] - anchors[after - 1] > WIDE])
     bounds = np.searchsorted(allowed, starts, side="right")
     return [
         cut_points((allowed[bounds[i] : bounds[i + 1]] - starts[i]).tolist(), t, least, most) if t else [] for i, t in enumerate(texts)

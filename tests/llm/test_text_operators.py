@@ -132,6 +132,20 @@ def test_passages_are_found_after_insertions(spark):
     assert all(got[100 + i].text == rows[30 + i][1] and not got[100 + i].n_removed for i in range(30))
 
 
+def test_passages_without_white_space():
+    rng = random.Random(5)
+    for alphabet in ([chr(c) for c in range(0x4E00, 0x5200)], "abcdefgh(){};=", ["\u00e9", "t\u00a0", "n\u3000", "a", "b"]):
+        made = lambda n: "".join(rng.choices(alphabet, k=n)).encode()
+        passage = made(400)
+        left, right = made(700) + passage + made(500), made(913) + passage + made(411)
+        found = []
+        for text in (left, right):
+            ends = chunk_dedup.chunk_ends([b"some other text", text, b""], 2, 24, 1024)[1]
+            found.append({text[a:b] for a, b in zip([0, *ends], ends)})
+            assert b"".join(text[a:b] for a, b in zip([0, *ends], ends)) == text and all(text[a:b].decode() for a, b in zip([0, *ends], ends))
+        assert sum(map(len, found[0] & found[1])) > 0.6 * len(passage)
+
+
 def test_chunks_against_brute_force(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     seen, want = {}, {}
