@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.llm import chunk_dedup, kmeans_tree, line_dedup, line_quality, near_dups, preference
+from repoloom.llm import chunk_dedup, filter_audit, kmeans_tree, line_dedup, line_quality, near_dups, preference
 from repoloom.llm.sampling import id_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_bucket("doc_id", 3) == 1
     scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
     return score(with_held_out(docs, held_out), scorer, keep=("doc_id", "held_out"))
+
+
+@query("op11_filter_audit", filter_audit.SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes and repeats, for every source and every order of the filters."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
