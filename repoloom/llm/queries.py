@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.llm import chunk_dedup, filter_audit, kmeans_tree, line_dedup, line_quality, near_dups, preference
+from repoloom.llm import chunk_dedup, filter_audit, kmeans_tree, license_scan, line_dedup, line_quality, near_dups, preference, turn_repair
 from repoloom.llm.sampling import id_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes and repeats, for every source and every order of the filters."""
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_license_scan", license_scan.oracle())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases, and the licenses whose names or notices stand in each document."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest repair and its digest."""
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
