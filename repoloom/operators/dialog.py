@@ -7,6 +7,8 @@ number), so a conversation that holds most of the rows does not pile up in one t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,12 @@ def valid_requests(messages: DataFrame) -> DataFrame:
 QUESTION_LIMITS = {"socket": fixed.SOCKET_QUESTION_TOKENS, "http": fixed.HTTP_QUESTION_TOKENS}
 
 
-def size_flags(messages: DataFrame, limit: int = QUESTION_LIMITS["socket"]) -> DataFrame:
-    """Last message of each conversation with its token estimate and the oversize flag."""
-    return last_messages(messages).select(
-        "conv_id",
-        tx.token_estimate(F.col("last_text")).alias("tokens"),
-        question_too_large(F.col("last_text"), limit).alias("input_too_large"),
-    )
+def size_flags(
+    messages: DataFrame, limit: int = QUESTION_LIMITS["socket"], tokens: Callable[[Column], Column] = tx.token_estimate
+) -> DataFrame:
+    """Last message of each conversation with its tokens (an estimate, or exact counts) and the oversize flag."""
+    counted = last_messages(messages).select("conv_id", tokens(F.col("last_text")).alias("tokens"))
+    return counted.withColumn("input_too_large", question_too_large(F.col("tokens"), limit, lambda n: n))
 
 
 def dialog_turns(messages: DataFrame) -> DataFrame:
