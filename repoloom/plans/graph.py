@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repoloom.operators import call_graph as cg
+from repoloom.operators.java_facts import scanned_call_facts
 from repoloom.operators.ordered import fill_forward
 from repoloom.plans.catalog import register
-from repoloom.plans.views import CALLS_SQL, call_facts, code_files, table
+from repoloom.plans.views import CALLS_SQL, CODE_SQL, CODE_TEMPLATE_SQL, TEMPLATES, call_facts, code_files, resolved_sql, table
 
 
 def _calls(spark, sf_dir):
@@ -147,3 +148,47 @@ def java_call_facts(spark, sf_dir):
     """Facts of the derived Java files by pattern; exact cases are unit tests."""
     java = code_files(spark, sf_dir).filter(F.col("path").endswith(".java"))
     return cg.java_call_facts(java.withColumnRenamed("file_id", "file_no"))
+
+
+# Template lines of Java, from 0: 0 a package, 3 and 10 classes, 4 and 7 declarations, 5 and 11 calls.
+_JAVA_SQL = f"""{CODE_SQL.split("code_lines AS (")[0]}java AS (
+  SELECT file_id, i, (i - 1) % {len(TEMPLATES["java"])} AS t, {CODE_TEMPLATE_SQL} AS line, repo || '/java/' || file_id || ext AS file_path FROM raw_lines WHERE lang = 'java'),
+owned AS (SELECT *, max(CASE WHEN t IN (3, 10) THEN i END) OVER (PARTITION BY file_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS class_at,
+    min(CASE WHEN t = 0 THEN i END) OVER (PARTITION BY file_id) AS package_at,
+    CASE WHEN t IN (3, 10) THEN regexp_extract(line, 'class (\\w+)', 1) END AS class_name FROM java),
+facts AS (
+  SELECT f.file_id AS file_no, row_number() OVER (PARTITION BY f.file_id ORDER BY f.i) - 1 AS pos, CASE WHEN f.t IN (4, 7) THEN 'decl' ELSE 'call' END AS kind, f.file_path,
+    regexp_extract(p.line, 'package ([\\w.]+);', 1) AS package, c.class_name AS class,
+    CASE f.t WHEN 5 THEN regexp_extract(f.line, 'return (\\w+)', 1) WHEN 11 THEN regexp_extract(f.line, '[.](\\w+)', 1) ELSE regexp_extract(f.line, ' (\\w+)[(]', 1) END AS name,
+    CASE WHEN f.t = 11 THEN regexp_extract(f.line, '(\\w+)[.]', 1) END AS qualifier,
+    CASE f.t WHEN 4 THEN 'int, ' || regexp_extract(f.line, ', (\\w+) b', 1) WHEN 7 THEN 'String' ELSE '' END AS params
+  FROM owned f JOIN owned c ON c.file_id = f.file_id AND c.i = f.class_at JOIN owned p ON p.file_id = f.file_id AND p.i = f.package_at WHERE f.t IN (4, 5, 7, 11))"""
+
+
+def _scanned(spark, sf_dir, compat: bool = False):
+    java = code_files(spark, sf_dir).filter(F.col("path").endswith(".java"))
+    return scanned_call_facts(java.withColumnRenamed("file_id", "file_no"), compat)
+
+
+@register(
+    "u5_scanned_call_facts",
+    f"WITH {_JAVA_SQL} SELECT file_no, pos, kind, file_path, package, class, name, qualifier, replace(params, ', ', '|') AS param_types FROM facts",
+)
+def scanned_facts(spark, sf_dir):
+    """Facts of the derived Java files by the scanner; their classes are never closed, so each class is inside the one before."""
+    return _scanned(spark, sf_dir)
+
+
+@register(
+    "u5_scanned_call_facts_compat",
+    f"""WITH {_JAVA_SQL} SELECT file_no, pos, kind, file_path, package, first_value(class) OVER (PARTITION BY file_no ORDER BY pos) AS class, name, qualifier,
+    replace(params, ', ', '|') AS param_types FROM facts""",
+)
+def scanned_facts_compat(spark, sf_dir):
+    return _scanned(spark, sf_dir, compat=True)
+
+
+@register("j1_scanned_calls", f"WITH {_JAVA_SQL}, {resolved_sql()} SELECT file_no, pos, caller, callee, callee_kind FROM calls")
+def scanned_calls(spark, sf_dir):
+    """Calls of the derived Java files, from source to callee."""
+    return cg.resolved_calls(_scanned(spark, sf_dir))

@@ -144,7 +144,10 @@ def _word(line: Column, n: int) -> Column:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as source files: every text line becomes a code line of the file's language."""
+    """documents as source files: every text line becomes a code line of the file's language, and follows it as a whole.
+
+    It follows as a comment in Java and behind every second line, else as it is.
+    """
     d = F.col("doc_id")
     lang = pick(CODE_LANGS, d)
     templates = literal_map({k: "\x1e".join(v) for k, v in TEMPLATES.items()})
@@ -152,13 +155,14 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("file_id"), F.col("source").alias("repo"), lang.alias("code_lang"), "text",
         F.split(F.try_element_at(templates, lang), "\x1e").alias("tpl"),
     )
+    mark = F.when(F.col("code_lang") == "python", "# ").otherwise("// ")
     line = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.replace(
-            F.replace(
-                F.get(F.col("tpl"), i % F.size("tpl")), F.lit("W1"), _word(x, 1)
-            ),
-            F.lit("W2"), _word(x, 2),
+        lambda x, i: F.concat(
+            F.replace(F.replace(F.get(F.col("tpl"), i % F.size("tpl")), F.lit("W1"), _word(x, 1)), F.lit("W2"), _word(x, 2)),
+            F.lit("\n"),
+            F.when((F.col("code_lang") == "java") | (i % 2 == 1), mark).otherwise(F.lit("")),
+            x,
         ),
     )
     ext = pick(list(CODE_EXT.values()), F.col("file_id"))
@@ -174,18 +178,20 @@ def _sql_word(n: int) -> str:
     return f"'w' || regexp_replace(split_part(raw, ' ', {n}), '[^A-Za-z]', '', 'g')"
 
 
+CODE_TEMPLATE_SQL = f"""replace(replace(CASE lang
+        {' '.join(f"WHEN '{k}' THEN {sql_pick(v, 'i - 1')}" for k, v in TEMPLATES.items())} END,
+        'W1', {_sql_word(1)}), 'W2', {_sql_word(2)})"""
 CODE_SQL = f"""raw_lines AS (
   SELECT doc_id AS file_id, source AS repo, {sql_pick(CODE_LANGS, 'doc_id')} AS lang,
          {sql_pick(list(CODE_EXT.values()), 'doc_id')} AS ext,
-         unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+         unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents),
 code_lines AS (
   SELECT * FROM (
-    SELECT file_id, repo, repo || '/' || lang || '/' || file_id || ext AS path, lang, line_no,
-      trim(replace(replace(CASE lang
-        {' '.join(f"WHEN '{k}' THEN {sql_pick(v, 'line_no - 1')}" for k, v in TEMPLATES.items())} END,
-        'W1', {_sql_word(1)}), 'W2', {_sql_word(2)})) AS line
-    FROM raw_lines) WHERE line <> '')"""
+    SELECT file_id, repo, repo || '/' || lang || '/' || file_id || ext AS path, lang, 2 * i - 1 AS line_no, trim({CODE_TEMPLATE_SQL}) AS line FROM raw_lines
+    UNION ALL
+    SELECT file_id, repo, repo || '/' || lang || '/' || file_id || ext, lang, 2 * i,
+      trim(CASE WHEN lang <> 'java' AND i % 2 = 1 THEN '' WHEN lang = 'python' THEN '# ' ELSE '// ' END || raw) FROM raw_lines) WHERE line <> '')"""
 
 
 # ---------------------------------------------------------------- call facts
@@ -213,16 +219,9 @@ def call_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DECL = "(l_returnflag = 'N' OR (l_linestatus = 'F' AND l_returnflag = 'A'))"
-CALLS_SQL = f"""facts AS (
-  SELECT l_orderkey AS file_no, (l_linenumber::BIGINT * 100000000 + l_partkey) * 1000000 + l_suppkey AS pos,
-    CASE WHEN {_DECL} THEN 'decl' ELSE 'call' END AS kind, 'src/F' || l_orderkey || '.java' AS file_path,
-    CASE WHEN l_orderkey % 3 = 0 THEN 'default' ELSE 'p' || (l_orderkey % 3) END AS package,
-    'C' || (l_orderkey % 40) AS class, 'm' || (l_partkey % 25) AS name,
-    CASE WHEN NOT {_DECL} AND l_suppkey % 4 = 0 THEN 'x.svc' || (l_suppkey % 7) END AS qualifier,
-    CASE WHEN {_DECL} THEN ['', 'int', 'int, String'][l_suppkey % 3 + 1] ELSE '' END AS params
-  FROM lineitem),
-labelled AS (
+def resolved_sql() -> str:
+    """CTEs ending in ``calls`` over ``facts``."""
+    return """labelled AS (
   SELECT *, package || '.' || class AS full_class,
     CASE WHEN kind = 'decl' THEN class || '.' || name || '(' || params || ')' END AS decl_label FROM facts),
 calls0 AS (
@@ -236,7 +235,19 @@ calls AS (
          WHEN d.decl_label IS NOT NULL THEN d.decl_label ELSE 'unknown.' || c.name || '()' END AS callee,
     CASE WHEN c.qualifier IS NOT NULL THEN 'external' WHEN d.decl_label IS NOT NULL THEN 'declared' ELSE 'unknown' END AS callee_kind
   FROM (SELECT *, file_no * 1000000000000000000::HUGEINT + pos AS ord FROM calls0 WHERE kind = 'call' AND caller IS NOT NULL) c
-  ASOF LEFT JOIN decls d ON c.full_class = d.full_class AND c.name = d.name AND c.ord > d.ord),
+  ASOF LEFT JOIN decls d ON c.full_class = d.full_class AND c.name = d.name AND c.ord > d.ord)"""
+
+
+_DECL = "(l_returnflag = 'N' OR (l_linestatus = 'F' AND l_returnflag = 'A'))"
+CALLS_SQL = f"""facts AS (
+  SELECT l_orderkey AS file_no, (l_linenumber::BIGINT * 100000000 + l_partkey) * 1000000 + l_suppkey AS pos,
+    CASE WHEN {_DECL} THEN 'decl' ELSE 'call' END AS kind, 'src/F' || l_orderkey || '.java' AS file_path,
+    CASE WHEN l_orderkey % 3 = 0 THEN 'default' ELSE 'p' || (l_orderkey % 3) END AS package,
+    'C' || (l_orderkey % 40) AS class, 'm' || (l_partkey % 25) AS name,
+    CASE WHEN NOT {_DECL} AND l_suppkey % 4 = 0 THEN 'x.svc' || (l_suppkey % 7) END AS qualifier,
+    CASE WHEN {_DECL} THEN ['', 'int', 'int, String'][l_suppkey % 3 + 1] ELSE '' END AS params
+  FROM lineitem),
+{resolved_sql()},
 edges AS (SELECT DISTINCT caller AS src, callee AS dst FROM calls),
 refs AS (
   SELECT decl_label AS id, file_no, pos, file_path, full_class, name, params, NULL AS ref_kind FROM labelled WHERE kind = 'decl'
