@@ -130,8 +130,17 @@ def repeated_chunks(parts: DataFrame) -> DataFrame:
     return parts.join(first, ["d1", "d2"]).filter((F.col("doc_id") > F.col("first")) | F.col("again")).select("doc_id", "place", "d1", "first")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def dedup_chunks(docs: DataFrame, mask_bits: int = 2, least: int = 24, most: int = 1024, least_run: int = 100) -> DataFrame:
-    """``docs`` with the text left after removal, and removed_chars, n_removed (runs) and kept_in (documents that hold the kept copies)."""
+    """``docs`` with the text left after removal, and removed_chars, n_removed (runs) and kept_in (documents that hold the kept copies).
+
+    A result whose name ``docs`` has already is called by that name and as many underscores as it takes.
+    """
     if not 0 < least < most < 1 << SIZE_BITS:
         raise ValueError("chunk sizes")
     repeated = repeated_chunks(chunks(docs, mask_bits, least, most))
@@ -139,10 +148,7 @@ def dedup_chunks(docs: DataFrame, mask_bits: int = 2, least: int = 24, most: int
     joined = docs.join(lists, docs["doc_id"].cast("long") == lists["__cd_id"], "left").drop("__cd_id")
     names = docs.columns
     text_at = names.index("text")
-    added = [T.StructField("removed_chars", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_in", T.ArrayType(T.LongType()))]
-    taken = {"removed_chars", "n_removed", "kept_in"} & set(names)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are results; rename them first")
+    added = [T.StructField(_free(n, names), t) for n, t in (("removed_chars", T.LongType()), ("n_removed", T.LongType()), ("kept_in", T.ArrayType(T.LongType())))]
     schema = T.StructType([*[T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields], *added])
 
     def cut(text: str, listed: list[dict]) -> tuple[str, int, int, list[int]]:

@@ -244,8 +244,12 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None =
     ).distinct()
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None = None) -> DataFrame:
-    """``docs`` without the duplicate lines; a text keeps its other lines, joined as before."""
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None = None, spare: float | None = None) -> DataFrame:
+    """``docs`` without the duplicate lines; a text keeps its other lines, joined as before.
+
+    A text that would lose the share ``spare`` of its characters or more (without white space at the ends of lines) is a copy as a whole: it
+    stays as it is, for an operator that judges documents. By default every duplicate line goes.
+    """
     gone = duplicate_lines(docs, max_edits, min_words)
     lists = gone.groupBy(F.col("doc_id").alias("__ld_id")).agg(F.collect_set("line_no").alias("__ld_nos"))
     joined = docs.join(lists, docs["doc_id"].cast("long") == lists["__ld_id"], "left")
@@ -259,8 +263,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int | None = Non
             texts = []
             for text, nos in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if text and nos:
-                    out = set(nos)
-                    text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in out])
+                    out, of_text = set(nos), text.split("\n")
+                    size = [len(x.strip()) for x in of_text] if spare is not None else []
+                    if spare is None or sum(n for i, n in enumerate(size) if i in out) < spare * sum(size):
+                        text = "\n".join([x for i, x in enumerate(of_text) if i not in out])
                 texts.append(text)
             columns = batch.columns[:-1]
             columns[text_at] = pa.array(texts, pa.string())

@@ -3,9 +3,9 @@
 Base rules are computed inside each row: words, symbols, repeated lines, and words in five-word windows found twice or more.
 Windows are hashed to longs; their repeats show in a sorted array, which is built for the few rows that have any.
 
-Line rule: lines are normalised (lower case, white space collapsed) and hashed; each document counts once per line and host,
-by a partial aggregation, so a line of a third of all documents costs one row per task. Lines of more than
-``max(min_docs, share x documents of the host)`` documents are removed; a document that keeps less than ``least_kept`` of its
+Line rule: lines are normalised (lower case, white space collapsed) and hashed; each doc_id counts once per line and host. Lines in more than
+``max(min_docs, share x documents of the host)`` documents are removed, by default 25 and 0.5 %: the share decides in hosts of over 5,000
+documents, below it 25 documents are too few to call a line boilerplate. A document that keeps less than ``least_kept`` of its
 words is depleted and rejected. The join back to the lines is salted, so that a hot line is spread over tasks.
 
 Edge cases: a null text has no words and fails the base rules. A null host is a host of its own. Rows that share a doc_id
@@ -87,9 +87,12 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int, share: float) -> DataFrame:
     """(host, key) of lines in more documents of the host than allowed."""
-    limit = docs.groupBy(_host().alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(share)).alias("limit"))
+    ids = docs.select(_host().alias("host"), "doc_id").distinct()
+    limit = ids.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(share)).alias("limit"))
+    # Rows that repeat a doc_id are one document.
     counted = (
-        lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+        lines.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+        .distinct()
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > min_docs)
@@ -133,7 +136,7 @@ c as (select distinct doc_id, i + k as word from r, (values (0), (1), (2), (3),
 rw as (select doc_id, count(*) as n_repeat_words from c group by doc_id),
 nl as (select doc_id, host, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) as line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from l),
-hosts as (select host, greatest(25.0, count(*) * 0.005) as lim from d group by host),
+hosts as (select host, greatest(25.0, count(distinct doc_id) * 0.005) as lim from d group by host),
 f as (select nl.host, nl.line from nl join hosts on nl.host is not distinct from hosts.host group by nl.host, nl.line, lim having count(distinct doc_id) > lim),
 gone as (select nl.doc_id, sum(words) as all_words, sum(case when f.line is not null then words else 0 end) as gone
          from nl left join f on nl.host is not distinct from f.host and nl.line = f.line group by nl.doc_id),

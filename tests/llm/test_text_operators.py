@@ -176,6 +176,23 @@ def test_chunk_edges(spark, odd):
     assert sum(r.text is None for r in got) == 1 and chunk_dedup.dedup_chunks(odd.filter("false")).count() == 0
 
 
+def test_chunk_results_beside_columns_of_their_names(spark):
+    text = "A passage of more than one hundred bytes that two documents share, word by word, up to its very end, and even behind it."
+    df = spark.createDataFrame([(1, text, 7, "x"), (2, text, 8, "y")], "doc_id long, text string, n_removed int, kept_in string")
+    got = {r.doc_id: r for r in chunk_dedup.dedup_chunks(df).collect()}
+    assert (got[2].n_removed, got[2].kept_in, got[2].n_removed_, got[2].kept_in_) == (8, "y", 1, [1]) and got[2].removed_chars > 0 and got[1].n_removed_ == 0
+
+
+def test_lines_of_whole_copies_are_spared(spark):
+    story = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(10)]
+    rows = [(1, "\n".join(story)), (2, "\n".join(story)), (3, "\n".join([*story[:9], "An end of its own."])), (4, "\n".join([*story[:2], "Much more of its own than of others.", "And still more."])), (5, story[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, spare=0.8).collect()}
+    assert all(got[i] == texts[i] for i in (1, 2, 3, 5)) and got[4] == "\n".join(texts[4].split("\n")[2:])
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {1: texts[1], 2: "", 3: "An end of its own.", 4: got[4], 5: ""}
+
+
 # ---------------------------------------------------------------- 4 quality rules
 
 
@@ -198,6 +215,15 @@ def test_quality_rules_by_hand(spark, odd):
     assert line_quality.quality_rules(odd.filter("false")).count() == 0
 
 
+def test_quality_counts_documents_not_rows(spark):
+    """A document given thirty times has no frequent lines; thirty documents with one line do."""
+    alone = "\n".join(f"line {i} of a document that is given many times over" for i in range(8))
+    rows = [(1, alone, None, "h", None)] * 30 + [(i, f"the same words open them all\nstory {i} goes on with words of its very own {i}", None, "h", None) for i in range(100, 130)]
+    got = line_quality.quality_rules(spark.createDataFrame(rows, DOC)).collect()
+    assert len(got) == 60 and all(r.removed_words == 0 and r.kept for r in got if r.doc_id == 1)
+    assert all(r.removed_words == 6 for r in got if r.doc_id != 1)
+
+
 # ---------------------------------------------------------------- 5 near duplicates
 
 

@@ -75,6 +75,10 @@ def test_stages_hand_documents_on(stages):
         assert stages[n].columns == stages["documents"].columns
     counts = [stages[n].count() for n in ("documents", *names[:-1])]
     assert counts[0] > counts[1] == counts[2] > counts[3] == counts[4] > 0.5 * counts[0]
+    # No stage leaves a document without text behind.
+    had = {r.doc_id for r in stages["documents"].collect() if (r.text or "").strip()}
+    for n in names[:-1]:
+        assert not [r.doc_id for r in stages[n].collect() if r.doc_id in had and not r.text.strip()], n
 
 
 def test_near_duplicate_stage_against_all_pairs(stages):
@@ -113,9 +117,18 @@ def test_stages_on_odd_and_empty_rows(spark):
         assert packed.agg(F.sum("length")).first()[0] == (sum(r["doc_tokens"] for r in packed.filter("start = 0").collect()) if n else None)
 
 
+def test_stages_beside_columns_of_their_results(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("clash") for c in ("n_removed", "removed_chars", "kept_in", "score", "component_id")})
+    df = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, SF)
+        assert df.columns == docs.columns, name
+    assert 0 < df.count() < docs.count() and df.filter("n_removed <> 'clash'").count() == 0
+
+
 def test_registry():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
     assert near_dups.SLOTS % near_dups.ROWS == 0
