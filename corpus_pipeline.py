@@ -33,8 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that nearly equal an earlier line."""
-    return _recounted(line_dedup.dedup_lines(docs))
+    """Documents without lines that nearly equal an earlier line.
+
+    Where such lines make up 80 % of a document, it is a copy as a whole and stays whole: the next stage drops documents of that similarity.
+    """
+    return _recounted(line_dedup.dedup_lines(docs, spare=0.8))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier document holds."""
-    return _recounted(chunk_dedup.dedup_chunks(docs).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """Documents without passages that an earlier document holds; a document of nothing else goes."""
+    cut = chunk_dedup.dedup_chunks(docs)
+    removed = cut.columns[-2]  # its name differs where docs have a column n_removed
+    emptied = (F.col(removed) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return _recounted(cut.filter(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
