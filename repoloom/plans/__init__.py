@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from repoloom.plans import corpus, dialogs, code, graph, search, strings, tokens, wikis  # noqa: F401
+    from repoloom.plans import corpus, dialogs, code, exports, graph, search, strings, tokens, wikis  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

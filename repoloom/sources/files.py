@@ -28,6 +28,8 @@ def _file_system(root: str):
     """File system and base path of a root: a URI, or a plain local path."""
     from pyarrow import fs
 
+    if root.startswith("file:/") and "://" not in root:  # as Hadoop writes local paths
+        root = root[len("file:") :]
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from repoloom.functions import fixed
 from repoloom.functions.paths import parse_store_name
 from repoloom.functions.text import known_language
+from repoloom.operators.columns import join_salted
+from repoloom.operators.wiki import export_name
 from repoloom.session import cut_lineage, path_exists
+from repoloom.sources.text_files import distinct_names, write_files
 
 WIKI_KEY = ["repo_type", "owner", "repo", "language"]
 
@@ -203,3 +206,21 @@ def write_json_export(documents: DataFrame, path: str) -> None:
     documents.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "wiki_id", F.col("json").alias("value")
     ).write.mode("overwrite").partitionBy("wiki_id").text(path)
+
+
+def export_wikis(parts: DataFrame, pages: DataFrame, repo_url: Column, stamp: Column, extension: str, path: str) -> None:
+    """Write Markdown or JSON parts as one file ``{repo}_wiki_{stamp}.{extension}`` per wiki, all of them or none.
+
+    Wikis that would share a name have their wiki_id in it.
+    """
+    names = distinct_names(pages.withColumn("__name", export_name(repo_url, stamp, extension)), "wiki_id", F.col("__name"))
+    order = [c for c in ("section_no", "part_no") if c in parts.columns]
+    text = F.col("text" if "text" in parts.columns else "json")
+    rows = join_salted(parts.select("wiki_id", *order, text.alias("text")), names, ["wiki_id"], F.col("part_no"))
+    write_files(rows, path, order)
+
+
+def export_analysis(records: DataFrame, path: str) -> None:
+    """Write analysis records in parts (project, part_no, record) as one file ``{project}.json`` per project."""
+    safe = F.regexp_replace(F.col("project"), r"[/\x00]", "_")
+    write_files(records.select(F.concat(safe, F.lit(".json")).alias("file"), "part_no", F.col("record").alias("text")), path, ["part_no"])
