@@ -83,10 +83,9 @@ def chunk_ends(texts: list[bytes], mask_bits: int, least: int, most: int) -> lis
         loose = np.flatnonzero((h[:-1] >> np.uint32(32 - mask_bits - LOOSE_BITS) == 0) & (data[1:] & 0xC0 != 0x80)) + 1
         after = np.searchsorted(anchors, loose, side="right")
         allowed = np.union1d(allowed, loose[anchors[after] - anchors[after - 1] > WIDE])
-    bounds = np.searchsorted(allowed, starts, side="right")
-    return [
-        cut_points((allowed[bounds[i] : bounds[i + 1]] - starts[i]).tolist(), t, least, most) if t else [] for i, t in enumerate(texts)
-    ]
+    # Places behind the end of a text, between two texts, are none of its own.
+    lo, hi = np.searchsorted(allowed, starts[:-1], side="right"), np.searchsorted(allowed, starts[1:] - 32, side="right")
+    return [cut_points((allowed[lo[i] : hi[i]] - starts[i]).tolist(), t, least, most) if t else [] for i, t in enumerate(texts)]
 
 
 def chunks(docs: DataFrame, mask_bits: int = 2, least: int = 24, most: int = 1024) -> DataFrame:

@@ -176,6 +176,15 @@ def test_chunk_edges(spark, odd):
     assert sum(r.text is None for r in got) == 1 and chunk_dedup.dedup_chunks(odd.filter("false")).count() == 0
 
 
+def test_chunk_ends_lie_inside_their_text():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789é漢"
+    texts = ["".join(rng.choice(letters + " " * rng.choice([0, 0, 9])) for _ in range(rng.choice([1, 30, 250, 256, 300, 1000, 1024, 1056, 2080, 5000]))).encode() for _ in range(400)]
+    for t, ends in zip(texts, chunk_dedup.chunk_ends(texts, 2, 24, 1024)):
+        assert ends[-1] == len(t) and all(0 < b - a <= 1024 for a, b in zip([0, *ends], ends))
+        b"".join(t[a:b].decode().encode() for a, b in zip([0, *ends], ends))
+
+
 def test_chunk_results_beside_columns_of_their_names(spark):
     text = "A passage of more than one hundred bytes that two documents share, word by word, up to its very end, and even behind it."
     df = spark.createDataFrame([(1, text, 7, "x"), (2, text, 8, "y")], "doc_id long, text string, n_removed int, kept_in string")
