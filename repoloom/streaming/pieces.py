@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from repoloom.functions.text import clean_piece, is_metadata_piece
-from repoloom.streaming.refresh import bucket_of, new_batch_id, run_to_end, touched_buckets
+from repoloom.session import path_exists
+from repoloom.streaming.versioned import VersionedTable, list_names, new_id, read_text, write_text
 
 
 def clean_pieces(pieces: DataFrame) -> DataFrame:
@@ -16,6 +23,8 @@ def clean_pieces(pieces: DataFrame) -> DataFrame:
 
 
 PART_ROWS = 100_000
+IDLE_SECONDS = 600
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _part(part_rows: int):
@@ -32,34 +41,128 @@ def assembled(pieces: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
-def assembly_stream(spark: SparkSession, pieces: DataFrame, store: str, checkpoint: str, part_rows: int = PART_ROWS):
+class Assembler(StatefulProcessor):
+    """Keeps the pieces of an open part of a session; gives them out and forgets them when none has come for a while.
+
+    State: the pieces by number, and the time of the alarm. A part has a bounded number of pieces. Of pieces with one number the last to arrive
+    counts, of those that arrive together the greatest.
+    """
+
+    def __init__(self, idle_seconds: float) -> None:
+        self.idle = int(idle_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "seq long", "piece string")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh: dict[int, str] = {}
+        for pdf in rows:
+            for seq, piece in zip(pdf["seq"], pdf["piece"]):
+                fresh[int(seq)] = max(fresh.get(int(seq), piece), piece)
+        for seq, piece in fresh.items():
+            self.pieces.updateValue((seq,), (piece,))
+        if self.alarm.exists():
+            self.handle.deleteTimer(self.alarm.get()[0])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.idle
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = sorted((k[0], v[0]) for k, v in self.pieces.iterator())
+        self.pieces.clear()
+        self.alarm.clear()
+        yield pd.DataFrame({"session": [key[0]], "part_no": [key[1]], "seqs": [[s for s, _ in held]], "texts": [[t for _, t in held]]})
+
+    def close(self) -> None:
+        pass
+
+
+def _last_pieces(runs: DataFrame) -> DataFrame:
+    """session, part_no, seq, piece: the last to arrive of each number."""
+    each = runs.select("session", "part_no", "run", F.explode(F.arrays_zip("seqs", "texts")).alias("p"))
+    last = each.groupBy("session", "part_no", F.col("p.seqs").alias("seq")).agg(F.max(F.struct("run", "p.texts")).alias("l"))
+    return last.select("session", "part_no", "seq", F.col("l.texts").alias("piece"), "l.run")
+
+
+def _one_run(runs: DataFrame) -> DataFrame:
+    """The runs of a part as one, under the name of the last."""
+    piece = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    rows = _last_pieces(runs).groupBy("session", "part_no").agg(F.max("run").alias("run"), piece.alias("p"))
+    return rows.select("session", "part_no", F.col("p.seq").alias("seqs"), F.col("p.piece").alias("texts"), "run")
+
+
+def stream_names(spark: SparkSession, store: str) -> dict[str, str]:
+    """Checkpoint of every stream that has written to a store, by a name that rises with its start."""
+    return {name: read_text(spark, f"{store}/streams/{name}") for name in list_names(spark, f"{store}/streams")}
+
+
+def _stream_name(spark: SparkSession, store: str, checkpoint: str) -> str:
+    for name, known in stream_names(spark, store).items():
+        if known == checkpoint:
+            return name
+    name = new_id()
+    write_text(spark, f"{store}/streams/{name}", checkpoint)
+    return name
+
+
+def closed_runs(spark: SparkSession, store: str) -> VersionedTable:
+    """Pieces of parts that have been closed, one row each time; compaction joins the rows of a part."""
+    return VersionedTable(spark, f"{store}/runs", "session", _one_run)
+
+
+def assembly_stream(
+    spark: SparkSession, pieces: DataFrame, store: str, checkpoint: str, part_rows: int = PART_ROWS, idle_seconds: float = IDLE_SECONDS
+):
     """Assemble answers from pieces that may come late, repeatedly and in any order.
 
-    Pieces are kept in a store in hash buckets; no stream state and no watermark is needed, so none is ever dropped. Each batch
-    appends its pieces and then assembles the answer parts it touched again from all their pieces, of which the last to arrive
-    counts per (session, seq). A repeated batch gives the same answers.
+    Open parts are kept in the stream's state (RocksDB) under (session, part_no). A part without new pieces for ``idle_seconds`` is closed: its
+    pieces go to the store, its state goes. A piece that comes later opens the part anew and joins the earlier ones when it is closed again, so
+    none is ever lost; state and each batch are bounded by what is open. ``stored_answers`` reads both. Where a stream begins anew, with
+    another checkpoint, what it reads again counts as arrived last.
     """
+    name = _stream_name(spark, store, checkpoint)
+    fresh = clean_pieces(pieces).select("session", _part(part_rows), "seq", "piece")
+    kind = fresh.schema["session"].dataType
+    out = T.StructType([T.StructField("session", kind), T.StructField("part_no", T.LongType()), T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS_DB)
+    # Alarms wait for the next pieces; else a run over what there is now would go on until the last alarm.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    closed = fresh.groupBy("session", "part_no").transformWithStateInPandas(Assembler(idle_seconds), out, "append", "ProcessingTime")
+    table = closed_runs(spark, store)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        fresh = clean_pieces(rows).select("session", "seq", "piece", _part(part_rows)).withColumn("bucket", bucket_of("session", "part_no")).persist()
+        kept = rows.withColumn("run", F.lit(f"{name}/{new_id()}")).persist()
         try:
-            buckets = touched_buckets(fresh)
-            if not buckets:
-                return
-            name = new_batch_id()
-            fresh.withColumn("batch", F.lit(name)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{store}/pieces")
-            touched = fresh.select("session", "part_no").distinct()
-            known = spark.read.parquet(f"{store}/pieces").filter(F.col("bucket").isin(buckets)).join(touched, ["session", "part_no"], "left_semi")
-            last = known.groupBy("session", "seq").agg(F.max(F.struct("batch", "piece")).alias("p")).select("session", "seq", "p.piece")
-            answers = assembled(last, part_rows).withColumn("bucket", bucket_of("session", "part_no")).withColumn("batch", F.lit(name))
-            answers.write.mode("append").partitionBy("bucket").parquet(f"{store}/answers")
+            count = kept.count()
+            if count:
+                table.append(kept, count)
+                table.compact()
         finally:
-            fresh.unpersist()
+            kept.unpersist()
+
+    query = closed.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
 
-    return run_to_end(pieces, checkpoint, batch)
+def open_pieces(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """session, part_no, seq, piece of the parts that a stream holds open, from its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "pieces").load(checkpoint)
+    return state.select("key.session", "key.part_no", "user_map_key.seq", "user_map_value.piece")
 
 
 def stored_answers(spark: SparkSession, store: str) -> DataFrame:
-    """Newest text of every (session, part_no)."""
-    rows = spark.read.parquet(f"{store}/answers")
-    return rows.groupBy("session", "part_no").agg(F.max_by("answer", "batch").alias("answer"))
+    """Text of every (session, part_no) taken in so far, open or closed."""
+    runs = closed_runs(spark, store).read()
+    rows = [] if runs is None else [runs.select("session", "part_no", "run", F.explode(F.arrays_zip("seqs", "texts")).alias("p")).select("session", "part_no", F.col("p.seqs").alias("seq"), F.col("p.texts").alias("piece"), "run")]
+    for name, checkpoint in stream_names(spark, store).items():
+        if path_exists(spark, f"{checkpoint}/state"):
+            # What a stream holds open has arrived behind all that it has closed.
+            rows.append(open_pieces(spark, checkpoint).withColumn("run", F.lit(f"{name}/~")))
+    every = functools.reduce(DataFrame.unionByName, rows)
+    last = every.groupBy("session", "part_no", "seq").agg(F.max_by("piece", F.struct("run", "piece")).alias("piece"))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    return last.groupBy("session", "part_no").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("answer"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.session import path_exists
+from repoloom.streaming.versioned import VersionedTable, new_id
 
 
 def content_hash(text: str = "text") -> Column:
@@ -38,41 +36,40 @@ def latest_versions(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- stores of streams
 
-BUCKETS = 64
 
+def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]):
+    """Process everything a stream has now, batch by batch."""
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-def bucket_of(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
 
+_ENTRY = "path string, version long, hash string, rows_batch string"
 
-def new_batch_id() -> str:
-    """Rises with time, also over a lost stream checkpoint, and never repeats."""
-    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
+def newest_entries(entries: DataFrame) -> DataFrame:
+    """One ledger entry per path: that of the highest version."""
+    return entries.groupBy("path").agg(F.max_by(F.struct("version", "hash", "rows_batch"), "version").alias("e")).select("path", "e.*")
 
-def touched_buckets(rows: DataFrame) -> list[int]:
-    return [r[0] for r in rows.select("bucket").distinct().collect()]
 
+def ledger(spark: SparkSession, store: str) -> VersionedTable:
+    """File versions taken in so far: path, version, hash and the batch that holds the rows."""
+    return VersionedTable(spark, f"{store}/ledger", "path", newest_entries)
 
-def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]):
-    """Process everything a stream has now, batch by batch."""
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
 
+def rows_table(spark: SparkSession, store: str) -> VersionedTable:
+    """Rows built from file versions. Compaction drops those that a newer version of the file has replaced."""
 
-def _ledger(spark: SparkSession, store: str, buckets: list[int] | None = None) -> DataFrame | None:
-    """Newest entry per path: version, hash and the batch that holds its rows."""
-    if not path_exists(spark, f"{store}/ledger"):
-        return None
-    entries = spark.read.schema(f"{_ENTRY}, bucket int").parquet(f"{store}/ledger")
-    if buckets is not None:
-        entries = entries.filter(F.col("bucket").isin(buckets))
-    newest = entries.groupBy("path").agg(F.max_by(F.struct("version", "hash", "rows_batch"), "version").alias("e"))
-    return newest.select("path", "e.*")
+    def living(rows: DataFrame) -> DataFrame:
+        known = ledger(spark, store).read()
+        if known is None:
+            return rows
+        known = newest_entries(known).select("path", F.col("version").alias("__v"), F.col("rows_batch").alias("__b"))
+        joined = rows.join(known, "path", "left")
+        replaced = F.coalesce((F.col("__v") > F.col("version")) & (F.col("__b") != F.col("rows_batch")), F.lit(False))
+        return joined.filter(~replaced).select(*rows.columns)
 
-
-_ENTRY = "path string, version long, hash string, rows_batch string"
+    return VersionedTable(spark, f"{store}/rows", "path", living)
 
 
 def refresh_stream(
@@ -80,29 +77,32 @@ def refresh_stream(
 ):
     """Take in all new file versions (path, version, text); ``build`` keeps path, hash and version.
 
-    The store has the rows of each batch in a folder of their own and a ledger of file versions in hash buckets. A batch
-    reads the ledger's touched buckets only, builds the files whose content changed, writes their rows, and then
-    appends to the ledger; that append is the commit, so rows without an entry are never seen and a
-    repeated batch finds nothing new. A version older than the known one changes nothing, also if the known
-    one has no rows; a newer one with the same content gets an entry and is not built again.
+    The store has a table of rows and a ledger of file versions, both compacted as they grow. A batch looks up its paths in the ledger,
+    builds the files whose content changed, appends their rows, and then its entries to the ledger; that append is the
+    commit, so rows without an entry are never seen and a repeated batch finds nothing new. A version older than the known one changes
+    nothing, also if the known one has no rows; a newer one with the same content gets an entry and is not built again.
     """
+    book, table = ledger(spark, store), rows_table(spark, store)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        newest = latest_versions(rows).withColumn("hash", content_hash()).withColumn("bucket", bucket_of("path")).persist()
+        newest = latest_versions(rows).withColumn("hash", content_hash()).persist()
         try:
-            buckets = touched_buckets(newest)
-            if not buckets:
-                return
-            known = _ledger(spark, store, buckets)
-            if known is None:
-                known = spark.createDataFrame([], _ENTRY)
+            known = book.find(newest)
+            known = spark.createDataFrame([], _ENTRY) if known is None else newest_entries(known)
             known = known.select("path", F.col("version").alias("v"), F.col("hash").alias("h"), F.col("rows_batch").alias("b"))
-            fresh = newest.join(known, "path", "left").filter(F.col("v").isNull() | (F.col("version") > F.col("v")))
+            fresh = newest.join(known, "path", "left").filter(F.col("v").isNull() | (F.col("version") > F.col("v"))).persist()
+            count = fresh.count()
+            if not count:
+                return
             changed = F.col("h").isNull() | (F.col("hash") != F.col("h"))
-            name = new_batch_id()
-            build(fresh.filter(changed).drop("v", "h", "b", "bucket")).write.parquet(f"{store}/rows/rows_batch={name}")
-            entries = fresh.select("path", "version", "hash", F.when(changed, F.lit(name)).otherwise(F.col("b")).alias("rows_batch"), "bucket")
-            entries.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{store}/ledger")
+            name = new_id()
+            built = build(fresh.filter(changed).drop("v", "h", "b")).withColumn("rows_batch", F.lit(name)).persist()
+            table.append(built, built.count())
+            book.append(fresh.select("path", "version", "hash", F.when(changed, F.lit(name)).otherwise(F.col("b")).alias("rows_batch")), count)
+            built.unpersist()
+            fresh.unpersist()
+            book.compact()
+            table.compact()
         finally:
             newest.unpersist()
 
@@ -111,7 +111,18 @@ def refresh_stream(
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame:
     """Rows of the newest version of every file."""
-    rows = spark.read.parquet(f"{store}/rows")
-    entries = _ledger(spark, store).select("path", "rows_batch", F.col("version").alias("__newest"))
+    book, table = ledger(spark, store), rows_table(spark, store)
+    while True:
+        # Rows appended behind this entry, or dropped for a later one, would not fit it.
+        version = book.versions()[-1]
+        rows = table.read()
+        if book.versions()[-1] == version:
+            break
+    entries = newest_entries(book.read(version)).select("path", "rows_batch", F.col("version").alias("__newest"))
     found = rows.join(entries, ["path", "rows_batch"])
     return found.select(*[F.col("__newest").alias(c) if c == "version" else F.col(c) for c in rows.columns if c != "rows_batch"])
+
+
+def vacuum(spark: SparkSession, store: str, versions: int = 2, grace_seconds: float = 24 * 3600) -> int:
+    """Delete what compaction has replaced and no reader of the last versions needs."""
+    return sum(t.vacuum(versions, grace_seconds) for t in (ledger(spark, store), rows_table(spark, store)))
