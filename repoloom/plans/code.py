@@ -200,15 +200,16 @@ def html_tags(spark, sf_dir):
 
 @register(
     "p15_css_selectors",
-    """SELECT doc_id, i AS line_no, CASE WHEN i % 2 = 1 THEN 'selector' ELSE 'import' END AS kind, CASE WHEN i % 2 = 1 THEN '.a' || i || ' > b' END AS name,
-    CASE WHEN i % 2 = 0 THEN 'x' || i || '.css' END AS module FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i,
-      unnest(string_split(text, chr(10))) FROM documents)""",
+    """SELECT doc_id, i AS line_no, CASE WHEN i % 2 = 1 THEN 'selector' ELSE 'import' END AS kind, CASE WHEN i % 2 = 1 THEN '.a' || i || ' > ' || l || '.b' END AS name,
+    CASE WHEN i % 2 = 0 THEN 'x' || i || l || '.css' END AS module FROM (SELECT doc_id, i, regexp_replace(l, '[^A-Za-z]+', ' ', 'g') AS l FROM (
+      SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents))""",
 )
 def css_selectors(spark, sf_dir):
+    words = lambda l: F.regexp_replace(l, "[^A-Za-z]+", " ")
     line = F.transform(
         F.split("text", "\n"),
-        lambda l, i: F.when((i + 1) % 2 == 1, F.concat(F.lit(".a"), (i + 1).cast("string"), F.lit(" > b {"))).otherwise(
-            F.concat(F.lit("@import url('x"), (i + 1).cast("string"), F.lit(".css');"))
+        lambda l, i: F.when((i + 1) % 2 == 1, F.concat(F.lit(".a"), (i + 1).cast("string"), F.lit(" > "), words(l), F.lit(".b {"))).otherwise(
+            F.concat(F.lit("@import url('x"), (i + 1).cast("string"), words(l), F.lit(".css');"))
         ),
     )
     css = table(spark, sf_dir, "documents").select(

@@ -223,8 +223,8 @@ def stream_pieces(spark, sf_dir):
 # A workshop text: title, introduction, then every line of the document as a heading, an exercise or prose.
 _WORKSHOP_SQL = f"""w AS (
   SELECT doc_id, '# Title ' || doc_id || {NL} || {NL} || 'Intro.' || {NL} || {NL} || string_agg(
-      CASE i % 4 WHEN 1 THEN '## Part ' || i || ': ' || split_part(l, ' ', 1) || '!'
-        WHEN 2 THEN '## Exercise ' || i || ': do' ELSE split_part(l, ' ', 2) END, {NL} ORDER BY i)
+      CASE i % 4 WHEN 1 THEN '## Part ' || i || ': ' || l || '!'
+        WHEN 2 THEN '## Exercise ' || i || ': do' || {NL} || l ELSE l END, {NL} ORDER BY i)
       || {NL} || '## Final Project' || {NL} || 'end' AS c
   FROM (SELECT doc_id, unnest(string_split(text, {NL})) AS l, generate_subscripts(string_split(text, {NL}), 1) AS i FROM documents) GROUP BY 1)"""
 
@@ -233,9 +233,9 @@ def _workshops(spark, sf_dir):
     def line(l, i):
         n = (i + 1).cast("string")
         return (
-            F.when((i + 1) % 4 == 1, F.concat(F.lit("## Part "), n, F.lit(": "), F.split_part(l, F.lit(" "), F.lit(1)), F.lit("!")))
-            .when((i + 1) % 4 == 2, F.concat(F.lit("## Exercise "), n, F.lit(": do")))
-            .otherwise(F.split_part(l, F.lit(" "), F.lit(2)))
+            F.when((i + 1) % 4 == 1, F.concat(F.lit("## Part "), n, F.lit(": "), l, F.lit("!")))
+            .when((i + 1) % 4 == 2, F.concat(F.lit("## Exercise "), n, F.lit(": do\n"), l))
+            .otherwise(l)
         )
 
     body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
@@ -295,14 +295,22 @@ def annotated_workshops(spark, sf_dir):
     return _workshops(spark, sf_dir).select("doc_id", tx.annotate_exercises(F.col("c")).alias("content"))
 
 
+_PARAGRAPH = r"'# .*?\n\n(.*?)(?:\n\n|\z)'"
+
+
 @register(
     "h16_first_paragraph",
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'No summary available' ELSE trim(string_split(text, {NL})[1]) END AS summary FROM documents""",
+    f"""WITH bodies AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || {NL} || '## Head' || {NL} || {NL} || replace(text, {NL}, ' ') || {NL} || {NL} || text
+      ELSE '## Head' || {NL} || {NL} || text || {NL} || {NL} || 'more' END AS body FROM documents),
+    found AS (SELECT doc_id, regexp_matches(body, {_PARAGRAPH}) AS any_, regexp_extract(body, {_PARAGRAPH}, 1) AS p FROM bodies)
+    SELECT doc_id, CASE WHEN any_ THEN trim(p, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || {NL}) ELSE 'No summary available' END AS summary FROM found""",
 )
 def first_paragraph(spark, sf_dir):
-    line = F.get(F.split("text", "\n"), 0)
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("plain "), line)).otherwise(
-        F.concat(F.lit("## Head\n\n"), line, F.lit("\n\nmore text"))
+    text, head = F.col("text"), F.lit("## Head\n\n")
+    body = (
+        F.when(F.col("doc_id") % 3 == 0, text)
+        .when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit("\n"), head, F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\n\n"), text))
+        .otherwise(F.concat(head, text, F.lit("\n\nmore")))
     )
     return _docs(spark, sf_dir).select("doc_id", tx.first_paragraph(body).alias("summary"))
 
@@ -310,7 +318,7 @@ def first_paragraph(spark, sf_dir):
 # Slide plans: each document line becomes one plan line, in one of five forms.
 _SLIDE_SQL = f"""lines AS (
   SELECT doc_id, (doc_id % 5)::INT AS form, 'Topic ' || i || regexp_replace(split_part(l, ' ', 1), '[^A-Za-z]', '', 'g') AS t,
-    'w' || regexp_replace(split_part(l, ' ', 2), '[^A-Za-z]', '', 'g') AS d, i
+    'w' || regexp_replace(l, '[^A-Za-z]+', ' ', 'g') || 'w' AS d, i
   FROM (SELECT doc_id, unnest(string_split(text, {NL})) AS l, generate_subscripts(string_split(text, {NL}), 1) AS i FROM documents))"""
 
 
@@ -320,7 +328,7 @@ def _plans(spark, sf_dir):
     def line(l, i):
         n = (i + 1).cast("string")
         title = F.concat(F.lit("Topic "), n, F.regexp_replace(F.split_part(l, F.lit(" "), F.lit(1)), "[^A-Za-z]", ""))
-        desc = F.concat(F.lit("w"), F.regexp_replace(F.split_part(l, F.lit(" "), F.lit(2)), "[^A-Za-z]", ""))
+        desc = F.concat(F.lit("w"), F.regexp_replace(l, "[^A-Za-z]+", " "), F.lit("w"))
         item = F.concat(title, F.lit(": "), desc)
         return (
             F.when(form == 0, F.concat(n, F.lit(". "), item))
@@ -359,18 +367,18 @@ _WRAP_MIDDLE, _WRAP_TAIL = _WRAP_REST.split("{body}")
 @register(
     "h18_slide_html",
     f"""SELECT doc_id, CASE doc_id % 4
-      WHEN 0 THEN '<style></style>' || doc_id
+      WHEN 0 THEN '<style></style>' || doc_id || ' ' || t || '.'
       ELSE {sql_text(_WRAP_HEAD)} || 'T' || doc_id || {sql_text(_WRAP_MIDDLE)} || CASE doc_id % 4
-        WHEN 1 THEN '<div class="slide"><div>' || doc_id || '</div></div>' WHEN 2 THEN '<p>' || doc_id || '</p>' ELSE 'raw ' || doc_id END
-        || {sql_text(_WRAP_TAIL)} END AS html FROM documents""",
+        WHEN 1 THEN '<div class="slide"><div>' || t || '</div></div>' WHEN 2 THEN '<p>' || t || '</p>' ELSE 'raw ' || t END
+        || {sql_text(_WRAP_TAIL)} END AS html FROM (SELECT doc_id, translate(text, '<>`', '') AS t FROM documents)""",
 )
 def slide_html(spark, sf_dir):
-    s, d = _s(), F.col("doc_id")
+    s, d, t = _s(), F.col("doc_id"), F.translate("text", "<>`", "")
     body = (
-        F.when(d % 4 == 0, F.concat(F.lit("Here:\n```html\n<style></style>"), s, F.lit("\n```\nbye")))
-        .when(d % 4 == 1, F.concat(F.lit('ok <div class="slide"><div>'), s, F.lit("</div></div> end")))
-        .when(d % 4 == 2, F.concat(F.lit("a <p>"), s, F.lit("</p><b>x</b>")))
-        .otherwise(F.concat(F.lit("raw "), s))
+        F.when(d % 4 == 0, F.concat(F.lit("Here:\n```html\n<style></style>"), s, F.lit(" "), t, F.lit(".\n```\nbye "), t))
+        .when(d % 4 == 1, F.concat(t, F.lit('ok <div class="slide"><div>'), t, F.lit("</div></div> end")))
+        .when(d % 4 == 2, F.concat(t, F.lit("a <p>"), t, F.lit("</p><b>x</b>"), t))
+        .otherwise(F.concat(F.lit("raw "), t))
     )
     return _docs(spark, sf_dir).select("doc_id", tx.slide_html(body, F.concat(F.lit("T"), s)).alias("html"))
 

@@ -144,8 +144,8 @@ def section_tree(spark, sf_dir):
 
 
 # Responses: a wiki per document; each text line is a page, some ids or importances are missing.
-_LINE = f"""rl AS (SELECT doc_id, generate_subscripts(string_split(text, {NL}), 1) AS i,
-  'w' || regexp_replace(split_part(unnest(string_split(text, {NL})), ' ', 1), '[^A-Za-z]', '', 'g') AS w FROM documents)"""
+_LINE = f"""rl AS (SELECT doc_id, i, 'w' || regexp_replace(split_part(l, ' ', 1), '[^A-Za-z]', '', 'g') AS w, 'w' || regexp_replace(l, '[<>&]+', ' ', 'g') AS line
+  FROM (SELECT doc_id, generate_subscripts(string_split(text, {NL}), 1) AS i, unnest(string_split(text, {NL})) AS l FROM documents))"""
 
 
 def _responses(spark, sf_dir):
@@ -155,11 +155,12 @@ def _responses(spark, sf_dir):
     def page(l, i):
         n = (i + 1).cast("string")
         w = F.concat(F.lit("w"), F.regexp_replace(F.split_part(l, F.lit(" "), F.lit(1)), "[^A-Za-z]", ""))
+        title = F.concat(F.lit("w"), F.regexp_replace(l, "[<>&]+", " "))
         importance = (
             F.when(i % 3 == 0, "").when(i % 3 == 1, "<importance>high</importance>").otherwise("<importance>urgent</importance>")
         )
         return F.concat(
-            F.lit('<page id="'), F.when((i % 4 == 3) & (d % 3 != 2), "").otherwise(F.concat(F.lit("p"), n)), F.lit('"><title>'), w, F.lit(" & "), n, F.lit("</title>"),
+            F.lit('<page id="'), F.when((i % 4 == 3) & (d % 3 != 2), "").otherwise(F.concat(F.lit("p"), n)), F.lit('"><title>'), title, F.lit(" & "), n, F.lit("</title>"),
             importance, F.lit("<relevant_files><file_path>"), w, F.lit(".py</file_path><file_path>b.py</file_path></relevant_files>"),
             F.lit("<related_pages><related>p1</related></related_pages></page>"),
         )
@@ -167,7 +168,7 @@ def _responses(spark, sf_dir):
     def section(l, i):
         n = (i + 1).cast("string")
         return F.concat(
-            F.lit('<section id="s'), n, F.lit('"><title>T'), n, F.lit("</title><pages><page_ref>p"), n,
+            F.lit('<section id="s'), n, F.lit('"><title>T '), F.regexp_replace(l, "[<>&]+", " "), n, F.lit("</title><pages><page_ref>p"), n,
             F.lit("</page_ref></pages><subsections><section_ref>s"), ((i + 1) * 2).cast("string"), F.lit("</section_ref></subsections></section>"),
         )
 
@@ -182,7 +183,7 @@ def _responses(spark, sf_dir):
 
 @register(
     "h24_h26_structure_pages",
-    f"""WITH {_LINE} SELECT doc_id AS wiki_id, i - 1 AS pos, CASE WHEN (i - 1) % 4 = 3 AND doc_id % 3 <> 2 THEN 'page-' || i ELSE 'p' || i END AS id, w || ' & ' || i AS title,
+    f"""WITH {_LINE} SELECT doc_id AS wiki_id, i - 1 AS pos, CASE WHEN (i - 1) % 4 = 3 AND doc_id % 3 <> 2 THEN 'page-' || i ELSE 'p' || i END AS id, line || ' & ' || i AS title,
     CASE (i - 1) % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'low' END AS importance, w || '.py|b.py' AS file_paths, 'p1' AS related_pages FROM rl""",
 )
 def structure_pages(spark, sf_dir):
@@ -191,7 +192,7 @@ def structure_pages(spark, sf_dir):
 
 @register(
     "h27_structure_sections",
-    f"""WITH {_LINE} SELECT doc_id AS wiki_id, i - 1 AS pos, 's' || i AS id, 'T' || i AS title, 'p' || i AS pages, 's' || (i * 2) AS subsections FROM rl""",
+    f"""WITH {_LINE} SELECT doc_id AS wiki_id, i - 1 AS pos, 's' || i AS id, 'T ' || substr(line, 2) || i AS title, 'p' || i AS pages, 's' || (i * 2) AS subsections FROM rl""",
 )
 def structure_sections(spark, sf_dir):
     return wiki.structure_sections(wiki.parse_structures(_responses(spark, sf_dir)))
