@@ -580,7 +580,7 @@ def analysis_sink(spark, sf_dir):
 
 @register(
     "a9_vector_store",
-    "SELECT vec_id, 'label ' || label AS text, len(embedding) AS size, label::VARCHAR AS label FROM embeddings",
+    """SELECT vec_id, 'label ' || label AS text, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS value, label::VARCHAR AS label FROM embeddings""",
 )
 def vector_store(spark, sf_dir):
     path, _ = _fresh_store(spark, "vectors")
@@ -591,7 +591,7 @@ def vector_store(spark, sf_dir):
     )
     store.save_vectors(rows, path)
     return spark.read.parquet(path).select(
-        "vec_id", "text", F.size("vector").cast("long").alias("size"), F.col("meta")["label"].alias("label")
+        "vec_id", "text", F.posexplode("vector").alias("i", "value"), F.col("meta")["label"].alias("label")
     )
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
 from repoloom.operators import embedding as em
+from repoloom.operators import pruned_search as ps
 from repoloom.operators import search as se
 from repoloom.operators.chunking import word_chunks
 from repoloom.plans.catalog import register
+from repoloom.plans.corpus import _CHUNK_SQL, _fresh_store
 from repoloom.plans.views import table
 
 
@@ -154,14 +156,14 @@ def embedding_stats(spark, sf_dir):
 
 @register(
     "u2_normalise",
-    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 3 / n)), 6) AS total FROM (
+    """SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, round(unnest(list_transform(embedding, lambda x: x::DOUBLE * 3 / n)), 6) AS value FROM (
     SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))) AS n FROM embeddings)""",
 )
 def normalise(spark, sf_dir):
     tripled = F.transform("vector", lambda x: x.cast("double") * 3)
     unit = em.normalise(tripled)
-    return vectors(spark, sf_dir).select(
-        "vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(unit).alias("i", "value")).select(
+        "vec_id", F.col("i").cast("long").alias("i"), F.round("value", 6).alias("value")
     )
 
 
@@ -194,14 +196,42 @@ def embed_questions(spark, sf_dir):
     )
 
 
-@register("u1_question_retrieval")
-def question_retrieval(spark, sf_dir):
-    """Benchmark texts against all document chunks, embedded and searched in one job."""
-    chunks = word_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+_RETRIEVAL_SQL = f"""WITH {_EMBED_SQL.format(id='item_id', table='benchmark').replace('words AS', 'q_words AS').replace('FROM words', 'FROM q_words')
+  .replace('buckets AS', 'q_buckets AS').replace('FROM buckets', 'FROM q_buckets').replace('weights AS', 'q AS')},
+chunks AS ({_CHUNK_SQL.format(size=1000, step=700).replace('words AS', 'WITH words AS', 1)}),
+numbered AS (SELECT doc_id * (SELECT max(chunk_no) + 1 FROM chunks) + chunk_no AS vec_id, text FROM chunks),
+{_EMBED_SQL.format(id='vec_id', table='numbered').replace('words AS', 'c_words AS').replace('FROM words', 'FROM c_words')},
+scored AS (SELECT q.id AS query_id, c.id AS vec_id, round(sum(q.weight::FLOAT::DOUBLE * c.weight::FLOAT::DOUBLE), 6) AS score
+  FROM q JOIN weights c ON q.bucket = c.bucket GROUP BY 1, 2)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 30"""
+
+
+def _chunk_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # As many places per document as the longest one has chunks: ids are distinct and in order, and an overflow raises.
-    places = (chunks.agg(F.max("chunk_no")).first()[0] or 0) + 1
+    words = docs.agg(F.max(F.size(F.split("text", " ")))).first()[0] or 0
+    places = 1 + max(0, -(-(words - fixed.CHUNK_WORDS) // (fixed.CHUNK_WORDS - fixed.CHUNK_OVERLAP)))
+    chunks = word_chunks(docs, "text")
     chunks = chunks.withColumn("vec_id", F.col("doc_id") * F.lit(places).cast("long") + F.col("chunk_no"))
-    corpus = em.embed_texts(chunks.select("vec_id", "text"), em.hashing_embedder)
+    return em.valid_vectors(em.embed_texts(chunks.select("vec_id", "text"), em.hashing_embedder)).select("vec_id", "vector")
+
+
+def _questions(spark, sf_dir):
     asked = em.embed_texts(table(spark, sf_dir, "benchmark"), em.hashing_embedder)
-    queries = asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return se.top_k(em.valid_vectors(corpus), queries, 30)
+    return asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+@register("u1_question_retrieval", _RETRIEVAL_SQL)
+def question_retrieval(spark, sf_dir):
+    """Benchmark texts against all document chunks: chunks are embedded and stored once, then searched in one pass."""
+    path, _ = _fresh_store(spark, "balls")
+    ps.write_balls(_chunk_vectors(spark, sf_dir), path)
+    return ps.search(spark, path, _questions(spark, sf_dir), 30)
+
+
+@register("e5_pruned_search", f"WITH {QUERY_SQL.format(k=30)} SELECT query_id, vec_id, score, rank FROM hits")
+def pruned_search(spark, sf_dir):
+    """The search over all vectors from stored balls."""
+    path, _ = _fresh_store(spark, "balls")
+    ps.write_balls(vectors(spark, sf_dir), path, block_rows=32)
+    return ps.search(spark, path, label_queries(spark, sf_dir), 30)

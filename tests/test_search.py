@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from repoloom.operators import pruned_search as ps
 from repoloom.operators import embedding as em
 from repoloom.operators import search as se
 
@@ -106,3 +107,53 @@ def test_embedding_cache(spark):
     again, none = em.embed_cached(df, fresh, "m", make)
     assert none.count() == 0 and {r.id: r.vector for r in again.collect()} == {r.id: r.vector for r in rows.collect()}
     assert em.embed_cached(df, fresh, "other", make)[1].count() == 2
+
+
+def clustered(n, dims=8, groups=12, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims)) * 4
+    return {i: (centres[i % groups] + rng.normal(size=dims) * 0.2).astype("float32").tolist() for i in range(n)}
+
+
+def test_pruned_search_equals_the_full_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ps, "QUERY_ROWS", 16)
+    monkeypatch.setattr(ps, "HELD_VALUES", 4000)
+    vectors = clustered(3000)
+    vectors |= {5000 + i: vectors[7] for i in range(500)}  # one vector many times: ties, and a pivot of its own
+    rows = list(vectors.items()) + [(9000, None), (9001, [])]
+    corpus = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    queries = spark.createDataFrame([(i, vectors[i * 31]) for i in range(60)] + [(100, [0.0] * 8), (101, None), (102, [])], "query_id long, query_vector array<double>")
+    ps.write_balls(corpus, str(tmp_path / "balls"), block_rows=40)
+    stored = spark.read.parquet(str(tmp_path / "balls"))
+    assert stored.select(F.max(F.size("ids")), F.sum(F.size("ids"))).first()[:] == (40, 3500)
+    compared, pairs = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+    got = key(ps.search(spark, str(tmp_path / "balls"), queries, 10, compared, pairs))
+    assert got == key(se.top_k(corpus, queries, 10)) and len(got) == 610
+    assert pairs.value == 61 * stored.count() and compared.value < 0.5 * pairs.value
+
+
+def test_pruned_search_of_few_and_no_vectors(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, vector array<float>")
+    queries = spark.createDataFrame([(5, [1.0, 0.5])], "query_id long, query_vector array<double>")
+    ps.write_balls(corpus, str(tmp_path / "a"))
+    assert [(r.vec_id, r["rank"], r.score) for r in ps.search(spark, str(tmp_path / "a"), queries, 5).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 0.5)]
+    assert ps.search(spark, str(tmp_path / "a"), queries.filter("false"), 5).count() == 0
+    ps.write_balls(corpus.filter("false"), str(tmp_path / "b"))
+    assert ps.search(spark, str(tmp_path / "b"), queries, 5).count() == 0
+
+
+def test_bounds_leave_out_most_balls_of_clustered_vectors():
+    vectors = np.array(list(clustered(4000, groups=40).values()), dtype="float64")
+    order = np.argsort([i % 40 for i in range(4000)], kind="stable")
+    balls = []
+    for ids in np.array_split(order, 40):
+        centre = vectors[ids].mean(0)
+        balls.append((centre, float(np.sqrt(((vectors[ids] - centre) ** 2).sum(1).max())), ids, vectors[ids]))
+    queries = vectors[::97]
+    scores, ids, compared = ps.best_hits(queries, balls, 10)
+    full = np.round(queries @ vectors.T, 6)
+    for q in range(len(queries)):
+        want = np.lexsort((np.arange(4000), -full[q]))[:10]
+        assert ids[q].tolist() == want.tolist() and np.array_equal(scores[q], full[q][want])
+    assert compared < 0.2 * len(queries) * len(balls)
