@@ -366,16 +366,18 @@ def export_name(repo_url: Column, stamp: Column, extension: str) -> Column:
     return F.concat(repo, F.lit("_wiki_"), stamp, F.lit("." + extension))
 
 
+MAX_CHOSEN = 2_000_000  # chosen pages that travel to the pages; more are joined by a shuffle
+
+
 def budget_context(pages: DataFrame, budget: int = fixed.WIKI_CONTEXT_CHARS) -> DataFrame:
     """Wiki text within a character budget, one row per wiki.
 
     High-importance pages come first, until the budget is exceeded; if it is not,
     the others follow, each as its first paragraph when the full text would not fit.
 
-    A page adds at least the characters of its frame, so no more than
-    ``budget / frame + 2`` pages of each group can be reached, and none whose
-    predecessors alone exceed the budget; only those are gathered, which leaves
-    the result unchanged.
+    Pages are chosen by the lengths of their texts alone. A page adds at least the characters of its frame, so no more than
+    ``budget / frame + 2`` pages of each group can be reached, and none whose predecessors alone exceed the budget; only the lengths of those are
+    gathered. Contents are fetched for the chosen pages, a list of bounded length per wiki, which goes to the pages and not they to it.
     """
     frame = len("## \n\n\n")
     reach = budget // frame + 2
@@ -383,30 +385,24 @@ def budget_context(pages: DataFrame, budget: int = fixed.WIKI_CONTEXT_CHARS) ->
     filled = pages.filter(F.coalesce("content", F.lit("")) != "").withColumn(
         "phase", F.when(is_high, 0).otherwise(1)
     )
-    w = Window.partitionBy("wiki_id", "phase").orderBy("pos")
-    filled = filled.select("wiki_id", "phase", "pos", "title", "content")
-    near = number_rows(filled, ["wiki_id", "phase"], ["pos"], "r").filter(F.col("r") < reach)
-    head = F.concat(F.lit("## "), F.col("title"), F.lit("\n"))
-    full = F.concat(head, F.col("content"), F.lit("\n\n"))
-    short = F.concat(head, tx.first_paragraph(F.col("content")), F.lit("\n\n"))
     high = F.col("phase") == 0
-    least = F.when(high, F.length("full")).otherwise(F.least(F.length("full"), F.length("short")))
-    before = F.sum(least).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    near = (
-        near.select("wiki_id", "phase", "pos", full.alias("full"), short.alias("short"))
-        .withColumn("before", F.coalesce(before, F.lit(0)))
-        .filter(F.col("before") <= budget)
-        # A text longer than the whole budget never fits after the high pages; its place is taken by the short one.
-        .withColumn("full", F.when(high | (F.length("full") <= budget), F.col("full")))
+    head = F.length("title") + frame
+    lengths = filled.select(
+        "wiki_id", "phase", "pos", (head + F.length("content")).alias("full"), (head + F.length(tx.first_paragraph(F.col("content")))).alias("short")
     )
-    item = F.struct("phase", "pos", "full", "short")
-    gathered = near.groupBy("wiki_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    w = Window.partitionBy("wiki_id", "phase").orderBy("pos")
+    near = number_rows(lengths, ["wiki_id", "phase"], ["pos"], "r").filter(F.col("r") < reach)
+    least = F.when(high, F.col("full")).otherwise(F.least("full", "short"))
+    before = F.sum(least).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= budget)
+    gathered = near.groupBy("wiki_id").agg(F.array_sort(F.collect_list(F.struct("phase", "pos", "full", "short"))).alias("items"))
 
+    picks = "array<struct<phase:int,pos:bigint,whole:boolean>>"
     start = F.struct(
         F.lit(0).alias("used"),
         F.lit(False).alias("entered"),
         F.lit(False).alias("stopped"),
-        F.array().cast("array<string>").alias("parts"),
+        F.array().cast(picks).alias("picks"),
     )
     limit = F.lit(budget)
 
@@ -414,18 +410,32 @@ def budget_context(pages: DataFrame, budget: int = fixed.WIKI_CONTEXT_CHARS) ->
         first = x["phase"] == 0
         closed = acc["stopped"] | (~acc["entered"] & (acc["used"] >= limit))
         skip = F.when(first, acc["used"] > limit).otherwise(closed)
-        fits = first | F.coalesce(acc["used"] + F.length(x["full"]) <= limit, F.lit(False))
-        text = F.when(fits, x["full"]).otherwise(x["short"])
-        used = acc["used"] + F.length(text)
+        fits = first | (acc["used"] + x["full"] <= limit)
+        used = acc["used"] + F.when(fits, x["full"]).otherwise(x["short"])
+        pick = F.struct(x["phase"].alias("phase"), x["pos"].cast("long").alias("pos"), fits.alias("whole"))
         added = F.struct(
             used.alias("used"),
             (~first).alias("entered"),
             (~first & (used > limit)).alias("stopped"),
-            F.array_append(acc["parts"], text).alias("parts"),
+            F.array_append(acc["picks"], pick).cast(picks).alias("picks"),
         )
         return F.when(skip, acc).otherwise(added)
 
-    done = F.aggregate("items", start, step)
-    return gathered.select("wiki_id", done.alias("d")).select(
-        "wiki_id", F.array_join("d.parts", "").alias("context"), F.col("d.used").cast("long").alias("used")
+    decided = cut_lineage(gathered.select(F.col("wiki_id").alias("w"), F.aggregate("items", start, step).alias("d")))
+    chosen = decided.select("w", F.inline("d.picks"))
+    few = (decided.agg(F.sum(F.size("d.picks"))).first()[0] or 0) <= MAX_CHOSEN
+    same = filled["wiki_id"].eqNullSafe(chosen["w"]) & (filled["phase"] == chosen["phase"]) & (filled["pos"] == chosen["pos"])
+    texts = filled.join(F.broadcast(chosen) if few else chosen, same).select(
+        filled["wiki_id"],
+        F.struct(
+            filled["phase"],
+            filled["pos"],
+            F.concat(
+                F.lit("## "), F.col("title"), F.lit("\n"), F.when(F.col("whole"), F.col("content")).otherwise(tx.first_paragraph(F.col("content"))), F.lit("\n\n")
+            ).alias("text"),
+        ).alias("t"),
+    )
+    contexts = texts.groupBy("wiki_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "").alias("c"))
+    return decided.join(contexts, F.col("w").eqNullSafe(contexts["wiki_id"]), "left").select(
+        F.col("w").alias("wiki_id"), F.coalesce("c", F.lit("")).alias("context"), F.col("d.used").cast("long").alias("used")
     )

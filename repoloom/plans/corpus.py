@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repoloom.functions import fixed, paths, payloads as pl, text as tx
-from repoloom.operators import chunking, filters, rollups
+from repoloom.operators import chunking, filters, rollups, run_totals
 from repoloom.operators.code_facts import project_totals
 from repoloom.plans.catalog import register
 from repoloom.plans.views import EXT_SQL, FILES_SQL, NAME_SQL, files, pick, sql_in, table
@@ -438,15 +438,19 @@ def file_payloads(spark, sf_dir):
     sum(CASE WHEN event_id % 4 <> 0 THEN user_id + event_id END)::BIGINT AS total_tokens FROM events GROUP BY 1""",
 )
 def token_usage(spark, sf_dir):
+    return rollups.usage_by(_responses(spark, sf_dir), ["provider"])
+
+
+def _responses(spark, sf_dir):
+    """Responses of providers; every fourth is an error."""
     e, u = F.col("event_id"), F.col("user_id")
     usage = F.struct(
         F.struct(u.alias("prompt_tokens"), e.alias("completion_tokens"), (u + e).alias("total_tokens")).alias("usage")
     )
-    rows = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("provider"),
         F.when(e % 4 == 0, '{"error":"timeout"}').otherwise(F.to_json(usage)).alias("response"),
     )
-    return rollups.usage_by(rows, ["provider"])
 
 
 @register(
@@ -607,3 +611,23 @@ def wiki_files(spark, sf_dir):
     store.save_wikis(old, path)
     store.save_wikis(old.filter("language = 'en'").withColumn("size", F.lit(-1).cast("long")), path)
     return store.read_wikis(spark, path)
+
+
+@register("d5_observed_totals", "SELECT count(*) AS total_files, count(*) FILTER (doc_id % 9 <> 0) AS processed_files FROM documents")
+def observed_files(spark, sf_dir):
+    """Totals of a scan, observed while its files are stored."""
+    path, _ = _fresh_store(spark, "observed")
+    rows = files(spark, sf_dir).withColumn("error", F.when(F.col("file_no") % 9 == 0, "invalid utf-8"))
+    return spark.createDataFrame([run_totals.write_observed(rows, path, run_totals.file_totals())], "total_files long, processed_files long")
+
+
+@register(
+    "d9_observed_usage",
+    """SELECT count(*) AS responses, sum(CASE WHEN event_id % 4 <> 0 THEN user_id END)::BIGINT AS prompt_tokens,
+    sum(CASE WHEN event_id % 4 <> 0 THEN event_id END)::BIGINT AS completion_tokens, sum(CASE WHEN event_id % 4 <> 0 THEN user_id + event_id END)::BIGINT AS total_tokens FROM events""",
+)
+def observed_usage(spark, sf_dir):
+    """Token usage of responses, observed while they are stored."""
+    path, _ = _fresh_store(spark, "observed")
+    totals = run_totals.write_observed(_responses(spark, sf_dir), path, run_totals.usage_totals())
+    return spark.createDataFrame([totals], "responses long, prompt_tokens long, completion_tokens long, total_tokens long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from repoloom.operators import embedding as em
 from repoloom.operators import pruned_search as ps
 from repoloom.operators import search as se
 from repoloom.operators.chunking import word_chunks
+from repoloom.operators.run_totals import embedding_totals, write_observed
 from repoloom.plans.catalog import register
 from repoloom.plans.corpus import _CHUNK_SQL, _fresh_store
 from repoloom.plans.views import table
+from repoloom.sources.store import save_bucketed
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,3 +239,29 @@ def pruned_search(spark, sf_dir):
     path, _ = _fresh_store(spark, "balls")
     ps.write_balls(vectors(spark, sf_dir), path, block_rows=32)
     return ps.search(spark, path, label_queries(spark, sf_dir), 30)
+
+
+@register(
+    "c1_bucketed_documents",
+    f"""WITH {QUERY_SQL.format(k=30)} SELECT h.query_id, h.rank, h.vec_id, h.score, e.label::BIGINT AS label
+    FROM hits h JOIN embeddings e USING (vec_id)""",
+)
+def bucketed_documents(spark, sf_dir):
+    """Hits joined to rows that are stored in buckets of their id."""
+    path, _ = _fresh_store(spark, "bucketed")
+    v = vectors(spark, sf_dir)
+    stored = save_bucketed(v.select("vec_id", "label"), f"bucketed_{uuid.uuid4().hex}", path, "vec_id", 16)
+    hits = se.top_k(v, label_queries(spark, sf_dir), 30)
+    return se.hit_texts(hits, stored).select("query_id", "rank", "vec_id", "score", "label")
+
+
+@register(
+    "d8_observed_totals",
+    f"""WITH {_HOLES_SQL} SELECT count(*) AS total, count(*) FILTER (len(vector) > 0) AS valid,
+    count(*) FILTER (NOT coalesce(len(vector) > 0, false)) AS empty, count(*) FILTER (vector IS NULL) AS failed FROM holes""",
+)
+def observed_totals(spark, sf_dir):
+    """Totals of an embedding run, observed while it is written."""
+    path, _ = _fresh_store(spark, "observed")
+    run = holes(spark, sf_dir).withColumn("embed_status", F.when(F.col("vector").isNull(), "error").otherwise("ok"))
+    return spark.createDataFrame([write_observed(run, path, embedding_totals())], "total long, valid long, empty long, failed long")

@@ -224,3 +224,13 @@ def export_analysis(records: DataFrame, path: str) -> None:
     """Write analysis records in parts (project, part_no, record) as one file ``{project}.json`` per project."""
     safe = F.regexp_replace(F.col("project"), r"[/\x00]", "_")
     write_files(records.select(F.concat(safe, F.lit(".json")).alias("file"), "part_no", F.col("record").alias("text")), path, ["part_no"])
+
+
+def save_bucketed(rows: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store rows at ``path`` in buckets of their key, as a table of the session's catalog, and return it.
+
+    A join on the key reads the buckets as they lie: only the other side is shuffled, into as many partitions as there are buckets. Choose them so
+    that one bucket fits a task.
+    """
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)

@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from repoloom.operators import run_totals
+from repoloom.operators.embedding import embedding_stats
+from repoloom.operators.search import hit_texts
 from repoloom.sources import store
 from repoloom.streaming import pieces, refresh
 
@@ -178,3 +181,38 @@ def test_pieces_stream_equals_batch(spark, tmp_path):
     want = {"s": "abc", "t": "z"}
     assert {r.session: r.answer for r in batch.collect()} == want
     assert {r.session: r.answer for r in pieces.stored_answers(spark, str(tmp_path / "o")).collect()} == want
+
+
+def test_totals_are_observed_while_rows_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0], "ok"), (2, [], "empty"), (3, None, "error"), (4, [2.0], "ok")], "vec_id long, vector array<double>, embed_status string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    totals = run_totals.write_observed(rows.mapInArrow(count, rows.schema), str(tmp_path / "t"), run_totals.embedding_totals())
+    assert totals == {"total": 4, "valid": 2, "empty": 2, "failed": 1} and seen.value == 4  # one pass
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    want = embedding_stats(rows.withColumn("k", F.lit(1)), ["k"]).drop("k").first().asDict()
+    assert totals == want
+    assert run_totals.write_observed(rows.filter("false"), str(tmp_path / "e"), run_totals.embedding_totals())["total"] == 0
+
+
+def test_bucketed_rows_are_joined_where_they_lie(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("vec_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    stored = store.save_bucketed(rows, "bucketed_test", str(tmp_path / "b"), "vec_id", 8)
+    hits = spark.range(0, 2000, 7).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("query_id"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = hit_texts(hits, stored)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = next(i for i, x in enumerate(lines) if "FileScan" in x)
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and not any("Exchange" in x for x in lines[scan - 3 : scan]), plan
+        assert joined.count() == hits.count() and joined.filter("text <> concat('text ', vec_id)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE bucketed_test")

@@ -168,6 +168,18 @@ def test_budget_context_against_brute_force(spark):
                 assert got[w] == brute_budget(ps, budget), (w, budget)
 
 
+def test_budget_plan_moves_chosen_contents_only(spark, monkeypatch):
+    pages = [("hot", i, f"p{i}", "t", "word " * 50, "high" if i % 3 else "low", [], []) for i in range(3000)] + [(None, 0, "p", "t", "alone", "low", [], [])]
+    df = spark.createDataFrame(pages, PAGE_SCHEMA).repartition(4)
+    got = {r.wiki_id: r for r in wiki.budget_context(df, 1000).collect()}
+    assert got[None].context == "## t\nalone\n\n" and len(got["hot"].context) == got["hot"].used <= 1300
+    plan = wiki.budget_context(df, 1000)._jdf.queryExecution().executedPlan().toString()
+    # Chosen pages travel to the pages; the other join is that of wikis with their finished contexts.
+    assert "BroadcastHashJoin" in plan and "Window" not in plan and plan.count("SortMergeJoin") <= 1
+    monkeypatch.setattr(wiki, "MAX_CHOSEN", 0)
+    assert {r.wiki_id: r for r in wiki.budget_context(df, 1000).collect()} == got
+
+
 def test_savable_needs_every_content(spark):
     pages = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")], "wiki_id string, id string")
     made = spark.createDataFrame(
