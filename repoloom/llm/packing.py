@@ -156,6 +156,57 @@ def unit_encoder(
     return encode
 
 
+# Fixed value: the word pattern of byte-level pre-tokenization.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level_ranks(vocabulary: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ids of byte strings and of special tokens of a tokenizer file, where merging by id is merging by the file's rules; else None.
+
+    That holds for byte-level pairs without a normalizer or prefix, if every piece is a byte or the product of a merge, and products come in the order of their ids.
+    """
+    model, words = vocabulary["model"], vocabulary.get("pre_tokenizer") or {}
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    odd = vocabulary.get("normalizer") or vocabulary.get("truncation") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    special = vocabulary.get("added_tokens", [])
+    if model.get("type", "BPE") != "BPE" or not plain or odd or any(t.get(k) for t in special for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    letters = {c: b for b, c in byte_letters().items()}
+    named = {t["content"]: t["id"] for t in special}
+    pieces = {p: i for p, i in model["vocab"].items() if p not in named}
+    products = [a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    ids = [pieces.get(p, -1) for p in products]
+    singles = [p for p in pieces if len(p) == 1]
+    if ids != sorted(ids) or -1 in ids[:1] or set(products) | set(singles) != set(pieces) or len(singles) != 256 or (ids and ids[0] < max(pieces[p] for p in singles)):
+        return None
+    return {bytes(letters[c] for c in p): i for p, i in pieces.items()}, named
+
+
+def whole_text_encoder(path: str, encode_batch: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[bytes]] | None:
+    """Encode texts by the merges of a byte-level vocabulary as a whole, with the ids that its tokenizer gives; None for another vocabulary.
+
+    Texts that the pattern engine gives up on (very long runs of white space) go to the tokenizer itself.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        found = byte_level_ranks(json.load(f))
+    if found is None:
+        return None
+    ranks, special = found
+    encoding = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=special)
+
+    def one(text: str) -> bytes:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:
+            return array("I", encode_batch([text])[0]).tobytes()
+
+    return lambda texts: [one(t) if t else b"" for t in texts]
+
+
 def assign(lengths: list[int], rooms: list[int], linear: float, quadratic: float, tries: int = 16) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """Fill ``rooms`` (token capacities of open sequences) with items of the given lengths.
 
@@ -213,7 +264,8 @@ def pack(
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        encode = unit_encoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)], word_model(tokenizer.model))
+        slow = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = whole_text_encoder(tokenizer_path, slow) or unit_encoder(slow, word_model(tokenizer.model))
         end = np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])

@@ -411,6 +411,25 @@ def test_units_encode_like_the_whole_text():
     assert b"".join(encode(list(packing.text_slices(long, 1000)))) == encode([long])[0]
 
 
+def test_whole_texts_get_the_tokenizers_ids():
+    tok, rng = tokenizer(), random.Random(6)
+    pool = ["a", "é", "ß", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "don't", ".", "<|endoftext|>", "<", "|", "1", "123", "漢字", "я", "\u2003", "́", "😀", "hello", "World", "_", "\r\n", "\x1c", "\x85", "ª", "١", "'LL", "\u3000"]
+    slow = lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    encode = packing.whole_text_encoder(queries.vocabulary("byte_bpe_50k.json"), slow)
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(8000)] + [" " * 300_000 + "x", "x" * 3000, "<|endoftext|>" * 3, "\x00"]
+    for text, raw in zip(texts, encode(texts)):
+        assert array.array("I", raw).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:80]
+    assert encode([None, ""]) == [b"", b""]
+    # Vocabularies whose merges are not in the order of their ids, or that are not byte-level, are left to their tokenizer.
+    assert packing.whole_text_encoder(queries.vocabulary("word_bpe_49k.json"), slow) is None
+    import json
+
+    whole = json.load(open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8"))
+    assert packing.byte_level_ranks(whole) is not None
+    whole["model"]["merges"][0], whole["model"]["merges"][9] = whole["model"]["merges"][9], whole["model"]["merges"][0]
+    assert packing.byte_level_ranks(whole) is None
+
+
 def test_packing_covers_every_id(spark, docs, odd):
     tok = tokenizer()
     for df in (docs, odd):
