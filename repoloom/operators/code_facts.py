@@ -231,27 +231,35 @@ def go_facts(lines: DataFrame) -> DataFrame:
     """Facts of Go files: package, single and block imports, functions and receiver methods."""
     line, p = F.col("line"), _P["go"]
     w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    opens = line.contains("/*") & ~line.contains("*/")
-    comment_mark = F.when(opens, True).when(line.contains("*/"), False)
-    rows = (
-        lines.filter(F.col("lang") == "go")
-        .withColumn("in_comment", F.coalesce(F.last(comment_mark, ignorenulls=True).over(w), F.lit(False)))
-        .filter(~F.col("in_comment") & ~opens & ~line.startswith("//"))
+    outside = (
+        F.when(line.rlike(_rx(p["import"])), "import")
+        .when(line.rlike(_rx(p["function"])), "function")
+        .when(line.rlike(_rx(p["method"])), "method")
+    )
+    # Each line is matched where it is read; only lines that are a fact or open or close something are sorted.
+    rows = settle(
+        lines.filter(F.col("lang") == "go"),
+        opens=line.contains("/*") & ~line.contains("*/"),
+        closes=line.contains("*/"),
+        is_package=line.rlike(_rx(p["package"])),
+        block_path=line.rlike(_rx(p["block_path"])),
+        outside=outside,
+    )
+    opens, is_package = F.col("opens"), F.col("is_package")
+    rows = rows.filter(opens | F.col("closes") | is_package | line.isin("import (", ")") | F.col("block_path") | F.col("outside").isNotNull())
+    comment_mark = F.when(opens, True).when(F.col("closes"), False)
+    rows = rows.withColumn("in_comment", F.coalesce(F.last(comment_mark, ignorenulls=True).over(w), F.lit(False))).filter(
+        ~F.col("in_comment") & ~opens & ~line.startswith("//")
     )
-    is_package = line.rlike(_rx(p["package"]))
     block_mark = F.when(is_package, F.lit(None)).when(line == "import (", True).when(line == ")", False)
     rows = rows.withColumn("in_block", F.coalesce(F.last(block_mark, ignorenulls=True).over(w), F.lit(False)))
     in_block = F.col("in_block")
-    block_path = line.rlike(_rx(p["block_path"]))
-    single = line.rlike(_rx(p["import"]))
     kind = (
         F.when(is_package, "package")
         .when(line == "import (", None)
         .when(in_block & (line == ")"), None)
-        .when(in_block, F.when(block_path, "block_import"))
-        .when(single, "import")
-        .when(line.rlike(_rx(p["function"])), "function")
-        .when(line.rlike(_rx(p["method"])), "method")
+        .when(in_block, F.when(F.col("block_path"), "block_import"))
+        .otherwise(F.col("outside"))
     )
     rows = settle(rows, k=kind).filter("k IS NOT NULL")
     k = F.col("k")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import fixed
 from repoloom.operators.search import _HITS, DIGITS, _matrix, _rank
-from repoloom.session import ensure_checkpoint_dir
+from repoloom.session import cut_lineage, ensure_checkpoint_dir
 from repoloom.sources.files import _file_system
 
 MAX_PIVOTS = 2048
@@ -34,12 +34,14 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin(norms - 2 * vectors[i : i + 4096] @ pivots.T, axis=1) for i in range(0, len(vectors), 4096)])
 
 
-def write_balls(corpus: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
+def write_balls(corpus: DataFrame, path: str, block_rows: int = BLOCK_ROWS, stored: bool = False) -> None:
     """Store vectors (vec_id long, vector array<float> of one size) in blocks of at most ``block_rows``; null and empty ones are left out.
 
-    Blocks form around a hash sample of the vectors, at most ``MAX_PIVOTS``; vectors around one pivot are split by id if they are many.
+    Blocks form around a hash sample of the vectors, at most ``MAX_PIVOTS``; vectors around one pivot are split by id if they are many. The vectors
+    are read three times and stored before, unless they are ``stored`` already.
     """
     rows = corpus.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<float>").alias("vector")).filter(F.size("vector") > 0)
+    rows = rows if stored else cut_lineage(rows)
     count = rows.count()
     wanted = min(MAX_PIVOTS, -(-count // block_rows))
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -16,6 +16,7 @@ from repoloom.operators.run_totals import embedding_totals, write_observed
 from repoloom.plans.catalog import register
 from repoloom.plans.corpus import _CHUNK_SQL, _fresh_store
 from repoloom.plans.views import table
+from repoloom.session import cut_lineage
 from repoloom.sources.store import save_bucketed
 
 
@@ -211,13 +212,12 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _chunk_vectors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = word_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    embedded = em.valid_vectors(em.embed_texts(chunks, em.hashing_embedder)).select("doc_id", "chunk_no", "vector")
+    embedded = cut_lineage(embedded)
     # As many places per document as the longest one has chunks: ids are distinct and in order, and an overflow raises.
-    words = docs.agg(F.max(F.size(F.split("text", " ")))).first()[0] or 0
-    places = 1 + max(0, -(-(words - fixed.CHUNK_WORDS) // (fixed.CHUNK_WORDS - fixed.CHUNK_OVERLAP)))
-    chunks = word_chunks(docs, "text")
-    chunks = chunks.withColumn("vec_id", F.col("doc_id") * F.lit(places).cast("long") + F.col("chunk_no"))
-    return em.valid_vectors(em.embed_texts(chunks.select("vec_id", "text"), em.hashing_embedder)).select("vec_id", "vector")
+    places = (embedded.agg(F.max("chunk_no")).first()[0] or 0) + 1
+    return embedded.select((F.col("doc_id") * F.lit(places).cast("long") + F.col("chunk_no")).alias("vec_id"), "vector")
 
 
 def _questions(spark, sf_dir):
@@ -229,7 +229,7 @@ def _questions(spark, sf_dir):
 def question_retrieval(spark, sf_dir):
     """Benchmark texts against all document chunks: chunks are embedded and stored once, then searched in one pass."""
     path, _ = _fresh_store(spark, "balls")
-    ps.write_balls(_chunk_vectors(spark, sf_dir), path)
+    ps.write_balls(_chunk_vectors(spark, sf_dir), path, stored=True)
     return ps.search(spark, path, _questions(spark, sf_dir), 30)
 
 
