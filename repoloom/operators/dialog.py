@@ -1,7 +1,7 @@
 """Conversation operators over rows (conv_id, turn, role, text).
 
 ``turn`` is the 0-based position of a message in its conversation. Everything
-here is a hash aggregate with partial aggregation or a join on (conv_id, turn
+here is an aggregate with partial aggregation (sorted where it takes a text with it) or a join on (conv_id, turn
 number), so a conversation that holds most of the rows does not pile up in one task.
 """
 
