@@ -251,6 +251,33 @@ def character_chunks(spark, sf_dir):
     return chunking.character_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# All white space, so that words are parted by single spaces; in the notation of both engines.
+_ANY_SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0{}]+"
+_WIDE_SPACES = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@register(
+    "u3_word_pieces",
+    rf"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{_ANY_SPACE.format(_WIDE_SPACES)}', ' ', 'g'), '[^ ]{{400,}}', '~', 'g')) AS text FROM documents),
+    p AS (SELECT doc_id, i, length(x) + CASE WHEN i = 1 THEN 0 ELSE 1 END AS n FROM (
+      SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM t WHERE text <> '')),
+    e AS (SELECT doc_id, list(stop ORDER BY i) AS ends FROM (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop FROM p) GROUP BY 1),
+    walk AS (
+      SELECT doc_id, 0::BIGINT AS chunk_no, 0::BIGINT AS lo, len(list_filter(ends, lambda x: x <= {fixed.SPLIT_CHARS})) AS last FROM e
+      UNION ALL
+      SELECT doc_id, chunk_no, lo, len(list_filter(ends, lambda x: x <= lo + {fixed.SPLIT_CHARS})) FROM (
+        SELECT doc_id, chunk_no, ends, CASE WHEN first = 0 THEN 0 ELSE ends[first] END AS lo FROM (
+          SELECT w.doc_id, w.chunk_no + 1 AS chunk_no, e.ends,
+            len(list_filter(e.ends[1:w.last], lambda x: x < greatest(e.ends[w.last] - {fixed.SPLIT_OVERLAP}, e.ends[w.last + 1] - {fixed.SPLIT_CHARS}))) + 1 AS first
+          FROM walk w JOIN e USING (doc_id) WHERE w.last < len(e.ends))))
+    SELECT doc_id, chunk_no, trim(substr(text, lo + 1, ends[last] - lo)) AS text FROM walk JOIN e USING (doc_id) JOIN t USING (doc_id)""",
+)
+def word_pieces(spark, sf_dir):
+    """The splitter over texts whose words are parted by single spaces."""
+    plain = F.regexp_replace(F.regexp_replace("text", _ANY_SPACE.format(_WIDE_SPACES), " "), "[^ ]{400,}", "~")
+    return chunking.character_chunks(table(spark, sf_dir, "documents").select("doc_id", F.trim(plain).alias("text")))
+
+
 @register(
     "u4_token_counter",
     "SELECT doc_id, len(string_split(text, ' ')) AS tokens FROM documents",
