@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
-WORD_CACHE = 300_000
+WORD_CACHE = 800_000
 
 
 class Lattice:
@@ -87,28 +87,50 @@ class Lattice:
         return into
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """Best score, its ids, and how much less the second-best segmentation scores (infinity if there is none)."""
-        n, arcs, none = len(word), self.arcs(word), float("-inf")
-        front, back = [0.0] + [none] * n, [None] * (n + 1)
-        for arc in arcs:
-            s = front[arc[0]] + arc[2]
-            if s > front[arc[1]]:
-                front[arc[1]], back[arc[1]] = s, arc
-        path, chosen, at = [], [None] * (n + 1), n
+        """Best score, its ids, and how much less the second-best segmentation scores (infinity if there is none).
+
+        One pass keeps the two best scores up to every position: those of an earlier position and a piece, in order of the pieces' starts.
+        """
+        n, get, none = len(word), self.begun.get, float("-inf")
+        front, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
+        for a in range(n):
+            one, two, hit = front[a], second[a], False
+            for b in range(a + 1, n + 1):
+                found = get(word[a:b])
+                if found is None:
+                    break
+                piece, score = found
+                if piece < 0:
+                    continue
+                if b == a + 1:
+                    hit = True
+                v, top = one + score, front[b]
+                if v > top:
+                    other = two + score
+                    second[b] = top if top > other else other
+                    front[b] = v
+                    back[b] = (a, piece)
+                elif v > second[b]:
+                    second[b] = v
+            if not hit:
+                raw = word[a].encode("utf-8", "surrogatepass")
+                score, b = self.fallback * len(raw), a + 1
+                v, top = one + score, front[b]
+                if v > top:
+                    second[b] = max(top, two + score)
+                    front[b] = v
+                    back[b] = (a, tuple([self.byte_ids[x] for x in raw]))
+                elif v > second[b]:
+                    second[b] = v
+        ids, at = [], n
         while at:
-            arc = chosen[at] = back[at]
-            path.append(arc)
-            at = arc[0]
-        # Every other segmentation has an arc off the best path; the best one through that arc is front + arc + rest.
-        rest, second = [none] * n + [0.0], none
-        for arc in reversed(arcs):
-            a, b, s, _ = arc
-            v = s + rest[b]
-            if v > rest[a]:
-                rest[a] = v
-            if front[a] + v > second and chosen[b] is not arc:
-                second = front[a] + v
-        return front[n], tuple([x for arc in reversed(path) for x in arc[3]]), front[n] - second
+            at, piece = back[at]
+            if piece.__class__ is int:
+                ids.append(piece)
+            else:
+                ids.extend(piece[::-1])
+        ids.reverse()
+        return front[n], tuple(ids), front[n] - second[n]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations in order: A* from the end, guided by the exact forward scores."""
@@ -160,11 +182,16 @@ class Segmenter:
 
     def segment(self, text: str) -> Iterator[tuple[float, bytes]]:
         """(score, little-endian unsigned 32-bit ids) in descending order of score."""
+        for score, ids, _ in self.with_changes(text):
+            yield score, ids
+
+    def with_changes(self, text: str) -> Iterator[tuple[float, bytes, list[tuple[bytes, bytes]]]]:
+        """(score, little-endian unsigned 32-bit ids, ids of the words that differ from the best: its and theirs) in descending order of score."""
         import numpy as np
 
         units = UNITS.findall(normal_form(text))
         if not units:
-            yield 0.0, b""
+            yield 0.0, b"", []
             return
         found = list(map(self.known.get, units))
         if None in found:
@@ -177,8 +204,8 @@ class Segmenter:
             else:
                 found = [f or self._learn({u})[u] for u, f in zip(units, found)]
         ids, scores, gaps = zip(*found)
-        total = float(np.sum(scores))
-        yield total, b"".join(ids)
+        total, whole = float(sum(scores)), b"".join(ids)
+        yield total, whole, []
         if self.n == 1:
             return
         gaps = np.array(gaps)
@@ -187,16 +214,21 @@ class Segmenter:
         places = [*np.flatnonzero(gaps < bound).tolist(), *np.flatnonzero(gaps == bound).tolist()][:m]
         places = sorted(p for p in places if gaps[p] != np.inf)
         options = {p: self.lattice.n_best(units[p], self.n) for p in places}
+        offsets = {p: sum(map(len, ids[:p])) for p in places}
         # Best-first over the choices at these words.
         start = (0,) * len(places)
         agenda, seen, emitted = [(0.0, start)], {start}, 0
         while agenda and emitted < self.n:
             loss, choice = heapq.heappop(agenda)
             if emitted:
-                parts = list(ids)
+                spliced, changed, last = [], [], 0
                 for p, c in zip(places, choice):
-                    parts[p] = np.array(options[p][c][1], "<u4").tobytes()
-                yield total - loss, b"".join(parts)
+                    if c:
+                        other = np.array(options[p][c][1], "<u4").tobytes()
+                        spliced += [whole[last : offsets[p]], other]
+                        last = offsets[p] + len(ids[p])
+                        changed.append((ids[p], other))
+                yield total - loss, b"".join([*spliced, whole[last:]]), changed
             emitted += 1
             for k, p in enumerate(places):
                 if choice[k] + 1 < len(options[p]):
@@ -222,11 +254,28 @@ class Decoder:
             elif sp.is_control(i):
                 self.texts[i] = b""
 
+    def raw(self, ids) -> bytes:
+        return b"".join(map(self.texts.__getitem__, ids))
+
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.texts.__getitem__, ids))
+        raw = self.raw(ids)
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def worker_memory(model_file: str, n: int) -> tuple[Segmenter, Decoder]:
+    """The vocabulary and the words met so far, one of each for all tasks of a worker process.
+
+    Task functions travel by value, so what outlives a task hangs on a module that does not.
+    """
+    import sys
+
+    kept = sys.__dict__.setdefault("_repoloom_n_best", {})
+    if (model_file, n) not in kept:
+        kept.clear()
+        kept[model_file, n] = Segmenter(Lattice.load(model_file), n), Decoder(model_file)
+    return kept[model_file, n]
+
+
 def encode_n_best(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool = True) -> DataFrame:
     """One row per document and segmentation: doc_id, rank (from 1), score, n_pieces, ids_crc32, round_trip and, if asked for, ids.
 
@@ -238,7 +287,7 @@ def encode_n_best(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool =
         import numpy as np
         import pyarrow as pa
 
-        segmenter, decoder = Segmenter(Lattice.load(model_file), n), Decoder(model_file)
+        segmenter, decoder = worker_memory(model_file, n)
         kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()] + ([pa.list_(pa.int32())] if with_ids else [])
         names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids"][: len(kinds)]
         for batch in batches:
@@ -250,9 +299,14 @@ def encode_n_best(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool =
                     if text is None:
                         continue
                     plain = text.replace(MARK, " ")
-                    for rank, (score, raw) in enumerate(segmenter.segment(text), 1):
+                    for rank, (score, raw, changed) in enumerate(segmenter.with_changes(text), 1):
                         ids = np.frombuffer(raw, "<u4")
-                        same = decoder.decode(ids.tolist()) == plain
+                        # Words that are spelled alike decode alike, whatever stands around them.
+                        if rank == 1 or not all(decoder.raw(array("I", x)) == decoder.raw(array("I", y)) for x, y in changed):
+                            same = decoder.decode(ids.tolist()) == plain
+                            best = same if rank == 1 else best
+                        else:
+                            same = best
                         rows.append((doc_id, rank, score, len(ids), zlib.crc32(raw), same) + ((ids.astype(np.int32),) if with_ids else ()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

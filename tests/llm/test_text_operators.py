@@ -226,7 +226,7 @@ def test_quality_rules_by_hand(spark, odd):
 
 def test_quality_counts_documents_not_rows(spark):
     """A document given thirty times has no frequent lines; thirty documents with one line do."""
-    alone = "\n".join(f"line {i} of a document that is given many times over" for i in range(8))
+    alone = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(8))
     rows = [(1, alone, None, "h", None)] * 30 + [(i, f"the same words open them all\nstory {i} goes on with words of its very own {i}", None, "h", None) for i in range(100, 130)]
     got = line_quality.quality_rules(spark.createDataFrame(rows, DOC)).collect()
     assert len(got) == 60 and all(r.removed_words == 0 and r.kept for r in got if r.doc_id == 1)
