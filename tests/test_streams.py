@@ -135,3 +135,94 @@ def test_sessions_leave_the_state_and_come_back(spark, tmp_path, monkeypatch):
     assert len(runs.segments()) <= 3 and runs.read().count() <= 2 * 4 * 3
     feed([("z", 0, "end")], 600)
     assert pieces.stored_answers(spark, store).filter("session = 'z'").first().answer == "end"
+
+
+class _Cells:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def _count(self):
+        self.calls.append(1)
+
+    def appendValue(self, row):  # noqa: N802
+        self._count()
+        self.rows.append(row)
+
+    def updateValue(self, key, row):  # noqa: N802
+        self._count()
+
+    def update(self, row):
+        self._count()
+        self.rows = [row]
+
+    def clear(self):
+        self.rows = []
+
+
+class _List(_Cells):
+    def get(self):
+        return iter(list(self.rows))
+
+
+class _Value(_Cells):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def exists(self):
+        return bool(self.rows)
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _List(self.calls)
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return _Cells(self.calls)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return _Value(self.calls)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class _Now:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_state_calls_do_not_grow_with_pieces_and_late_parts_stay(monkeypatch):
+    import pandas as pd
+
+    handle, keeper = _Handle(), pieces.Assembler(8, "long")
+    keeper.init(handle)
+    monkeypatch.setattr(pieces, "LIST_PIECES", 3)
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["session", "part_no", "seq", "piece"])])
+    wide = [(s, 0, n, f"{n} ") for s in range(20) for n in range(50)]
+    list(keeper.handleInputRows((3,), frame(wide), _Now(1000)))
+    assert len(handle.calls) <= 3 and handle.timers == {9000}
+    # The clock steps back: what comes later still counts as later. Of pieces that come together the greatest counts.
+    list(keeper.handleInputRows((3,), frame([(7, 0, 1, "a"), (7, 0, 1, "b"), (7, 1, 60, "c")]), _Now(900)))
+    handle.timers.clear()
+    list(keeper.handleInputRows((3,), frame([(8, 0, 0, "late")]), _Now(8500)))
+    out = pd.concat(keeper.handleExpiredTimer((3,), _Now(9001), None))
+    got = {(s, p): dict(zip(n, t)) for s, p, n, t in out.itertuples(index=False)}
+    assert len(got) == 20 and (8, 0) not in got and got[7, 0][1] == "b" and got[7, 1] == {60: "c"} and got[9, 0] == {n: f"{n} " for n in range(50)}
+    # What stays open is written back and closed later, not before an eighth of the idle time.
+    assert handle.timers == {16500} and all(len(r[1]) <= 3 for r in keeper.pieces.rows)
+    out = pd.concat(keeper.handleExpiredTimer((3,), _Now(16500), None))
+    assert [(s, p, n, t[0]) for s, p, n, t in out.itertuples(index=False)] == [(8, 0, list(range(50)), "late")] and keeper.pieces.rows == []
+    # Pieces without a session, below 0.
+    list(keeper.handleInputRows((-4,), frame([(0, 2, 5, "x")]), _Now(20000)))
+    assert [r[1:] for r in keeper.pieces.rows] == [([None], [2], [5], ["x"])]
