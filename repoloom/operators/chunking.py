@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoloom.functions import fixed
 
+OUTPUT_CHARS = 4_000_000  # chunks that a worker gathers before it hands them on
+OUTPUT_ROWS = 10_000
+
 
 def word_chunks(
     df: DataFrame,
@@ -35,66 +40,102 @@ def word_chunks(
     )
 
 
-def _merge(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
+def _merge(pieces: Iterable[str], size: int, overlap: int) -> Iterator[str]:
     """Greedy packing of consecutive pieces, carrying a tail of at most ``overlap`` characters over."""
-    held: list[str] = []
+    held: deque[str] = deque()
     total = 0
     for piece in pieces:
         if held and total + len(piece) > size:
             yield "".join(held)
             while held and (total > overlap or total + len(piece) > size):
-                total -= len(held.pop(0))
+                total -= len(held.popleft())
         held.append(piece)
         total += len(piece)
     if held:
         yield "".join(held)
 
 
+def _pieces(text: str, sep: str) -> Iterator[str]:
+    """Pieces of a text one after the other, each but the first with the separator before it."""
+    start, at = 0, text.find(sep)
+    while at >= 0:
+        if at > start:
+            yield text[start:at]
+        start, at = at, text.find(sep, at + len(sep))
+    if start < len(text):
+        yield text[start:]
+
+
+def _chunks(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
+    sep = next((s for s in separators if s == "" or s in text), "")
+    finer = separators[separators.index(sep) + 1 :]
+    for is_short, run in itertools.groupby(_pieces(text, sep) if sep else text, lambda p: len(p) < size):
+        if is_short:
+            yield from _merge(run, size, overlap)
+        else:
+            for piece in run:
+                yield from _chunks(piece, size, overlap, finer) if finer else [piece]
+
+
+def each_chunk(
+    text: str,
+    size: int = fixed.SPLIT_CHARS,
+    overlap: int = fixed.SPLIT_OVERLAP,
+    separators: tuple[str, ...] = ("\n\n", "\n", " ", ""),
+) -> Iterator[str]:
+    """Split at the coarsest separator present, and finer ones inside pieces that stay too long; holds one chunk at a time."""
+    return (s for s in (c.strip() for c in _chunks(text, size, overlap, separators)) if s)
+
+
 def split_characters(
     text: str,
     size: int = fixed.SPLIT_CHARS,
     overlap: int = fixed.SPLIT_OVERLAP,
     separators: tuple[str, ...] = ("\n\n", "\n", " ", ""),
 ) -> list[str]:
-    """Split at the coarsest separator present, and finer ones inside pieces that stay too long."""
-    sep = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(sep) + 1 :]
-    if sep:
-        head, *tail = text.split(sep)
-        pieces = [p for p in [head, *(sep + t for t in tail)] if p]
-    else:
-        pieces = list(text)
-    out: list[str] = []
-    short: list[str] = []
-    for piece in pieces:
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        out += _merge(short, size, overlap)
-        short = []
-        out += split_characters(piece, size, overlap, finer) if finer else [piece]
-    out += _merge(short, size, overlap)
-    return [s for s in (o.strip() for o in out) if s]
+    """All chunks of ``each_chunk``."""
+    return list(each_chunk(text, size, overlap, separators))
 
 
 def character_chunks(
     df: DataFrame, text: str = "text", size: int = fixed.SPLIT_CHARS, overlap: int = fixed.SPLIT_OVERLAP
 ) -> DataFrame:
-    """Character windows cut at paragraph, line or word borders; each row is split on its own."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: split_characters(t or "", size, overlap))
+    """Character windows cut at paragraph, line or word borders; each row is split on its own.
 
+    A worker holds a batch as it comes (bounded by Spark in rows and bytes), one text of it and a bounded number of chunks.
+    """
     rest = [c for c in df.columns if c != text]
-    return df.withColumn("__c", split(F.col(text))).select(*rest, F.posexplode("__c").alias("chunk_no", text))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(rest))
+
+            def rows(at: list[int], numbers: list[int], chunks: list[str]) -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(len(rest))]
+                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(chunks, texts.type)], [*rest, "chunk_no", text])
+
+            at, numbers, chunks, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                for n, chunk in enumerate(each_chunk(texts[i].as_py() or "", size, overlap)):
+                    at.append(i)
+                    numbers.append(n)
+                    chunks.append(chunk)
+                    held += len(chunk)
+                    if held >= OUTPUT_CHARS or len(at) >= OUTPUT_ROWS:
+                        yield rows(at, numbers, chunks)
+                        at, numbers, chunks, held = [], [], [], 0
+            if at:
+                yield rows(at, numbers, chunks)
+
+    out = T.StructType([*(df.schema[c] for c in rest), T.StructField("chunk_no", T.IntegerType()), T.StructField(text, T.StringType())])
+    return df.select(*rest, text).mapInArrow(split, out)
 
 
 def token_counter(encode: Callable[[str], list]) -> Callable[[Column], Column]:
     """Exact token count with a given encoder, as a column function usable in the size gates."""
 
-    @F.pandas_udf(T.LongType())
-    def count(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: len(encode(t or "")))
+    @F.arrow_udf(T.LongType())
+    def count(col: pa.Array) -> pa.Array:
+        return pa.array((len(encode(t.as_py() or "")) for t in col), pa.int64())
 
     return count

@@ -83,3 +83,34 @@ def test_size_gate_takes_exact_counts(spark, ranks, reference):
 @pytest.mark.parametrize("name", ["u4_byte_pair_counts", "b4_exact_size_gate", "b8_exact_oversize_questions"])
 def test_queries_equal_sql(spark, name):
     assert difference(all_queries()[name](spark, SF), connect(SF), all_oracles()[name]) is None
+
+
+def test_workers_take_texts_one_at_a_time(spark):
+    """A batch stays in Arrow's form; as pandas objects a worker held every text of it twice."""
+    import tracemalloc
+
+    from pyspark.util import PythonEvalType
+
+    from repoloom.operators import chunking, tokens
+
+    ranks = tokens.byte_ranks(["an"])
+    kinds = {tokens.token_counts(spark, ranks).evalType, tokens.token_ids(spark, ranks).evalType}
+    assert kinds == {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}
+    assert chunking.token_counter(list).evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    text = "word " * 400_000
+    tracemalloc.start()
+    assert sum(1 for _ in chunking.each_chunk(text)) > 1000
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
+def test_chunks_go_out_in_bounded_batches(spark, monkeypatch):
+    from repoloom.operators import chunking
+
+    monkeypatch.setattr(chunking, "OUTPUT_ROWS", 2)
+    rows = [(i, f"s{i}", None if i % 5 == 0 else ("w%d " % i) * (i * 7)) for i in range(40)] + [(None, None, "a b c " * 30)]
+    df = spark.createDataFrame(rows, "n long, s string, text string")
+    plan = chunking.character_chunks(df, size=60, overlap=9)
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    want = [(n, s, i, c) for n, s, t in rows for i, c in enumerate(chunking.split_characters(t or "", 60, 9))]
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted(want, key=str) and len(want) > 100
