@@ -186,3 +186,15 @@ def test_savable_needs_every_content(spark):
         [("a", "1", "x"), ("a", "2", "y"), ("b", "1", "Loading..."), ("d", "1", "x")], "wiki_id string, id string, content string"
     )
     assert [tuple(r) for r in wiki.savable_wikis(pages, made).collect()] == [("a", 2, 2)]
+
+
+def test_root_sections_parse_each_response_once(spark, tmp_path):
+    from repoloom.plans import all_queries
+
+    rows = [(i, f"a b{i}\nc d\ne & f") for i in (0, 1, 2, 2)] + [(None, "x\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    roots = all_queries()["h27_structure_roots"](spark, str(tmp_path))
+    plan = roots._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "xml" not in plan and plan.count("logicalrdd") == 2
+    # Copies of a document stay copies.
+    assert sorted(map(tuple, roots.filter("wiki_id IS NOT NULL").collect())) == sorted((i, s) for i in (0, 1, 2, 2) for s in ("s1", "s3"))
