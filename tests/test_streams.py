@@ -226,3 +226,12 @@ def test_state_calls_do_not_grow_with_pieces_and_late_parts_stay(monkeypatch):
     # Pieces without a session, below 0.
     list(keeper.handleInputRows((-4,), frame([(0, 2, 5, "x")]), _Now(20000)))
     assert [r[1:] for r in keeper.pieces.rows] == [([None], [2], [5], ["x"])]
+
+
+def test_pieces_without_a_session_stay_apart(spark, tmp_path):
+    rows = [(s, n, f"{s}:{n} ") for n, s in enumerate([3, None, 2**60 + 1, 5, None, 3])]
+    src, kind = str(tmp_path / "src"), "session long, seq long, piece string"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(src)
+    pieces.assembly_stream(spark, spark.readStream.schema(kind).parquet(src), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = {r.session: r.answer for r in pieces.stored_answers(spark, str(tmp_path / "o")).collect()}
+    assert got == {3: "3:0 3:5 ", None: "None:1 None:4 ", 2**60 + 1: f"{2**60 + 1}:2 ", 5: "5:3 "}
