@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from repoloom.functions import fixed
 
-OUTPUT_CHARS = 4_000_000  # chunks that a worker gathers before it hands them on
+OUTPUT_CHARS = 1_000_000  # chunks that a worker gathers before it hands them on
 OUTPUT_ROWS = 10_000
+SLICE_BYTES = 500  # of a text in one row to a worker
 
 
 def word_chunks(
@@ -102,21 +103,27 @@ def character_chunks(
 ) -> DataFrame:
     """Character windows cut at paragraph, line or word borders; each row is split on its own.
 
-    A worker holds a batch as it comes (bounded by Spark in rows and bytes), one text of it and a bounded number of chunks.
+    Texts go to the workers in slices of at most SLICE_BYTES, one row each and in order, so that a batch of Arrow's row limit
+    stays small however long the texts are. A worker holds such a batch, one text and a bounded number of chunks.
     """
     rest = [c for c in df.columns if c != text]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = bytearray()
         for batch in batches:
-            texts = batch.column(len(rest))
+            slices, lasts = batch.column(len(rest)), batch.column(len(rest) + 1)
 
             def rows(at: list[int], numbers: list[int], chunks: list[str]) -> pa.RecordBatch:
                 own = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(len(rest))]
-                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(chunks, texts.type)], [*rest, "chunk_no", text])
+                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], [*rest, "chunk_no", text])
 
             at, numbers, chunks, held = [], [], [], 0
             for i in range(batch.num_rows):
-                for n, chunk in enumerate(each_chunk(texts[i].as_py() or "", size, overlap)):
+                data += slices[i].as_py() or b""
+                if not lasts[i].as_py():
+                    continue
+                whole, data = data.decode(), bytearray()
+                for n, chunk in enumerate(each_chunk(whole, size, overlap)):
                     at.append(i)
                     numbers.append(n)
                     chunks.append(chunk)
@@ -128,7 +135,20 @@ def character_chunks(
                 yield rows(at, numbers, chunks)
 
     out = T.StructType([*(df.schema[c] for c in rest), T.StructField("chunk_no", T.IntegerType()), T.StructField(text, T.StringType())])
-    return df.select(*rest, text).mapInArrow(split, out)
+    return _sliced(df, rest, text).mapInArrow(split, out)
+
+
+def _sliced(df: DataFrame, rest: list[str], text: str) -> DataFrame:
+    """One row per slice of a text's bytes, in order; the last one of a text has the other columns."""
+    count = F.greatest(F.ceil(F.octet_length(text) / SLICE_BYTES), F.lit(1)).cast("int")
+    # The bytes as an element of an array: taken from the text once, not once per slice.
+    slices = F.transform(
+        F.array(F.col(text).cast("binary")),
+        lambda b: F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.substring(b, i * SLICE_BYTES + 1, F.lit(SLICE_BYTES))),
+    )
+    cut = df.select(*rest, text, count.alias("__n")).select(*rest, "__n", F.posexplode(F.flatten(slices)).alias("__i", "__slice"))
+    last = F.col("__i") == F.col("__n") - 1
+    return cut.select(*(F.when(last, F.col(c)).alias(c) for c in rest), "__slice", last.alias("__last"))
 
 
 def token_counter(encode: Callable[[str], list]) -> Callable[[Column], Column]:

@@ -114,3 +114,23 @@ def test_chunks_go_out_in_bounded_batches(spark, monkeypatch):
     assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
     want = [(n, s, i, c) for n, s, t in rows for i, c in enumerate(chunking.split_characters(t or "", 60, 9))]
     assert sorted(map(tuple, plan.collect()), key=str) == sorted(want, key=str) and len(want) > 100
+
+
+def test_texts_reach_workers_in_bounded_slices(spark, monkeypatch):
+    """Whole texts in rows made a batch as large as 10,000 texts or 64 MB, of which a worker held two."""
+    from repoloom.operators import chunking
+
+    rows = [(i, f"s{i}", ("é€😀w%d\n" % i) * (i * 40) + "x" * (i * 30)) for i in range(20)] + [(7, None, None), (None, "s", ""), (7, "a", "a b"), (8, "z", "é" * 250), (9, "z", "y" * 500)]
+    df = spark.createDataFrame(rows, "n long, s string, text string")
+    sent, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: sent.append(self) or real(self, *a, **k))
+    want = sorted(((n, s, i, c) for n, s, t in rows for i, c in enumerate(chunking.split_characters(t or "", 60, 9))), key=str)
+    for most in ("3", "10000"):  # texts that go over several batches, and batches of several texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = chunking.character_chunks(df, size=60, overlap=9).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got), key=str) == want and len(want) > 100
+    held = [len(v.encode() if isinstance(v, str) else v) for r in sent[0].collect() for v in r if isinstance(v, str | bytes | bytearray)]
+    assert max(held) <= 500 and max(len(t or "") for _, _, t in rows) > 5000
